@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .mixing import OP6_SQL, op6_mix_sources
+from .secrets import op8_secret_scan
 from .simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op8_secret_scan": op8_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mix_sources": OP6_SQL,
+}
