@@ -89,3 +89,49 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def slices(batch, text_col: int, most: int = 4 << 20):
+    """Parts of an Arrow batch whose texts hold about `most` bytes, a longer single text alone; none is dropped."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int = 7) -> DataFrame:
+    """(doc_id, text, y): the texts of at most `rows` labelled ids outside the held-out part, in hash order.
+
+    The bound is a parameter of the operators that fit a model; it also bounds what is broadcast.
+    """
+    picked = (
+        labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
+        .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(rows)
+    )
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
+def logistic_fit(x, y, rounds: int = 50, ridge: float = 1e-3):
+    """Weights of a logistic regression (Newton steps); the last one is the intercept."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(y))])
+    w = np.zeros(x.shape[1])
+    if not len(y) or y.min() == y.max():
+        w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0
+        return w
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .mixing import OP6_SQL, op6_mix_sources
+from .quality import op5_quality_crf
 from .secrets import op8_secret_scan
 from .simhash import op1_simhash_near_dedup
+from .toxicity import op4_toxicity_segments
+from .urlfilter import op10_url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_toxicity_segments": op4_toxicity_segments,
+    "op5_quality_crf": op5_quality_crf,
     "op6_mix_sources": op6_mix_sources,
     "op8_secret_scan": op8_secret_scan,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
