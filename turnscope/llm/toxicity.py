@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segments.
 
-Tokens score by their log-odds between toxic and other labelled documents, with an informative
-Dirichlet prior taken from both together; only tokens whose z-score passes MIN_Z carry one, and
-all others score a small negative constant. The linear-time scan for all maximal scoring
+Tokens score by their log-odds between toxic and other labelled documents (a text counts a token
+once, and equal texts once, so that repetition proves nothing), with an informative Dirichlet
+prior taken from both together; only tokens whose z-score passes MIN_Z carry one, and
+all others score a small negative constant. A word without a score of its own backs off to
+that of its first letters (inflected words are rare one by one). The linear-time scan for all maximal scoring
 subsequences (each token is pushed and merged at most once) gives every passage of a document.
 Extreme-value statistics calibrate the segments: for the background distribution of scores,
 lambda solves sum p exp(lambda s) = 1, K is estimated from clean documents, and a segment of score
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, logistic_fit, materialize, release, slices, table
 
-FIT_ROWS = 12_000
+FIT_ROWS = 16_000
 CUT = 0.3
 MIN_Z, MAX_TERMS = 3.5, 20_000
-#: Strength of the prior in tokens a class.
-PRIOR = 1_000.0
+#: Strength of the prior, as a share of all counts.
+PRIOR = 0.1
 MAX_EXPECTED = 0.01
+STEM = 5
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -44,13 +47,18 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
+def stem(word: str) -> str:
+    """Back-off token of a longer word: its first STEM letters and a star, which no word holds."""
+    return word[:STEM] + "*" if len(word) > STEM else ""
+
+
 def log_odds(counts: list[tuple[str, float, float]], toxic_total: float, clean_total: float) -> dict[str, float]:
-    """Log-odds of tokens with a significant surplus in toxic texts; counts are (token, toxic, clean)."""
+    """Log-odds of tokens with a significant surplus in toxic texts; counts are (token, toxic, clean), in texts that hold it."""
     out = {}
-    total = toxic_total + clean_total
+    strength = PRIOR * (toxic_total + clean_total)
     for w, a, b in counts:
-        prior = PRIOR * (a + b) / total
-        x = math.log((a + prior) / (toxic_total + PRIOR - a - prior)) - math.log((b + prior) / (clean_total + PRIOR - b - prior))
+        prior = PRIOR * (a + b)
+        x = math.log((a + prior) / (toxic_total + strength - a - prior)) - math.log((b + prior) / (clean_total + strength - b - prior))
         z = x / math.sqrt(1 / (a + prior) + 1 / (b + prior))
         if z >= MIN_Z:
             out[w] = x
@@ -118,7 +126,7 @@ class ToxicityModel:
         """(maximal segments in tokens, number of tokens)."""
         words = tokens(text)
         get = self.terms.get
-        hits = [(i, v) for i, w in enumerate(words) if (v := get(w)) is not None]
+        hits = [(i, v) for i, w in enumerate(words) if (v := get(w) or get(w[:STEM] + "*")) is not None]
         return (maximal_segments(hits, self.gap) if hits else []), len(words)
 
     def significant(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
@@ -149,11 +157,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
             seen: dict[tuple[str, float], int] = {}
             for t, y in zip(b.column(1), b.column(2)):
                 y = y.as_py()
-                for w in tokens(t.as_py()):
+                own = set(tokens(t.as_py()))
+                for w in own | {x for x in map(stem, own) if x}:
                     seen[w, y] = seen.get((w, y), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([float(v) if k[1] else 0.0 for k, v in seen.items()], pa.float64()), pa.array([0.0 if k[1] else float(v) for k, v in seen.items()], pa.float64())], names=["w", "a", "b"])
 
-    counts = materialize(sample.mapInArrow(count, "w string, a double, b double").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "tox-counts")
+    counts = materialize(sample.dropDuplicates(["text", "y"]).select("doc_id", "text", "y").mapInArrow(count, "w string, a double, b double").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "tox-counts")
     total = counts.agg(F.sum("a"), F.sum("b")).first()
     toxic, clean = total[0] or 0.0, total[1] or 0.0
     terms, share = {}, {}
@@ -162,7 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
         ahead = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt((F.col("a") + F.col("b")) * 1.0)
         rows_ = counts.filter(F.col("a") / toxic > F.col("b") / clean).orderBy(ahead.desc(), "w").limit(MAX_TERMS).collect()
         terms = log_odds([(r["w"], r["a"], r["b"]) for r in rows_], toxic, clean)
-        share = {r["w"]: max(r["b"], 0.5) / clean for r in rows_ if r["w"] in terms}
+        share = {r["w"]: (r["b"] + PRIOR * (r["a"] + r["b"])) / (clean + PRIOR * (toxic + clean)) for r in rows_ if r["w"] in terms}
     model = ToxicityModel(terms, share)
 
     def best(batches):
