@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_benchmark_decontamination
+from .embeddings import op9_embedding_near_dedup
 from .mixing import OP6_SQL, op6_mix_sources
 from .quality import op5_quality_crf
 from .secrets import op8_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_secret_scan": op8_secret_scan,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
