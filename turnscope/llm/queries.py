@@ -8,12 +8,14 @@ from .mixing import OP6_SQL, op6_mix_sources
 from .quality import op5_quality_crf
 from .secrets import op8_secret_scan
 from .simhash import op1_simhash_near_dedup
+from .suffix import op2_suffix_array_dedup
 from .toxicity import op4_toxicity_segments
 from .urlfilter import op10_url_filter
 from .warc import OP7_SQL, op7_warc_revisits
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity_segments": op4_toxicity_segments,
     "op5_quality_crf": op5_quality_crf,
