@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import q_decisions, q_grounding
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in (q_decisions, q_grounding):
+    QUERIES |= _m.Q
+    ORACLES |= _m.S
