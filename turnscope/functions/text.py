@@ -45,10 +45,14 @@ def content_tokens(text: Column, lang: str = "en") -> Column:
     return F.filter(word_tokens(text), lambda t: ~F.array_contains(stop, t))
 
 
+def _among(words):
+    return lambda t: t.isin(*words)
+
+
 def guess_language(text: Column) -> Column:
     """The language with most stopword hits, in code order on ties; empty without any."""
     w = word_tokens(text)
-    hits = F.array(*[F.struct(F.size(F.filter(w, lambda t, s=s: t.isin(*s))).alias("n"), F.lit(k).alias("lang")) for k, s in sorted(STOPWORDS.items())])
+    hits = F.array(*[F.struct(F.size(F.filter(w, _among(s))).alias("n"), F.lit(k).alias("lang")) for k, s in sorted(STOPWORDS.items())])
     best = F.array_max(F.transform(hits, lambda h: h["n"]))
     return F.when(best > 0, F.filter(hits, lambda h: h["n"] == best)[0]["lang"]).otherwise("")
 
