@@ -72,3 +72,15 @@ def read_export(spark: SparkSession, base: str, platform: str) -> DataFrame:
     users = texts.select("_user").distinct()
     users = users.select("_user", (F.row_number().over(W.orderBy("_user")) - 1).alias("user_id"))
     return parse_conversations(texts.drop("_path").join(users, "_user").drop("_user"), platform)
+
+
+def element_type(platform: str) -> str:
+    """DDL of one message as turns keep it: the message, of DeepSeek the tree node, of Grok the response."""
+    ddl = _typed(CONVERSATION[platform])
+    at = {"chatgpt": "message: STRUCT<", "claude": "chat_messages: ARRAY<STRUCT<", "grok": "response: STRUCT<", "deepseek": "mapping: MAP<STRING, STRUCT<"}[platform]
+    start = ddl.index(at) + len(at)
+    depth, end = 1, start
+    while depth:
+        depth += (ddl[end] == "<") - (ddl[end] == ">")
+        end += 1
+    return f"STRUCT<{ddl[start : end - 1]}>"
