@@ -54,6 +54,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     w = w.select(
         "*",
+        F.row_number().over(by_ratio).alias("place"),
         F.sum("source_size").over(every).alias("total"),
         F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("caps_before"),
         (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weight_left"),
@@ -61,7 +62,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     level = F.try_divide((F.col("total") - F.col("caps_before")).cast("double"), F.col("weight_left"))
     # the level is that of the first source in this order which its cap does not stop
     w = w.withColumn("own_level", level).withColumn("open", F.col("own_level") * F.col("weight") <= F.col("cap"))
-    w = w.withColumn("level", F.min_by(F.when(F.col("open"), F.col("own_level")), F.when(F.col("open"), F.col("cap") / F.col("weight"))).over(every))
+    w = w.withColumn("level", F.min_by("own_level", F.when(F.col("open"), F.col("place"))).over(every))
     target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
     return w.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
