@@ -9,16 +9,17 @@ option, so suffix arrays are built where repeats can be:
    anchor that occurs once rules out all its windows. The windows of one anchor are consecutive;
    their union is its region. Of equal regions only the first can be new, so the others are
    removed where they are met: within a document and a batch at once, the rest after one shuffle by anchor.
-2. What is left are anchors with different regions: edges of repeats, edits, chance. Their regions are
-   fetched and laid side by side in blocks, anchor by anchor, and each block's suffix array is built by
-   linear grouping: groups of suffixes with equal Lyndon prefix are processed in descending
+2. What is left are anchors with different regions: edges of repeats, edits, chance. A window
+   around an anchor holds the SIDE bytes before it or the SIDE bytes after it, so each region is cut in two
+   sides, keyed by the anchor with those bytes, and a side whose key occurs once is done. The others are
+   laid side by side in blocks, key by key, and each block's suffix array is built by linear grouping: groups of suffixes with equal Lyndon prefix are processed in descending
    order; previous-smaller pointers tell which suffixes of lower groups a group extends, by how
    many repetitions, and these form new groups; then one pass emits the order within groups. No renaming,
    no recursion. Adjacent suffixes that agree in WIDTH bytes are runs of equal windows, all but the
    first of which go.
-3. An anchor of more than HOT regions (a passage on a third of all pages with a different next
-   word each time) would make one block unbounded: its windows are dealt by their own 128-bit hash instead, and
-   again all but the first go.
+3. A key of more than HOT sides (a passage on a third of all pages with a different next word each
+   time) would make one block unbounded: its windows are dealt by their own 128-bit hash instead, those of one batch
+   once, and again all but the first go.
 
 Removed ranges meet their document in one last join. Equality of windows is by bytes in 2, by a
 128-bit hash in 3, of regions by two hashes of 64 bits.
@@ -42,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release, slices, table
 
 WIDTH, K = 100, 24
-HOT = 256
+SIDE = (WIDTH - K) // 2
+HOT = 1_000
 BLOCK_BYTES = 32_000
 #: Documents are anchored in pieces of so many windows; pieces overlap, so no window is lost.
 PIECE = 1 << 22
@@ -64,7 +66,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window, region hash) of the regions of a text, in order."""
+    """(anchor hash, first window, last window, region hash) of the regions of a text, in order.
+
+    The last window comes as 128 times itself plus the anchor's distance from it.
+    """
     out = []
     n = len(buf) - WIDTH + 1
     for at in range(0, max(n, 0), PIECE):
@@ -90,7 +95,7 @@ def anchors(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         last = np.append(first[1:] - 1, len(pos) - 1)
         mem = memoryview(part)
         regions = np.fromiter((xxhash.xxh64_intdigest(mem[a:b], 3) for a, b in zip(first.tolist(), (last + WIDTH).tolist())), np.uint64, len(first))
-        out.append((h[pos[first]].view(np.int64), first + at, last + at, regions.view(np.int64)))
+        out.append((h[pos[first]].view(np.int64), first + at, (last + at) * 128 + pos[first] - last, regions.view(np.int64)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -221,12 +226,29 @@ _CUT = "ah long, r long, doc long, tie long, lo long, hi long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, tie, raw): tie is 0 where ids are unique, else a hash of the text that tells rows of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("raw"))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    unique = docs.groupBy(doc.alias("doc")).count().filter("count > 1").isEmpty()
+    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("tie"), text.alias("raw"))
+
+
+def _first_of(ah, r, doc, tie, lo, hi) -> pa.RecordBatch:
+    """Rows of one batch: of equal regions the first, the others as removed ranges under spread keys."""
+    order, new = _sort_runs(ah, r, doc, tie, lo, same=2)
+    old = order[~new]
+    if len(old):  # rows of one document twice are one: equal (doc, tie, lo) is the first window itself
+        head = order[np.nonzero(new)[0][np.cumsum(new) - 1][~new]]
+        old = old[(doc[old] != doc[head]) | (tie[old] != tie[head]) | (lo[old] != lo[head])]
+    done = _merge(doc[old], tie[old], lo[old], hi[old] >> 7)
+    keep = order[new]
+    spread = (done[0] * 31 + done[2]) * np.int64(-7046029254386353131)
+    cols = ((ah[keep], spread), (r[keep], np.zeros(len(spread), np.int64)), (doc[keep], done[0]), (tie[keep], done[1]), (lo[keep], done[2]), (hi[keep], -1 - done[3]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["ah", "r", "doc", "tie", "lo", "hi"])
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Regions to be compared (hi >= 0) and, already decided, removed ranges of windows (hi < 0: -1 - last window)."""
+    """Regions to be compared (hi >= 0, as of anchors()) and, already decided, removed ranges of windows (hi < 0: -1 - last window)."""
 
     def run(batches):
         for b in batches:
@@ -238,19 +260,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
                     for c, v in zip(cols, (ah, r, np.full(n, doc), np.full(n, tie), lo, hi)):
                         c.append(v)
                 ah, r, doc, tie, lo, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-                order, new = _sort_runs(ah, r, doc, tie, lo, same=2)
-                old = order[~new]
-                # rows of one document twice are one: equal (doc, tie, lo) is the first window itself
-                if len(old):
-                    head = order[np.nonzero(new)[0][np.cumsum(new) - 1][~new]]
-                    old = old[(doc[old] != doc[head]) | (tie[old] != tie[head]) | (lo[old] != lo[head])]
-                done = _merge(doc[old], tie[old], lo[old], hi[old])
-                keep = order[new]
-                spread = (done[0] * 31 + done[2]).astype(np.int64) * np.int64(-7046029254386353131)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x, y])) for x, y in ((ah[keep], spread), (r[keep], np.zeros(len(spread), np.int64)), (doc[keep], done[0]), (tie[keep], done[1]), (lo[keep], done[2]), (hi[keep], -1 - done[3]))],
-                    names=["ah", "r", "doc", "tie", "lo", "hi"],
-                )
+                yield _first_of(ah, r, doc, tie, lo, hi)
 
     return docs.select("doc", "tie", "raw").mapInArrow(run, _CUT)
 
@@ -279,7 +289,7 @@ def _decide(rows: DataFrame) -> DataFrame:
                 at = np.maximum.accumulate(at)
                 hd = np.where(at >= 0, doc[at], head0[0] if head0 else 0), np.where(at >= 0, tie[at], head0[1] if head0 else 0), np.where(at >= 0, lo[at], head0[2] if head0 else 0)
                 gone = ~new & ((doc != hd[0]) | (tie != hd[1]) | (lo != hd[2]))
-                out.append(np.stack([ah[gone], r[gone], doc[gone], tie[gone], lo[gone], -1 - hi[gone]]))
+                out.append(np.stack([ah[gone], r[gone], doc[gone], tie[gone], lo[gone], -1 - (hi[gone] >> 7)]))
                 # heads of regions whose anchor has several
                 heads = np.nonzero(new)[0]
                 if len(heads):
@@ -303,69 +313,90 @@ def _decide(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _CUT)
 
 
+def _sides(raw: bytes, lo: int, packed: int):
+    """(key, first window, last window, bytes) of the windows around an anchor that hold the bytes before it, and of the others."""
+    hi = packed >> 7
+    a = hi + (packed & 127)
+    if lo <= a - SIDE:
+        to = min(hi, a - SIDE)
+        yield xxhash.xxh64_intdigest(raw[a - SIDE : a + K], 1), lo, to, raw[lo : to + WIDTH]
+    start = max(lo, a - SIDE + 1)
+    if start <= hi:
+        yield xxhash.xxh64_intdigest(raw[a : a + K + SIDE], 2), start, hi, raw[start : hi + WIDTH]
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ah, hot, doc, tie, lo, hi, region): the bytes of the regions that are to be compared."""
+    """(e, doc, tie, lo, hi, region): the sides of the regions that are to be compared."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
         for b in batches:
             for part in slices(b, 2, 16 << 20):
                 rows = []
-                for doc, tie, raw, ps in zip(*(part.column(k) for k in range(4))):
-                    doc, tie, raw = doc.as_py(), tie.as_py(), raw.as_py()
-                    rows += [(p["ah"], p["hot"], doc, tie, p["lo"], p["hi"], raw[p["lo"] : p["hi"] + WIDTH]) for p in ps.as_py()]
-                c = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["ah", "hot", "doc", "tie", "lo", "hi", "region"])
+                for doc, tie, raw, ps in zip(*(part.column(k).to_pylist() for k in range(4))):
+                    for q in ps:
+                        rows += [(e - (1 << 64) if e >> 63 else e, doc, tie, lo, hi, r) for e, lo, hi, r in _sides(raw, q["lo"], q["hi"])]
+                c = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds)], names=["e", "doc", "tie", "lo", "hi", "region"])
 
-    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("ah", "hot", "lo", "hi")).alias("ps"))
+    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("ps"))
     once = docs.select("doc", "tie", "raw").join(lists, ["doc", "tie"]).select("doc", "tie", "raw", "ps")
-    return once.mapInArrow(run, "ah long, hot boolean, doc long, tie long, lo long, hi long, region binary")
+    return once.mapInArrow(run, "e long, doc long, tie long, lo long, hi long, region binary")
 
 
-def _by_suffix_array(regions: DataFrame) -> DataFrame:
-    """Removed ranges (doc, tie, lo, hi) among the regions of anchors that are not hot."""
+def _by_suffix_array(sides: DataFrame) -> DataFrame:
+    """Removed ranges (doc, tie, lo, hi) among the sides of keys that are not hot."""
 
     def run(batches):
         block: list[tuple] = []
+        done: list[tuple] = []
+        first: dict[bytes, tuple] = {}
         size, last = 0, None
 
         def flush():
-            found = repeated_windows(block)
-            at = [block[k][0] for k, _ in found], [block[k][1] for k, _ in found], [block[k][2] + o for k, o in found]
-            doc, tie, lo = (np.array(x, np.int64) for x in at)
-            doc, tie, lo, hi = _merge(doc, tie, lo, lo)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tie, lo, hi)], names=["doc", "tie", "lo", "hi"])
+            found = repeated_windows(block) if block else []
+            gone = done + [(block[k][0], block[k][1], block[k][2] + o, block[k][2] + o) for k, o in found]
+            cols = [np.array(c, np.int64) for c in zip(*gone)] or [np.zeros(0, np.int64)] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(*cols)], names=["doc", "tie", "lo", "hi"])
 
         for b in batches:
-            for ah, doc, tie, lo, hi, raw in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if ah != last and size > BLOCK_BYTES:
-                    yield flush()
-                    block, size = [], 0
-                last = ah
-                block.append((doc, tie, lo, hi, raw))
-                size += len(raw)
-        if block:
+            for e, doc, tie, lo, hi, raw in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if e != last:
+                    first = {}
+                    if size > BLOCK_BYTES:
+                        yield flush()
+                        block, done, size = [], [], 0
+                last = e
+                own = first.setdefault(raw, (doc, tie, lo))
+                if own != (doc, tie, lo):  # equal sides: the first stands for all
+                    done.append((doc, tie, lo, hi))
+                else:
+                    block.append((doc, tie, lo, hi, raw))
+                    size += len(raw)
+        if block or done:
             yield flush()
 
-    cold = regions.filter("not hot").select("ah", "doc", "tie", "lo", "hi", "region")
-    return cold.repartition("ah").sortWithinPartitions("ah", "doc", "tie", "lo").mapInArrow(run, "doc long, tie long, lo long, hi long")
+    cold = sides.filter("not hot").select("e", "doc", "tie", "lo", "hi", "region")
+    return cold.repartition("e").sortWithinPartitions("e", "doc", "tie", "lo").mapInArrow(run, "doc long, tie long, lo long, hi long")
 
 
-def _by_window(regions: DataFrame) -> DataFrame:
-    """Removed ranges among the regions of hot anchors: every window by its own hash, as a region of one window."""
+def _by_window(sides: DataFrame) -> DataFrame:
+    """Removed ranges among the sides of hot keys: every window by its own hash, as a region of one window."""
 
     def run(batches):
         for b in batches:
+            keys, at = [], []
             for doc, tie, lo, hi, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
-                n = hi - lo + 1
                 mem = memoryview(raw)
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(mem[i : i + WIDTH]) for i in range(n)), np.int64).reshape(-1, 2)
-                at = np.arange(lo, hi + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (d[:, 0], d[:, 1], np.full(n, doc), np.full(n, tie), at, at)], names=["ah", "r", "doc", "tie", "lo", "hi"])
+                keys += [xxhash.xxh3_128_digest(mem[i : i + WIDTH]) for i in range(hi - lo + 1)]
+                at.append((doc, tie, lo, hi - lo + 1))
+            d = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            doc, tie, lo, n = (np.array(c, np.int64) for c in zip(*at)) if at else (np.zeros(0, np.int64),) * 4
+            pos = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield _first_of(np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.repeat(doc, n), np.repeat(tie, n), pos, pos * 128)
 
-    windows = regions.filter("hot").select("doc", "tie", "lo", "hi", "region").mapInArrow(run, _CUT)
-    first = windows.groupBy("ah", "r").agg(F.min(F.struct("doc", "tie", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    gone = windows.join(first, ["ah", "r"]).filter("struct(doc, tie, lo) <> f")
-    return gone.select("doc", "tie", "lo", "hi")
+    windows = sides.filter("hot").select("doc", "tie", "lo", "hi", "region").mapInArrow(run, _CUT)
+    return _decide(windows).filter("hi < 0").select("doc", "tie", "lo", (F.lit(-1).cast("long") - F.col("hi")).alias("hi"))
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
@@ -373,12 +404,12 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     decided = materialize(_decide(_candidates(docs)), "suffix-decided")
     gc.collect()
     docs.sparkSession._jvm.System.gc()  # shuffle files that nothing needs go when the driver's garbage does
-    open_ = decided.filter("hi >= 0").select("ah", "doc", "tie", "lo", "hi")
-    sizes = materialize(open_.groupBy("ah").agg((F.count("*") > HOT).alias("hot")), "suffix-sizes")
-    regions = materialize(_fetch(docs, open_.join(sizes, "ah")), "suffix-regions")
+    sides = materialize(_fetch(docs, decided.filter("hi >= 0").select("doc", "tie", "lo", "hi")), "suffix-sides")
+    several = materialize(sides.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1").select("e", (F.col("n") > HOT).alias("hot")), "suffix-keys")
+    shared = materialize(sides.join(several, "e"), "suffix-shared")
     out = decided.filter("hi < 0").select("doc", "tie", "lo", (F.lit(-1).cast("long") - F.col("hi")).alias("hi"))
-    got = materialize(out.unionByName(_by_suffix_array(regions)).unionByName(_by_window(regions)), "suffix-ranges")
-    release(decided, sizes, regions)
+    got = materialize(out.unionByName(_by_suffix_array(shared)).unionByName(_by_window(shared)), "suffix-ranges")
+    release(decided, sides, several, shared)
     gc.collect()
     docs.sparkSession._jvm.System.gc()
     return got
