@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op3_benchmark_decontamination
 from .embeddings import op9_embedding_near_dedup
 from .mixing import OP6_SQL, op6_mix_sources
+from .oracles import OP2_SQL, OP8_SQL, OP9_SQL
 from .quality import op5_quality_crf
 from .secrets import op8_secret_scan
 from .simhash import op1_simhash_near_dedup
@@ -27,6 +28,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": OP2_SQL,
     "op6_mix_sources": OP6_SQL,
     "op7_warc_revisits": OP7_SQL,
+    "op8_secret_scan": OP8_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
 }
