@@ -155,3 +155,22 @@ def test_counters_and_unknown_platform(tables, spark):
 def test_label_topics(spark):
     d = spark.createDataFrame([([], ["a"]), (["x"], []), (["x", "y"], ["b", "a", "b", "a"]), (["x", "y"], [])], "l array<string>, t array<string>")
     assert [r[0] for r in d.select(extract.label_topic(F.col("l"), F.col("t"))).collect()] == ["Other", "x", "b", "x"]
+
+
+def test_command_line(spark, tmp_path):
+    from turnscope.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "conversations.json").write_text(json.dumps(GPT))
+    (tmp_path / "taxonomy.jsonl").write_text('{"topic": "Asking", "keywords": ["question"]}\n')
+    out = str(tmp_path / "out")
+    main(["extract", "--platform", "chatgpt", "--input", str(tmp_path / "in"), "--output", out, "--taxonomy", str(tmp_path / "taxonomy.jsonl")])
+    assert [r.topic for r in spark.read.parquet(f"{out}/turns").orderBy("segment").collect()] == ["Other", "Asking", "Asking"]
+    assert spark.read.parquet(f"{out}/web_turns").count() == 1
+    for stage, source in (("rounds", "turns"), ("sources", "turns"), ("decisions", "turns"), ("grounding", "sources")):
+        main([stage, "--platform", "chatgpt", "--input", f"{out}/{source}", "--output", out])
+    assert spark.read.parquet(f"{out}/query_rounds").count() == 3 and spark.read.parquet(f"{out}/sources").count() == 6
+    r = spark.read.parquet(f"{out}/rates").first()
+    assert (r.retrieved, r.cited, r.external, r.internal) == (2, 3, 1, 2)
+    with pytest.raises(SystemExit):
+        main(["extract", "--input", "x", "--output", "y"])

@@ -15,7 +15,9 @@ from turnscope.functions.stats import sem
 
 def per_turn_counts(s: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
     """Retrieved and cited urls per turn, raw or distinct."""
-    count = (lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("url")))) if unique else (lambda k: F.count_if(F.col("kind") == k))
+    if unique:  # one plain aggregate more instead of rows multiplied for each distinct count
+        s = s.select(*keys, "kind", "url").distinct()
+    count = lambda k: F.count_if((F.col("kind") == k) & (F.col("url").isNotNull() if unique else F.lit(True)))
     return s.groupBy(*keys).agg(count("retrieved").alias("retrieved"), count("cited").alias("cited"))
 
 
@@ -97,7 +99,8 @@ def monthly_counts(s: DataFrame, by: list[str]) -> DataFrame:
     """Mean and standard error per month of retrieved, cited, external and internal distinct urls."""
     keys = list(dict.fromkeys([*by, "conv_id", "turn_id"]))
     counts = per_turn_counts(s, keys, unique=True)
-    ext = grounding(s).groupBy(*keys).agg(F.count_distinct(F.when(F.col("external"), F.col("url"))).alias("external"), F.count_distinct(F.when(~F.col("external"), F.col("url"))).alias("internal"))
+    once = grounding(s).filter("url is not null").select(*keys, "url", "external").distinct()
+    ext = once.groupBy(*keys).agg(F.count_if("external").alias("external"), F.count_if(~F.col("external")).alias("internal"))
     full = counts.join(ext, keys, "left").na.fill({"external": 0, "internal": 0})
     aggs = [f(c) for c in ("retrieved", "cited", "external", "internal") for f in (lambda c: F.avg(c).alias(f"{c}_mean"), lambda c: F.round(sem(c), 9).alias(f"{c}_sem"))]
     return full.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
