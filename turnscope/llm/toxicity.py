@@ -193,7 +193,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
             x = np.array([model.evidence(t.as_py()) for t in b.column(1)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "e", "f"])
 
-    got = sample.mapInArrow(features, "y double, e double, f double").orderBy("y", "e", "f").collect()
+    got = sorted(sample.mapInArrow(features, "y double, e double, f double").collect())
     x = np.array([(r["e"], r["f"]) for r in got]).reshape(-1, 2)
     model.map = logistic_fit(x, np.array([r["y"] for r in got]))
     release(sample, counts)
