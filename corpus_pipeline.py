@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
-run() writes each stage to the shared folder named by spark.checkpoint.dir and returns the last
-one's rows. All stages but the last return the columns of documents; the mix does too, as it
+run() writes each stage to the shared folder named by spark.checkpoint.dir, deletes what the next one
+has read, and returns the last one's rows. All stages but the last return the columns of documents; the mix does too, as it
 emits each document as often as its source's rate takes it.
 """
 
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), "stage")
+        common.release(before)
     return docs
