@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 
 BYTES, MAX_BITS = 8, 2
 MIN_MATCHES = BYTES - MAX_BITS
@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members, "simhash-members")
     lows = materialize(members.groupBy("root").agg(F.min("low").alias("component")), "simhash-lows")
     named = materialize(members.join(lows, "root").select("fp", "component"), "simhash-named")
+    release(nodes, comps, members, lows)
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
