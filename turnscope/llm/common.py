@@ -110,13 +110,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     """(doc_id, text, y): the texts of at most `rows` labelled ids outside the held-out part, in hash order.
 
     The bound is a parameter of the operators that fit a model; it also bounds what is broadcast.
+    Rows that repeat an id count once, with the smallest of their texts.
     """
     picked = (
         labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
         .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def logistic_fit(x, y, rounds: int = 50, ridge: float = 1e-3):

@@ -35,7 +35,7 @@ from .common import held_out, labelled_sample, logistic_fit, materialize, releas
 
 FIT_ROWS = 16_000
 CUT = 0.3
-MIN_Z, MAX_TERMS = 3.5, 20_000
+MIN_Z = 3.5
 #: Strength of the prior, as a share of all counts.
 PRIOR = 0.1
 MAX_EXPECTED = 0.01
@@ -167,9 +167,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     toxic, clean = total[0] or 0.0, total[1] or 0.0
     terms, share = {}, {}
     if toxic and clean:
-        # only tokens with a surplus can pass; the strongest are looked at, far more than pass
-        ahead = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt((F.col("a") + F.col("b")) * 1.0)
-        rows_ = counts.filter(F.col("a") / toxic > F.col("b") / clean).orderBy(ahead.desc(), "w").limit(MAX_TERMS).collect()
+        # the same test as in log_odds(), so that only tokens that pass it leave the executors
+        strength = PRIOR * (toxic + clean)
+        prior = PRIOR * (F.col("a") + F.col("b"))
+        x = F.log((F.col("a") + prior) / (toxic + strength - F.col("a") - prior)) - F.log((F.col("b") + prior) / (clean + strength - F.col("b") - prior))
+        z = x / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
+        rows_ = counts.filter(z >= MIN_Z - 1e-6).orderBy("w").collect()
         terms = log_odds([(r["w"], r["a"], r["b"]) for r in rows_], toxic, clean)
         share = {r["w"]: (r["b"] + PRIOR * (r["a"] + r["b"])) / (clean + PRIOR * (toxic + clean)) for r in rows_ if r["w"] in terms}
     model = ToxicityModel(terms, share)
