@@ -4,11 +4,12 @@ A rule (host, path) fits its host and all subdomains if the url's path starts wi
 the longest fitting rule decides. Urls that a rule decides are the labelled urls: the trees are
 fitted on a bounded, hash-ordered sample of distinct labelled urls (FIT_URLS) and judge the
 urls that no rule fits. Suffix statistics (how often labelled hosts under a suffix are blocked)
-are counted over all labelled urls; they are read from host suffixes below the rules' own, so
+are counted over all labelled urls, every key of them; they are read from host suffixes below the rules' own, so
 that they say something about urls without a rule.
 
-Everything after fitting is one pass without a shuffle, so a host with a third of all pages
-costs what its rows cost. Defined cases: a null url or one without '://' has empty host and path,
+The table of these rates is broadcast while its keys take at most BROADCAST_BYTES, and all else after
+fitting is one pass; beyond that the pages are joined to it by key, in a join whose hot partitions
+adaptive execution can split. Defined cases: a null url or one without '://' has empty host and path,
 no rule, and the trees' verdict on an empty url. Hosts are lower-cased A-Z only and keep port
 and user. Repeated rows each get a row. Extra columns are ignored. Without any labelled url the
 trees say 'allow'. An empty table gives an empty result.
@@ -27,12 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 FIT_URLS = 20_000
-MAX_SUFFIXES = 50_000
+#: Smoothed rates by key are broadcast up to this many bytes of keys, joined by key beyond.
+BROADCAST_BYTES = 4 << 20
+#: Rows' worth of the mean that a key's rate starts from.
+SMOOTH = 5
 ROUNDS, DEPTH, RATE, BINS, LEAST, SHRINK = 40, 3, 0.3, 32, 10, 1.0
 #: A url is blocked from this probability on.
 CUT = 0.5
@@ -148,12 +152,12 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-def _rates(labelled: DataFrame, key: str) -> dict[str, float]:
-    """Smoothed share of blocked rows by key over all labelled rows; the most frequent MAX_SUFFIXES keys are kept apart, others share the mean."""
-    rows = labelled.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.col("y")).alias("rate")).orderBy(F.desc("n"), key).limit(MAX_SUFFIXES).collect()
-    total = sum(r["n"] for r in rows)
-    mean = sum(r["n"] * r["rate"] for r in rows) / total if total else 0.0
-    return {r[key]: (r["n"] * r["rate"] + 5 * mean) / (r["n"] + 5) for r in rows} | {"": mean}
+def _rates(labelled: DataFrame, key: str, name: str, mean: float) -> tuple[DataFrame, bool]:
+    """(stored table: key, smoothed share of blocked rows of every key, over all labelled rows; whether its keys are few enough to broadcast)."""
+    counts = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
+    rates = materialize(counts.select(key, ((F.col("blocked") + SMOOTH * mean) / (F.col("n") + SMOOTH)).alias(name)), "url-rates")
+    size = rates.agg(F.sum(F.octet_length(key) + 16)).first()[0] or 0
+    return rates, size <= BROADCAST_BYTES
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, fit_urls: int = FIT_URLS) -> DataFrame:
@@ -163,26 +167,29 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     p = p.select("*", rule.alias("rule"), verdict.alias("ruled"), suffix_of(F.col("host")).alias("suffix"), first_segment(F.col("path")).alias("segment"))
     labelled = p.filter("ruled is not null").withColumn("y", (F.col("ruled") == "block").cast("double"))
-    by_suffix, by_segment = _rates(labelled, "suffix"), _rates(labelled, "segment")
+    mean = labelled.agg(F.avg("y")).first()[0] or 0.0
+    keyed = [(key, name, *_rates(labelled, key, name, mean)) for key, name in (("suffix", "suffix_rate"), ("segment", "segment_rate"))]
+
+    def rated(rows: DataFrame) -> DataFrame:
+        for key, name, rates, small in keyed:
+            rows = rows.join(F.broadcast(rates) if small else rates, key, "left").withColumn(name, F.coalesce(name, F.lit(mean)))
+        return rows
 
     def features(pdf: pd.DataFrame) -> np.ndarray:
-        s = [by_suffix.get(k, by_suffix[""]) for k in pdf["suffix"]]
-        g = [by_segment.get(k, by_segment[""]) for k in pdf["segment"]]
-        return lexical(pdf["url"], pdf["host"], pdf["path"], s, g)
+        return lexical(pdf["url"], pdf["host"], pdf["path"], pdf["suffix_rate"], pdf["segment_rate"])
 
-    sample = labelled.select("url", "host", "path", "suffix", "segment", "y").distinct().orderBy(F.xxhash64("url"), "url").limit(fit_urls).toPandas()
-    model = Boosted.fit(features(sample), sample["y"].to_numpy())
+    sample = labelled.select("url", "host", "path", "suffix", "segment", "y").distinct().orderBy(F.xxhash64("url"), "url").limit(fit_urls)
+    fit = rated(sample).toPandas().sort_values("url", kind="stable")
+    model = Boosted.fit(features(fit), fit["y"].to_numpy())
 
     def run(batches):
         for b in batches:
-            pdf = b.select(["url", "host", "path", "suffix", "segment"]).to_pandas()
-            score = model.score(features(pdf))
-            ruled = b.column("ruled")
-            verdict = pc.coalesce(ruled, pa.array(np.where(score >= CUT, "block", "allow")))
+            score = model.score(features(b.select(["url", "host", "path", "suffix_rate", "segment_rate"]).to_pandas()))
+            verdict = pc.coalesce(b.column("ruled"), pa.array(np.where(score >= CUT, "block", "allow")))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), b.column("rule"), verdict, pa.array(score)], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
     kind = p.schema["page_id"].dataType.simpleString()
-    return p.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return rated(p).select("page_id", "url", "host", "path", "rule", "ruled", "suffix_rate", "segment_rate").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
