@@ -318,6 +318,37 @@ def test_weak_secrets_need_company(spark):
     assert secrets.scan(edge.limit(0)).count() == 0
 
 
+def slow_links(t, reach):
+    base = slow_spans(t)
+    scope = lambda x: sum(m.end() <= x[0] for m in re.finditer(secrets.SCOPE, t))
+    close = lambda x, y: scope(x) == scope(y) and y[0] <= x[2] + reach and y[2] >= x[0] - reach
+    found = lambda k, p: [(m.start(), k, m.end()) for m in re.finditer(p, t) if not any(b[0] < m.end() and b[2] > m.start() for b in base)]
+    access = [b for b in base if b[1] == 1]
+    weak = [x for x in found(3, secrets.WEAK_SECRET) if any(close(x, y) for y in access)]
+    parts = weak + [b for b in base if b[1] == 0]
+    points = [x for x in found(4, secrets.ENDPOINT) if any(close(x, y) for y in access) and any(close(x, y) for y in parts)]
+    return sorted(base + weak + points)
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_links_and_redaction_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(secrets._pass, "__defaults__", (chunk,))
+    rnd = random.Random(8)
+    bits = ["AKIA" + "A1B2" * 4, "password: hunter2hunter2", "x" * 40, "https://db.example.com/a", "\n\n", "0123456789abcdef" * 2, "\u00e9 word ", "y" * 39 + "/"]
+    texts = [None, ""] + [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(40))) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(d, reach=60).collect():
+        assert [(x["start"], x["rank"], x["end"]) for x in r.spans] == slow_links(texts[r.id] or "", 60), texts[r.id]
+    for r in secrets.redact(d).collect():
+        t = texts[r.doc_id]
+        out, at = "", 0
+        for a, _, e in slow_links(t or "", secrets.REACH):
+            if a >= at:
+                out += (t or "")[at:a] + "[REDACTED]"
+            at = max(at, e)
+        assert r.text == (t if t is None else out + t[at:]), t
+
+
 def test_as_of_over_buckets_and_ties(spark):
     rnd = random.Random(7)
     left = [(i, rnd.choice("ab"), rnd.randrange(400)) for i in range(120)] + [(900, None, 5), (901, "a", None)]
@@ -353,6 +384,16 @@ def test_url_rules(spark):
     assert urlfilter.judge(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [urlfilter.BROADCAST_BYTES, 0])
+def test_url_rates_cover_every_key(spark, monkeypatch, most):
+    """Broadcast or joined by key, every page gets one row and the same score."""
+    rows = [(i, f"http://{h}.{t}/{g}/{i}") for i, (h, t, g) in enumerate((f"{a}.k{k}", t, g) for a in "ab" for k in range(40) for t in ("net", "org", "info") for g in ("fr", "de"))]
+    pages = spark.createDataFrame([*rows, (None, None), (7, rows[7][1])], "page_id long, url string")
+    want = sorted(map(str, urlfilter.judge(pages).collect()))
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", most)
+    assert sorted(map(str, urlfilter.judge(pages).collect())) == want and len(want) == len(rows) + 2
+
+
 def test_boosted_trees_learn():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(600, 4))

@@ -5,10 +5,11 @@ identifiers and long hexadecimal strings. Spans come from cutting a text at the
 pattern: pieces and matches alternate, so running sums of their lengths are the positions, in
 code points. Weak candidates (bare 40-character secrets and service endpoints) say little
 alone. They are linked by an interval join within a scope, the paragraph: a secret-shaped string
-is reported only if an access identifier and an endpoint or two different complementary parts
-lie within REACH code points of it in the same scope; an endpoint only if an access identifier
-and a secret (base assignment or weak) do. The join runs inside each document's row over its own
-spans, so no document's spans meet another's and nothing is shuffled.
+is reported only if an access identifier lies within REACH code points of it in the same scope;
+an endpoint only if an access identifier and a secret (base assignment or linked string) do. The
+join runs inside each document's row over its own spans, as sweeps forward and backward that carry
+the nearest part, so no document's spans meet another's, no two spans of a document are paired, and
+nothing is shuffled.
 
 Defined cases: a null text is scanned as empty; empty texts have no spans and the digest of the
 empty string. Repeated rows each get a row. Columns besides id and text are ignored by scan()
@@ -36,33 +37,84 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 BASE_KINDS = KINDS[:3]
 SCOPE = r"\n[\x20\t\r]*\n"
 REACH = 400
+#: Items to a chunk of a pass over spans.
+CHUNK = 256
+_FAR = 1 << 40
 
-_SPANS = "array<struct<start:long,end:long>>"
+_SPAN = "struct<start:long,end:long>"
+_ITEM = "struct<start:long,rank:int,end:long,scope:long,near:boolean,clear:boolean>"
 _TAGGED = "array<struct<start:long,rank:int,end:long>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pass(items: Column, state: Column, kind: str, step, chunk: int = CHUNK) -> Column:
+    """Outputs of one pass over items: step(state, x) gives the next state and an array of outputs of type kind.
+
+    Arrays are copied when they grow, so outputs are gathered by chunks of items: time is near
+    linear in their number, where one growing array would make it quadratic.
+    """
+
+    def inner(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def outer(acc, part):
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), inner)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def chunked(it):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(it) - 1) / F.lit(chunk)).cast("int")), lambda k: F.slice(it, k * chunk + 1, chunk))
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(it) > 0, F.aggregate(parts, zero, outer, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _let(items, chunked)
+
+
 def _spans(text: Column, pattern: str, keep=None) -> Column:
     """Start and end of every match; keep(match) may drop matches after they have taken their place."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), (keep(m) if keep else F.lit(True)).alias("ok")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
+    both = _let(found, lambda f: F.zip_with(F.slice(gaps, 1, F.size(f)), f, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), (keep(m) if keep else F.lit(True)).alias("ok"))))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def step(at, x):
+        start = at + x["gap"]
         end = start + x["len"]
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+        return end, F.when(x["ok"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(_none())
 
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    return _pass(both, F.lit(0).cast("long"), _SPAN, step)
 
 
 def _none() -> Column:
-    return F.array().cast(_SPANS)
+    return F.array().cast(f"array<{_SPAN}>")
 
 
-def _clear(spans: Column, x: Column) -> Column:
-    """x overlaps none of spans."""
-    return ~F.exists(spans, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
+def _flag(items: Column, part, base, reach: int) -> Column:
+    """items, in order, with near: part(y) holds for an item y of x's scope within reach; and clear: no item with base(y) overlaps x.
+
+    An interval join by sweeping. Parts don't overlap each other, so the nearest one before and the
+    nearest one after x decide: one pass forward, one backward.
+    """
+
+    def sweep(it, far, meets, overlaps, better):
+        def step(s, x):
+            near = x["near"] | ((s["scope"] == x["scope"]) & meets(s["at"], x))
+            clear = x["clear"] & ~overlaps(s["base"], x)
+            after = F.struct(
+                F.when(part(x), x["scope"]).otherwise(s["scope"]).alias("scope"), F.when(part(x), better(x)).otherwise(s["at"]).alias("at"),
+                (F.when(base(x), F.greatest(s["base"], x["end"]) if far < 0 else F.least(s["base"], x["start"])).otherwise(s["base"])).alias("base"),
+            )
+            out = F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["scope"].alias("scope"), near.alias("near"), clear.alias("clear"))
+            return after, F.array(out)
+
+        edge = F.lit(far).cast("long")
+        return _pass(it, F.struct(F.lit(-1).cast("long").alias("scope"), edge.alias("at"), edge.alias("base")), _ITEM, step)
+
+    ahead = sweep(items, -_FAR, lambda at, x: at >= x["start"] - reach, lambda b, x: b > x["start"], lambda x: x["end"])
+    return F.reverse(sweep(F.reverse(ahead), _FAR, lambda at, x: at <= x["end"] + reach, lambda b, x: b < x["end"], lambda x: x["start"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
@@ -90,26 +142,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
         F.when(some, _spans(F.col("_t"), ENDPOINT)).otherwise(_none()).alias("points"),
         F.when(some, _spans(F.col("_t"), SCOPE)).otherwise(_none()).alias("breaks"),
     )
-
-    def scoped(spans):
-        """Each span with the number of its scope: how many scope breaks lie before it."""
-        return F.transform(spans, lambda x: F.struct(F.size(F.filter(F.col("breaks"), lambda b: b["end"] <= x["start"])).alias("scope"), x["start"].alias("start"), x["end"].alias("end")))
-
-    d = d.select("id", "_t", "assign", "access", "hex", *[F.when(some, scoped(F.col(c))).alias(f"s_{c}") for c in ("assign", "access", "weak", "points")])
-
-    def linked(x, *parts):
-        """An interval join: of each part, one lies in x's scope and within reach of it."""
-        out = F.lit(True)
-        for p in parts:
-            out = out & F.exists(p, lambda y: (y["scope"] == x["scope"]) & (y["start"] <= x["end"] + reach) & (y["end"] >= x["start"] - reach))
-        return out
-
-    base = F.concat("assign", "access", "hex")
-    d = d.select("*", F.filter("s_weak", lambda x: linked(x, F.col("s_access")) & _clear(base, x)).alias("l_weak"))
-    d = d.select("*", F.filter("s_points", lambda x: linked(x, F.col("s_access"), F.concat("s_assign", "l_weak")) & _clear(base, x)).alias("l_points"))
     flat = lambda k, name: F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end")))
-    based = F.array_sort(F.concat(*[flat(i, n) for i, n in enumerate(BASE_KINDS)]))
-    d = d.select("id", "assign", "access", "hex", based.alias("base"), F.concat(*[F.coalesce(flat(i, n), F.array().cast(_TAGGED)) for i, n in ((3, "l_weak"), (4, "l_points"))]).alias("added"))
+    tags = lambda which: [flat(i, n) for i, n in which]
+    kinds = list(enumerate(("assign", "access", "hex", "weak", "points")))
+    base = F.array_sort(F.concat(*tags(kinds[:3])))
+    # scope breaks take their place among the spans by where they end, before spans that start there
+    ends = F.transform(F.col("breaks"), lambda x: F.struct(x["end"].alias("start"), F.lit(-1).alias("rank"), x["end"].alias("end")))
+
+    def numbered(scope, x):
+        is_break = x["rank"] < 0
+        item = F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), scope.alias("scope"), F.lit(False).alias("near"), F.lit(True).alias("clear"))
+        return scope + is_break.cast("long"), F.when(is_break, F.array().cast(f"array<{_ITEM}>")).otherwise(F.array(item))
+
+    items = F.when(some, _pass(F.array_sort(F.concat(ends, *tags(kinds))), F.lit(0).cast("long"), _ITEM, numbered))
+    by_access = _flag(items, lambda x: x["rank"] == 1, lambda x: x["rank"] < 3, reach)
+    d = d.select("id", "assign", "access", "hex", base.alias("base"), by_access.alias("_items"))
+    # weak secrets near an identifier stay, and so do endpoints near one, if a secret is near them too
+    left = F.transform(F.filter("_items", lambda x: (x["rank"] == 0) | (x["rank"] >= 3) & x["near"] & x["clear"]), lambda x: x.withField("near", F.lit(False)))
+    by_secret = _flag(left, lambda x: x["rank"].isin(0, 3), lambda x: F.lit(False), reach)
+    added = F.transform(F.filter(by_secret, lambda x: (x["rank"] == 3) | (x["rank"] == 4) & x["near"]), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+    d = d.select("id", "assign", "access", "hex", "base", F.coalesce(added, F.array().cast(_TAGGED)).alias("added"))
     return d.select("*", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
@@ -128,15 +180,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(key), F.col(text_col).alias("_scan_text"))
     s = scan(packed, key, "_scan_text")
     text = F.coalesce(F.col("id")[text_col], F.lit(""))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, x):
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(piece, F.lit(mark))).alias("out"))
-        merged = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((x["start"] < acc["at"]) & (acc["at"] > 0), merged).otherwise(fresh)
+    def step(at, x):
+        piece = F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int"))
+        return F.greatest(at, x["end"]), F.when(x["start"] < at, F.array().cast("array<string>")).otherwise(F.array(piece, F.lit(mark)))
 
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    pieces = _pass(F.col("spans"), F.lit(0).cast("long"), "string", step)
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    done = F.concat(F.array_join(pieces, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
     new = F.when(F.size("spans") > 0, done).otherwise(F.col("id")[text_col])
     return s.select(*[(new if c == text_col else F.col("id")[c]).alias(c) for c in docs.columns])
 
