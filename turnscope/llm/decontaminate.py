@@ -37,7 +37,8 @@ TERM, GRAM = 3, 5
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.8
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_BYTES = 16 << 20
+#: So small that a shard has less than 2^21 different words, whose numbers then fit an integer by threes.
+SHARD_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[str]:
