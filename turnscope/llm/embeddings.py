@@ -1,7 +1,7 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 Equal vectors are one node with a multiplicity. Nodes are dealt to the OVERLAP nearest of k
-centroids (fitted on a bounded sample of CENTROID_SAMPLE nodes), so shards overlap; in each shard a
+centroids (fitted on a bounded sample: PER_FIT for each of up to MAX_CENTROIDS, SAMPLE_BYTES at most), so shards overlap; in each shard a
 flat graph is built: nearest and random candidates of every node pruned by the robust rule (drop
 what an accepted neighbour is clearly nearer to), edges both ways. The adjacency lists of a node from all its
 shards are united, and every node is searched for from its shards' medoids along the united lists: a
@@ -29,7 +29,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, table
 
 MIN_COSINE = 0.9
-OVERLAP, SHARD, PER_CENTROID, MAX_CENTROIDS, CENTROID_SAMPLE = 3, 2_400, 350, 4_096, 16_384
+OVERLAP, SHARD, PER_CENTROID, MAX_CENTROIDS = 3, 2_400, 350, 32_768
+#: Centroids are fitted on so many nodes each, of SAMPLE_BYTES together at most; on small tables on CENTROID_SAMPLE.
+PER_FIT, CENTROID_SAMPLE, SAMPLE_BYTES = 4, 16_384, 256 << 20
+#: Similarities to centroids held at once, per task.
+DEAL_CELLS = 1 << 22
 NEAREST, RANDOM, DEGREE, ALPHA, BEAM = 48, 24, 24, 1.2, 24
 #: The search in single precision goes this far beyond the range, the check in double decides.
 SLACK = 2e-3
@@ -152,16 +156,20 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Da
 
 def centroids(nodes: DataFrame, n: int, rounds: int = 4) -> np.ndarray:
     """Spherical k-means on a bounded sample in hash order."""
-    got = nodes.orderBy(F.xxhash64("packed"), "node").limit(CENTROID_SAMPLE).collect()
-    x = _unit([r["packed"] for r in got])
-    k = int(min(MAX_CENTROIDS, max(1, -(-n // PER_CENTROID)), len(x)))
+    wanted = min(MAX_CENTROIDS, max(1, -(-n // PER_CENTROID)))
+    dim = nodes.select("dim").first()[0]
+    rows = min(max(CENTROID_SAMPLE, PER_FIT * wanted), max(PER_FIT, SAMPLE_BYTES // (8 * dim)))
+    x = _unit([r["packed"] for r in nodes.orderBy(F.xxhash64("packed"), "node").limit(rows).select("packed").collect()])
+    k = int(min(wanted, -(-len(x) // PER_FIT) if wanted > CENTROID_SAMPLE // PER_FIT else len(x)))
     c = x[:k].copy()
     for _ in range(rounds):
-        own = np.concatenate([(x[i : i + 2048] @ c.T).argmax(axis=1) for i in range(0, len(x), 2048)])
-        for j in range(k):
-            mine = x[own == j]
-            if len(mine) and (s := np.linalg.norm(mine.sum(axis=0))) > 0:
-                c[j] = mine.sum(axis=0) / s
+        step = max(1, DEAL_CELLS // k)
+        own = np.concatenate([(x[i : i + step] @ c.T).argmax(axis=1) for i in range(0, len(x), step)])
+        order = np.argsort(own, kind="stable")
+        for mine in np.split(order, np.nonzero(np.diff(own[order]))[0] + 1):
+            total = x[mine].sum(axis=0)
+            if (s := np.linalg.norm(total)) > 0:
+                c[own[mine[0]]] = total / s
     return c
 
 
@@ -174,8 +182,9 @@ def _dealt(nodes: DataFrame, cents: np.ndarray) -> DataFrame:
             if not b.num_rows:
                 continue
             x = _unit(b.column(1).to_pylist())
-            s = x @ cents.T
-            top = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1)
+            step = max(1, DEAL_CELLS // len(cents))
+            top = np.concatenate([np.argpartition(-(x[i : i + step] @ cents.T), m - 1, axis=1)[:, :m] for i in range(0, len(x), step)])
+            top = np.sort(top, axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["node", "packed", "mult", "shards"])
 
     near_ = materialize(nodes.select("node", "packed", "mult").mapInArrow(near, "node long, packed binary, mult long, shards array<int>"), "emb-near")
