@@ -95,6 +95,59 @@ def test_op1_edges(spark):
 # --- repeats ---------------------------------------------------------------------------------
 
 
+def planted_copies(rnd, n=40):
+    """Texts with near copies, words of the original replaced one by one, and a large group of copies of one."""
+    word = lambda: "w%d" % rnd.randrange(3000)
+    out = []
+    for _ in range(n):
+        text = [word() for _ in range(rnd.choice([30, 80, 130, 400]))]
+        out.append(" ".join(text))
+        for _ in range(rnd.randrange(4)):
+            copy = list(text)
+            for _ in range(rnd.choice([1, 1, 2, 3, 6])):
+                copy[rnd.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+    first = out[0].split()
+    out += [" ".join(first[:k] + [word()] + first[k + 1 :]) for k in range(len(first))]
+    return out + ["a b c", "A  b c", "", " ", None, "a b", "line of a licence " * 9, "line of a licence " * 30]
+
+
+def jaccard(a, b):
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("block", [4 << 20, 900])
+def test_similar_documents_against_brute_force(spark, monkeypatch, block):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    texts = dict(enumerate(planted_copies(random.Random(8))))
+    docs = documents(spark, [(i, t, "a") for i, t in texts.items()])
+    got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
+    want = components(texts, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert got == want
+    assert len({*want.values()}) < len({r.component for r in simhash.near_duplicates(docs).collect()})
+    if block > 900:
+        assert {r.doc_id for r in p.dedup_stage(spark, docs, SMALL).collect()} == {*want.values()}
+
+
+def test_similar_links_are_whole():
+    rnd = random.Random(3)
+    sets = []
+    for _ in range(150):
+        base = {rnd.randrange(10**6) for _ in range(rnd.randrange(1, 60))} if not sets or rnd.random() < 0.3 else {*rnd.choice(sets)}
+        sets.append({x for x in base if rnd.random() > 0.06} | {rnd.randrange(10**6) for _ in range(rnd.randrange(3))})
+    found = {frozenset(x) for x in simhash.similar_links([np.array(sorted(s), np.uint64) for s in sets])}
+    near = lambda a, b: bool(sets[a] | sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(near(*x) for x in found)
+    assert components(range(150), lambda a, b: frozenset((a, b)) in found) == components(range(150), near)
+
+
 def test_suffix_array():
     rnd = random.Random(3)
     for _ in range(600):

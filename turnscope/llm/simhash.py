@@ -14,6 +14,13 @@ Defined cases: null and empty texts, and texts without words, have fingerprint z
 with each other and with whatever lies within the distance. A null doc_id never names a
 component unless no other id is in it (then component_id is null). Repeated rows each get a row.
 Columns besides id and text are ignored, so their names cannot clash. An empty table gives none.
+
+similar_documents() links by the Jaccard similarity of word shingle sets instead. At similarity 0.8
+fingerprints lie about 10 of 64 bits apart and up to 17 or so, where no count of shared bytes is
+guaranteed. Its candidates therefore also meet by BANDS keys of ROWS min-hashes each, which miss a pair
+at similarity 0.8 with probability (1 - 0.8^5)^28 = 1.5e-5 and closer ones less. Components of the
+candidates are verified exactly, all pairs that aren't yet connected. Documents of equal shingle sets
+are one node; texts without words have the empty set, which is similar to itself only.
 """
 
 from __future__ import annotations
@@ -34,18 +41,32 @@ POSITION_SETS = list(combinations(range(BYTES), MIN_MATCHES))
 #: Posting lists up to this length are compared pair by pair, longer ones by flipping bits.
 PAIRWISE = 48
 STEP = 1 << 15
+#: Jaccard similarity: words to a shingle, the least similarity, keys of so many min-hashes each.
+WORDS, LEAST = 5, 0.8
+BANDS, ROWS = 28, 5
+#: Bytes of text verified at once; larger components are dealt as pairs of blocks of half of that.
+BLOCK_BYTES = 4 << 20
+_MIX = np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS, ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit fingerprint as an unsigned integer; whole text, repeats included."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; a shorter text is one shingle, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.split() cuts at 20 and 09-0D only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         words, shingle = [b" ".join(words)], 1
-    n = len(words) - shingle + 1
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit fingerprint as an unsigned integer; whole text, repeats included."""
+    return _majority(shingle_hashes(text, shingle, seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, STEP):
         bits = np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -150,6 +171,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band for a set of shingle hashes, none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    keys = np.empty(BANDS, np.uint64)
+    for k in range(BANDS):
+        keys[k] = xxhash.xxh64_intdigest(((hashes ^ _MIX[0, k]) * _MIX[1, k]).min(axis=1).tobytes(), k)
+    return keys
+
+
+def similar_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """Links that span the components of all pairs of sets (sorted, distinct) of Jaccard similarity `least` or more.
+
+    First neighbours in a few min-hash orders are verified, which connects most of a large group. Then every
+    set outside the largest component meets all others by an inverted index, so each unconnected pair is tested.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets])
+    parent = list(range(m))
+    out = []
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def unite(i, j):
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    some = [i for i in range(m) if sizes[i]]
+    for mix in _MIX.reshape(2, -1)[:, :8].T:
+        low = {i: int(((sets[i] ^ mix[0]) * mix[1]).min()) for i in some}
+        order = sorted(some, key=low.get)
+        for i, j in zip(order, order[1:]):
+            if low[i] == low[j] and root(i) != root(j):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= least * (sizes[i] + sizes[j] - both) - 1e-9:
+                    unite(i, j)
+    roots = np.array([root(i) for i in range(m)])
+    if not some or (roots == roots[0]).all():
+        return out
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(m), sizes)[np.argsort(token, kind="stable")]
+    edge = np.concatenate([[0], np.cumsum(np.bincount(token))])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for i in np.nonzero(roots != np.bincount(roots).argmax())[0]:
+        own = token[at[i] : at[i + 1]]
+        own = own[edge[own + 1] - edge[own] > 1]
+        if not len(own):
+            continue
+        both = np.bincount(np.concatenate([holders[edge[t] : edge[t + 1]] for t in own]), minlength=m)
+        for j in np.nonzero((both > 0) & (both >= least * (sizes + sizes[i] - both) - 1e-9))[0]:
+            unite(int(i), int(j))
+    return out
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, node, fp, keys): node is the digest of the shingle set."""
+
+    def run(batches):
+        for b in batches:
+            node, fp, keys = [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), words)
+                own = np.unique(h)
+                node.append(xxhash.xxh64_intdigest(own.tobytes()))
+                fp.append(_majority(h))
+                keys.append(band_keys(own).view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, node long, fp long, keys array<long>")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(node, root): components of nodes that share a band key or whose fingerprints link."""
+    posts = nodes.select("node", F.explode("keys").alias("key"))
+    lows = materialize(posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low"), "similar-lows")
+    banded = posts.join(lows, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    heads = materialize(nodes.filter(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
+    equal = nodes.filter(F.size("keys") > 0).join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
+    close = fingerprint_links(heads.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    out = materialize(connected_components(banded.unionByName(equal).unionByName(close)), "similar-candidates")
+    release(lows, heads)
+    return out
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(id, component): component is the smallest id reachable over pairs of Jaccard similarity `least` or more.
+
+    The keys are laid out for a least similarity of about 0.8 and more.
+    """
+    prints = materialize(_sketches(docs, id_col, text_col, words), "similar-prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-nodes")
+    comps = _candidates(nodes)
+    lows = comps.join(nodes.select("node", "low"), "node")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cand = materialize(lows.join(texts, lows["low"].eqNullSafe(texts["id"])).select("root", "node", "text", F.octet_length("text").cast("long").alias("bytes")), "similar-texts")
+    total = cand.agg(F.sum("bytes")).first()[0] or 0
+    large = cand.groupBy("root").agg(F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("parts")).filter("parts > 1")
+    # at most total / BLOCK_BYTES rows
+    dealt = cand.join(F.broadcast(large), "root", "left").withColumn("n", F.coalesce(2 * F.col("parts"), F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    shard = F.when(F.col("n") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(1 + 2 * total // BLOCK_BYTES)))
+    dealt = dealt.select((F.col("n") > 1).alias("cut"), shard.alias("shard"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "text")
+
+    def verify(t: pa.Table) -> pa.Table:
+        sets = {}
+        for node, text in zip(t.column("node").to_numpy().tolist(), t.column("text")):
+            own = np.unique(shingle_hashes(text.as_py(), words))
+            if np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64) == node:  # a repeated id may bring another text
+                sets[node] = own
+        ids = list(sets)
+        found = similar_links(list(sets.values()), least)
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    links = dealt.groupBy("cut", "shard", "a", "b").applyInArrow(verify, "a long, b long")
+    roots = materialize(connected_components(links), "similar-roots")
+    members = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"), "similar-members")
+    least_ids = materialize(members.groupBy("root").agg(F.min("low").alias("component")), "similar-ids")
+    named = materialize(members.join(least_ids, "root").select("node", "component"), "similar-named")
+    release(nodes, comps, cand, roots, members, least_ids)
+    return prints.join(named, "node").select("id", "component")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     from .common import table
