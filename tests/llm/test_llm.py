@@ -478,6 +478,26 @@ def test_op9_against_brute_force(spark, monkeypatch, shard):
     assert got[None][1] == 0 and not got[None][2] and embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def isolated_pairs(n, low, high, seed, dim=64):
+    """2n unit vectors of no preferred direction; rows i and n + i have a cosine between low and high."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, r = unit(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    r = unit(r - (r * a).sum(axis=1, keepdims=True) * a)
+    cos = rng.uniform(low, high, (n, 1))
+    return np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * r])
+
+
+def test_isolated_pairs_among_many_centroids(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PER_CENTROID", 8)
+    n = 4000
+    x = isolated_pairs(n, 0.9, 0.92, 6)  # 1,000 centroids
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embeddings.near_duplicates(vectors).filter("n_links > 0").count()
+    assert found >= 0.95 * 2 * n
+    assert [embeddings.overlap(k) for k in (1, 64, 65, 256, 571, 5715, 32768)] == [3, 3, 4, 4, 5, 7, 8]
+
+
 def test_audit(spark):
     e = common.table(spark, SMALL, "embeddings")
     assert embeddings.audit(e, embeddings.near_duplicates(e)) == 1.0

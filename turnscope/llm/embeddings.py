@@ -1,7 +1,8 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors are one node with a multiplicity. Nodes are dealt to the OVERLAP nearest of k
-centroids (fitted on a bounded sample: PER_FIT for each of up to MAX_CENTROIDS, SAMPLE_BYTES at most), so shards overlap; in each shard a
+Equal vectors are one node with a multiplicity. Nodes are dealt to the overlap(k) nearest of k
+centroids (OVERLAP of up to 64, one more for each further factor of four, since more centroids part more close pairs;
+fitted on a bounded sample: PER_FIT for each of up to MAX_CENTROIDS, SAMPLE_BYTES at most), so shards overlap; in each shard a
 flat graph is built: nearest and random candidates of every node pruned by the robust rule (drop
 what an accepted neighbour is clearly nearer to), edges both ways. The adjacency lists of a node from all its
 shards are united, and every node is searched for from its shards' medoids along the united lists: a
@@ -10,7 +11,7 @@ What is found is verified by cosine in double precision. A pair met in several s
 in the smallest only, so links are counted without listing pairs; what leaves a shard are
 counts and spanning links. audit() measures recall against brute force.
 
-A shard of more than SHARD nodes (a hot region) is dealt as pairs of its blocks, each pair a
+A shard of more than SHARD nodes for each OVERLAP of overlap(k) (a hot region) is dealt as pairs of its blocks, each pair a
 task of bounded size that counts the pairs between its two blocks, so none is lost.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with
@@ -29,16 +30,26 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, table
 
 MIN_COSINE = 0.9
+#: OVERLAP holds up to FEW_CENTROIDS.
+FEW_CENTROIDS = 64
 OVERLAP, SHARD, PER_CENTROID, MAX_CENTROIDS = 3, 2_400, 350, 32_768
 #: Centroids are fitted on so many nodes each, of SAMPLE_BYTES together at most; on small tables on CENTROID_SAMPLE.
 PER_FIT, CENTROID_SAMPLE, SAMPLE_BYTES = 4, 16_384, 256 << 20
-#: Similarities to centroids held at once, per task.
+#: Similarities to centroids, or of a shard's nodes when they are ranked, held at once, per task.
 DEAL_CELLS = 1 << 22
 NEAREST, RANDOM, DEGREE, ALPHA, BEAM = 48, 24, 24, 1.2, 24
 #: The search in single precision goes this far beyond the range, the check in double decides.
 SLACK = 2e-3
 
 
+def overlap(k: int) -> int:
+    """Nearest centroids, of k, that a node is dealt to."""
+    more = 0
+    while FEW_CENTROIDS * 4**more < k:
+        more += 1
+    return OVERLAP + more
+
+
 def _unit(raw) -> np.ndarray:
     x = np.stack([np.frombuffer(v, np.float64) for v in raw]) if len(raw) else np.zeros((0, 1))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -52,7 +63,8 @@ def build_graph(x: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     c = min(NEAREST, n - 1)
     sims = x @ x.T
     np.fill_diagonal(sims, -2)
-    near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+    step = max(1, DEAL_CELLS // n)
+    near = np.concatenate([np.argpartition(-sims[i : i + step], c - 1, axis=1)[:, :c] for i in range(0, n, step)])
     far = np.random.default_rng(seed).integers(0, n, (n, RANDOM))
     cand = np.concatenate([near, far], axis=1)
     rows = np.arange(n)[:, None]
@@ -177,7 +189,7 @@ def _dealt(nodes: DataFrame, cents: np.ndarray) -> DataFrame:
     """(shard, a, b, block, node, packed, mult, shards): blocks a and b of a shard meet in one task; shards: all of the node's."""
 
     def near(batches):
-        m = min(OVERLAP, len(cents))
+        m = min(overlap(len(cents)), len(cents))
         for b in batches:
             if not b.num_rows:
                 continue
@@ -188,7 +200,7 @@ def _dealt(nodes: DataFrame, cents: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["node", "packed", "mult", "shards"])
 
     near_ = materialize(nodes.select("node", "packed", "mult").mapInArrow(near, "node long, packed binary, mult long, shards array<int>"), "emb-near")
-    sizes = near_.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / F.lit(SHARD)).alias("parts"))
+    sizes = near_.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / F.lit(SHARD * overlap(len(cents)) // OVERLAP)).alias("parts"))
     # at most MAX_CENTROIDS rows
     rows = near_.select("node", "packed", "mult", "shards", F.explode("shards").alias("shard")).join(F.broadcast(sizes), "shard")
     half = F.when(F.col("parts") > 1, 2 * F.col("parts")).otherwise(1)
