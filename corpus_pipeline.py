@@ -39,8 +39,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; the documents stay, n_chars follows."""
-    out = secrets.redact(docs)
+    """Secrets are cut out of the texts, parts linked in the whole paragraph; the documents stay, n_chars follows."""
+    out = secrets.redact(docs, reach=None)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 

@@ -117,11 +117,12 @@ def _flag(items: Column, part, base, reach: int) -> Column:
     return F.reverse(sweep(F.reverse(ahead), _FAR, lambda at, x: at <= x["end"] + reach, lambda b, x: b < x["end"], lambda x: x["start"]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """One row per row of docs: id, the base spans by kind, the linked weak spans and all spans in order.
 
-    A span is (kind, start, end), code points, end exclusive.
+    A span is (kind, start, end), code points, end exclusive. Without reach the scope alone bounds the links.
     """
+    reach = _FAR if reach is None else reach
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), text.alias("_t"))
     # whole-text tests that cost a byte search skip the pattern machinery for texts without a chance
@@ -171,14 +172,14 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", reach: int | None = REACH) -> DataFrame:
     """docs with every span of the scan replaced by mark in the text, overlapping spans as one; other columns stay.
 
     The scan is evaluated on the row itself, so nothing is joined back and repeated ids do no harm.
     """
     key = "_scan_row"
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(key), F.col(text_col).alias("_scan_text"))
-    s = scan(packed, key, "_scan_text")
+    s = scan(packed, key, "_scan_text", reach)
     text = F.coalesce(F.col("id")[text_col], F.lit(""))
 
     def step(at, x):
