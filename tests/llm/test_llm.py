@@ -237,6 +237,17 @@ def test_op3_edges(spark):
     assert decontaminate.search(docs, items.limit(0)).count() == 0 and decontaminate.search(docs.limit(0), items).count() == 0
 
 
+def test_op3_whole_question_with_another_answer(spark):
+    ask = " ".join(f"q{i}" for i in range(20)) + "?"
+    short = "why is that so?"
+    items = spark.createDataFrame([(1, ask + " " + " ".join(f"a{i}" for i in range(12))), (2, ask + " " + " ".join(f"b{i}" for i in range(60))), (3, short + " " + " ".join(f"c{i}" for i in range(30)))], "item_id long, text string")
+    noise = " ".join(f"n{i}" for i in range(300))
+    docs = documents(spark, [(1, f"{noise} {ask} {noise}", "a"), (2, f"{noise} {short} {noise}", "a"), (3, " ".join(f"a{i}" for i in range(12)), "a"), (4, " ".join(f"q{i}" for i in range(10)), "a")])
+    got = {(r.id, r.item): (r.overlap < 0.8, r.question_overlap) for r in decontaminate.search(docs, items).collect()}
+    assert got == {(1, 1): (True, 1.0), (1, 2): (True, 1.0)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {2, 3, 4}
+
+
 # --- toxicity and quality ----------------------------------------------------------------------
 
 

@@ -9,7 +9,9 @@ passage; each passage is a query, and WAND with block maxima returns all items a
 threshold, skipping the rest by upper bounds. Hits are verified on word five-grams: the share
 of the question's (the item but for its last sentence) and of the answer's (its last sentence)
 that the passage holds; an item of one sentence is both. A hit counts if the whole item reaches
-MIN_OVERLAP (0.8), and question and answer are reported apart.
+MIN_OVERLAP (0.8), or the question does that has QUESTION_WORDS (8) words or more; an answer alone doesn't.
+Such questions are entries of the index beside their items, so that WAND finds them whatever the
+answer's length; the score is the item's where that reaches MIN_SCORE, else the question's.
 
 The index goes to the executors by broadcast; its size is bounded, as items are dealt to shards of
 at most SHARD_BYTES of text and each shard is one pass. The corpus is never shuffled.
@@ -35,6 +37,8 @@ from .common import slices, table
 
 TERM, GRAM = 3, 5
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.8
+#: A question of fewer words is too common to be a leak alone.
+QUESTION_WORDS = 8
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: So small that a shard has less than 2^21 different words, whose numbers then fit an integer by threes.
@@ -74,6 +78,10 @@ class ItemIndex:
         #: word numbers; 0 is any other word
         self.word = {w: k for k, w in enumerate(sorted({x for _, ws in self.items for x in ws}), 1)}
         self.short = {tuple(w): None for _, w in self.items if len(w) < TERM}
+        #: entries of the index: whole items by their number, then long questions
+        self.asks = [len(q) >= QUESTION_WORDS and len(q) < len(w) for (_, w), (q, _) in zip(self.items, self.parts)]
+        self.entry = [*range(len(self.items)), *(d for d, ask in enumerate(self.asks) if ask)]
+        counts += [Counter(grams(q, TERM)) for (q, _), ask in zip(self.parts, self.asks) if ask]
         impact = []
         for c in counts:
             norm = K1 * (1 - B + B * sum(c.values()) / mean)
@@ -177,6 +185,7 @@ class ItemIndex:
             return []
         step = self.longest
         best: dict[int, tuple] = {}
+        rank: dict[int, tuple] = {}
         last = max(0, -(-len(words) // step) - 2)
         lows = {min(max(int(p) // step - back, 0), last) for p in at for back in (0, 1)}
         for k in sorted(lows):
@@ -185,13 +194,14 @@ class ItemIndex:
             if lo == hi:
                 continue
             passage = None
-            for d, score in self.search(terms[lo:hi].tolist(), MIN_SCORE):
+            for e, score in self.search(terms[lo:hi].tolist(), MIN_SCORE):
+                d = self.entry[e]
                 if passage is None:
                     passage = set(grams(words[start:end], GRAM))
                     short = words[start:end]
                 over = tuple(self._share(g, passage, short) for g in self.gram_sets[d])
-                if over[0] >= MIN_OVERLAP and (d not in best or (over[0], score) > (best[d][1], best[d][0])):
-                    best[d] = (score, *over)
+                if (over[0] >= MIN_OVERLAP or self.asks[d] and over[1] >= MIN_OVERLAP) and (d not in best or (over[0], e == d, score) > rank[d]):
+                    best[d], rank[d] = (score, *over), (over[0], e == d, score)
         return [(self.items[d][0], *v) for d, v in sorted(best.items())]
 
     @staticmethod
