@@ -22,11 +22,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest doc_id. Near duplicates
     share 0.8 of their five-word shingles, by exact Jaccard similarity.
 
-    A document without an id takes a negative one for this stage, from a hash of its row. Rows that
-    repeat an id are one document, of which the smallest row stays.
+    Rows are told apart by doc_id and a hash of the row, so unlike texts that repeat an id are
+    documents of their own; equal rows are one. A document without an id takes a negative one for
+    this stage, from that hash.
     """
-    own = F.lit(-1).cast("long") - F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 62))
-    keyed = docs.withColumn("_pipe_id", F.coalesce(F.col("doc_id"), own))
+    own = F.xxhash64(*docs.columns)
+    number = F.coalesce(F.col("doc_id"), F.lit(-1).cast("long") - F.pmod(own, F.lit(1 << 62)))
+    keyed = docs.withColumn("_pipe_id", F.struct(number.alias("number"), own.alias("row")))
     found = simhash.similar_documents(keyed, "_pipe_id")
     kept = common.materialize(found.filter("id = component").select(F.col("id").alias("_pipe_kept")).distinct(), "pipe-kept")
     rows = keyed.join(kept, keyed["_pipe_id"] == kept["_pipe_kept"], "left_semi").groupBy("_pipe_id").agg(F.min(F.struct(*docs.columns)).alias("_pipe_row"))

@@ -148,6 +148,15 @@ def test_similar_links_are_whole():
     assert components(range(150), lambda a, b: frozenset((a, b)) in found) == components(range(150), near)
 
 
+def test_dedup_stage_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a"), "s"), (5, text("a"), "s"), (5, text("b"), "s"), (5, text("c"), "s"), (5, text("c"), "s"), (None, text("d"), "s"), (None, text("e"), "s")]
+    out = p.dedup_stage(spark, documents(spark, rows), SMALL)
+    assert sorted((str(r.doc_id), r.text[0]) for r in out.collect()) == [("1", "a"), ("5", "b"), ("5", "c"), ("None", "d"), ("None", "e")]
+
+
 def test_suffix_array():
     rnd = random.Random(3)
     for _ in range(600):
