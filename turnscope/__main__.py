@@ -56,8 +56,8 @@ def run_decisions(spark, a) -> None:
 
 
 def run_grounding(spark, a) -> None:
-    s = spark.read.parquet(a.input)
-    for name, df in (("rates", grounding.grounding_rates(s, ["platform"], a.level)), ("over_time", grounding.mean_of_ratios(s, ["platform", "month"])), ("domains", grounding.cited_domain_split(s, a.level)), ("top_domains", grounding.top_domains(s, 20))):
+    s = grounding.matchable(spark.read.parquet(a.input))
+    for name, df in (("rates", grounding.grounding_rates(s, ["platform"], a.level)), ("over_time", grounding.mean_of_ratios(s, ["platform", "month"], a.level)), ("domains", grounding.cited_domain_split(s, a.level)), ("top_domains", grounding.top_domains(s, 20))):
         tables.write_summary(df, f"{a.output}/{name}", by=None)
 
 

@@ -96,6 +96,59 @@ def exact_ratio_ci(df: DataFrame, by: list[str], cluster: str, numerator: str, d
     return sums.groupBy(*by).applyInPandas(run, f"{kinds}, n_clusters long, ratio double, ci_low double, ci_high double")
 
 
+def group_ci(numerators: np.ndarray, denominators: np.ndarray, confidence: float = 0.95, n_bootstrap: int = 1_000, seed: int = 42) -> np.ndarray:
+    """(estimate, low, high) by group, over responses drawn once for all groups; the arrays have a row per response and a column per group."""
+    p, q = np.asarray(numerators, float), np.asarray(denominators, float)
+    rng, n = np.random.default_rng(seed), len(p)
+    out = np.full((n_bootstrap, p.shape[1]), np.nan)
+    for k in range(n_bootstrap if n else 0):
+        w = np.bincount(rng.integers(0, n, size=n), minlength=n)
+        a, b = w @ p, w @ q
+        np.divide(a, b, out=out[k], where=b > 0)
+    rows = []
+    for g in range(p.shape[1]):
+        drawn = out[np.isfinite(out[:, g]), g]
+        ends = np.quantile(drawn, [(1 - confidence) / 2, (1 + confidence) / 2]) if len(drawn) else (np.nan, np.nan)
+        rows.append((p[:, g].sum() / q[:, g].sum() if q[:, g].sum() > 0 else np.nan, *ends))
+    return np.array(rows)
+
+
+def _by_response(df: DataFrame, response: list[str], group: str, groups: list[str], by: list[str], value: str | None) -> DataFrame:
+    """Per response an array of numerators and one of denominators by group: sums and counts of value, or claims of the group and all claims."""
+    cell = lambda x: F.array(*[F.coalesce(F.sum(F.when(F.col(group) == g, x)), F.lit(0)).cast("double") for g in groups])
+    p = cell(F.lit(1) if value is None else F.col(value).cast("double"))
+    q = F.array(*[F.count("*").cast("double")] * len(groups)) if value is None else cell(F.col(value).isNotNull().cast("int"))
+    return df.groupBy(*by, *response).agg(p.alias("_p"), q.alias("_q"))
+
+
+def exact_group_ci(df: DataFrame, by: list[str], response: list[str], group: str, groups: list[str], value: str | None = None, n_bootstrap: int = 1_000, seed: int = 42) -> DataFrame:
+    """Seeded bootstrap by response, the same draws for all groups: means of value, or shares of claims where value is None.
+
+    Responses are summed by Spark first and taken in the order of their keys; those of one `by` must fit a task (a few numbers each).
+    poisson_group_ci() is for any size.
+    """
+    sums = _by_response(df, response, group, groups, by, value)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(response)
+        p, q = (np.stack(pdf[c].to_list()) for c in ("_p", "_q"))
+        ci = group_ci(p, q, n_bootstrap=n_bootstrap, seed=seed)
+        head = [[*(pdf[c].iloc[0] for c in by), g, int(p[:, k].sum() if value is None else q[:, k].sum()), len(pdf), *ci[k]] for k, g in enumerate(groups)]
+        return pd.DataFrame(head, columns=[*by, group, "n", "n_responses", "estimate", "ci_low", "ci_high"])
+
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    return sums.groupBy(*by).applyInPandas(run, f"{kinds}{group} string, n long, n_responses long, estimate double, ci_low double, ci_high double")
+
+
+def poisson_group_ci(df: DataFrame, by: list[str], response: list[str], group: str, groups: list[str], value: str | None = None, replicates: int = 200, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """The same estimates and intervals at any size, by Poisson weights of responses from hashes."""
+    sums = _by_response(df, response, group, groups, by, value).withColumn("_response", F.xxhash64(*response))
+    cells = sums.select(*by, "_response", F.posexplode(F.arrays_zip("_p", "_q")).alias("_g", "_c")).select(*by, "_response", F.element_at(F.array(*[F.lit(g) for g in groups]), F.col("_g") + 1).alias(group), "_c._p", "_c._q")
+    n = cells.groupBy(*by, group).agg(F.sum("_p" if value is None else "_q").cast("long").alias("n"))
+    ci = poisson_ratio_ci(cells, [*by, group], "_response", "_p", "_q", replicates, seed, confidence)
+    return ci.join(n, [*by, group]).select(*by, group, "n", F.col("n_clusters").alias("n_responses"), F.col("ratio").alias("estimate"), "ci_low", "ci_high")
+
+
 def poisson_ratio_ci(df: DataFrame, by: list[str], cluster: str, numerator: str, denominator: str, replicates: int = 200, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """The same for any size: each cluster takes part in each replicate a Poisson(1) number of times, drawn from a hash.
 

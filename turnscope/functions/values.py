@@ -45,7 +45,8 @@ def bucket(n: Column, cap: int, plus: bool = True) -> Column:
 
 
 def outcome_key(base: Column, other: Column) -> Column:
-    return F.when(base & other, "both").when(base, "base_only").when(other, "other_only").otherwise("neither")
+    called = lambda c: F.when(c, "called").otherwise("not_called")
+    return F.concat(F.lit("base_"), called(base), F.lit("_and_model_"), called(other))
 
 
 def parse_bool(value: Column) -> Column:

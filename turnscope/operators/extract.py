@@ -7,9 +7,11 @@ one aggregate by turn.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a web search call on each platform.
 MARKER_TOOL = "web_search"
@@ -23,28 +25,36 @@ PLATFORMS = ("chatgpt", "claude", "grok", "deepseek")
 # --- order of messages ---------------------------------------------------------------------
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _walk(keys: pd.Series, parents: pd.Series, children: pd.Series, last: pd.Series, by_parent: pd.Series) -> pd.Series:
+    """Places of the nodes of each walk, in time linear in the nodes."""
+
+    def one(keys, parents, children, last, by_parent):
+        place = {k: i for i, k in enumerate(keys)}
+        first: dict = {}
+        for i, p in enumerate(parents):
+            first.setdefault(p, i)
+        loose = [i for i, p in enumerate(parents) if p is None or p not in place or (not last and p == "root")]
+        at, out = (loose[-1 if last else 0] if loose else None), []
+        while at is not None and len(out) < len(keys):  # a cycle ends there
+            out.append(at)
+            after = children[at]
+            at = place.get(after) if after is not None else first.get(keys[at]) if by_parent else None
+        return out
+
+    return pd.Series([None if k is None else one(k, p, c, *how) for k, p, c, *how in zip(keys, parents, children, last, by_parent)], dtype=object)
+
+
 def walk_tree(mapping: Column, root: str, by_parent: bool) -> Column:
     """Nodes of a message tree along first children, from the root on.
 
     root: 'last' or 'first' among nodes without a known parent. by_parent: a node without children
     is followed by the first node that names it as parent. The walk takes at most as many steps as there are nodes,
-    so a cycle ends it.
+    so a cycle ends it. Only keys and links go through Python, batch by batch; looking a key up in a map is linear, so walks in a column expression are quadratic.
     """
-    entries = F.map_entries(mapping)
-    keys = F.map_keys(mapping)
-    loose = F.filter(entries, lambda e: e["value"]["parent"].isNull() | ~F.array_contains(keys, e["value"]["parent"]) | ((e["value"]["parent"] == "root") if root == "first" else F.lit(False)))
-    start = F.try_element_at(loose, F.lit(-1 if root == "last" else 1))["key"]
-
-    def step(acc, _):
-        node = F.try_element_at(mapping, acc["at"])
-        child = F.try_element_at(node["children"], F.lit(1))
-        if by_parent:
-            child = F.coalesce(child, F.try_element_at(F.filter(entries, lambda e: e["value"]["parent"] == acc["at"]), F.lit(1))["key"])
-        return F.when(node.isNull(), acc).otherwise(F.struct(child.alias("at"), F.concat(acc["path"], F.array(acc["at"])).alias("path")))
-
-    zero = F.struct(start.alias("at"), F.array().cast("array<string>").alias("path"))
-    path = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))), zero, step, lambda acc: acc["path"])
-    return F.transform(path, lambda k: F.try_element_at(mapping, k))
+    values = F.map_values(mapping)
+    path = _walk(F.map_keys(mapping), F.transform(values, lambda v: v["parent"]), F.transform(values, lambda v: F.try_element_at(v["children"], F.lit(1))), F.lit(root == "last"), F.lit(by_parent))
+    return F.transform(path, lambda i: values[i])
 
 
 # --- time ----------------------------------------------------------------------------------

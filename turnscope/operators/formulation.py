@@ -80,11 +80,17 @@ def provenance_sets(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return once.groupBy(*keys).pivot("origin", ["prompt", "history", "memory", "source", "parametric"]).count().na.fill(0)
 
 
-def provenance_rates(sets: DataFrame, by: list[str]) -> DataFrame:
-    """Mean shares of what the conversation, the model and the sources gave, of all that a turn's queries hold."""
-    context, own = F.col("prompt") + F.col("history"), F.col("parametric") + F.col("memory")
-    total = context + own + F.col("source")
-    return sets.groupBy(*by).agg(F.count("*").alias("turns"), *[F.round(F.avg(F.try_divide(x, total)), 9).alias(n) for x, n in ((context, "context"), (own, "own"), (F.col("source"), "source_share"))])
+def provenance_rates(tokens: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Mean shares of the different tokens of a turn's queries that the conversation, the model and the sources gave.
+
+    tokens has columns token and origin. Prompt and history are the conversation, memory and parametric the model; a token
+    of several origins counts in each share and once in what they are shares of.
+    """
+    given = lambda *names: F.max(F.col("origin").isin(*names).cast("int"))
+    once = tokens.groupBy(*keys, *by, "token").agg(given("prompt", "history").alias("context"), given("parametric", "memory").alias("own"), given("source").alias("source_share"))
+    names = ("context", "own", "source_share")
+    per = once.groupBy(*keys, *by).agg(*[(F.sum(n) / F.count("*")).alias(n) for n in names])
+    return per.groupBy(*by).agg(F.count("*").alias("turns"), *[F.round(F.avg(n), 9).alias(n) for n in names])
 
 
 def score_distribution(scores: DataFrame, dims: list[str], stages: list[str]) -> DataFrame:

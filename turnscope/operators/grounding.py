@@ -11,6 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnscope.functions.stats import sem
+from turnscope.functions.urls import domain_of, fold_domain, match_key
+
+
+def matchable(s: DataFrame) -> DataFrame:
+    """Sources that have a url, with the domain under which cited and retrieved ones meet: folded, from the url without tracking."""
+    return s.filter(F.trim(F.coalesce("url", F.lit(""))) != "").withColumn("domain", domain_of(match_key(F.col("url"))))
 
 
 def per_turn_counts(s: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
@@ -48,11 +54,16 @@ def grounding_rates(s: DataFrame, by: list[str], level: str = "turn") -> DataFra
     return out.withColumn("external_per_retrieved", F.try_divide("external", "retrieved")).withColumn("external_per_cited", F.try_divide("external", "cited"))
 
 
-def mean_of_ratios(s: DataFrame, by: list[str]) -> DataFrame:
-    """Mean over turns of cited per retrieved, 0 where nothing was retrieved: not the ratio of sums."""
-    counts = per_turn_counts(s, list(dict.fromkeys([*by, "conv_id", "turn_id"])))
-    r = F.coalesce(F.try_divide("cited", "retrieved"), F.lit(0.0))
-    return counts.groupBy(*by).agg(F.count("*").alias("turns"), F.avg("retrieved").alias("mean_retrieved"), F.avg("cited").alias("mean_cited"), F.round(F.avg(r), 9).alias("mean_ratio"))
+def mean_of_ratios(s: DataFrame, by: list[str], level: str = "turn") -> DataFrame:
+    """Means over turns, not ratios of sums: sources cited and retrieved per retrieved (citation_rate) and per cited (grounding_rate), 0 where there are none; and the sums."""
+    keys = list(dict.fromkeys([*by, "conv_id", "turn_id"]))
+    both = grounding(s, level).groupBy(*keys).agg(F.count_if("external").alias("cited_retrieved"))
+    c = per_turn_counts(s, keys).join(both, keys, "left").na.fill({"cited_retrieved": 0})
+    rate = lambda of: F.round(F.avg(F.coalesce(F.try_divide("cited_retrieved", of), F.lit(0.0))), 9)
+    return c.groupBy(*by).agg(
+        F.count("*").alias("turns"), *[F.avg(n).alias(f"mean_{n}") for n in ("retrieved", "cited", "cited_retrieved")], *[F.sum(n).cast("long").alias(n) for n in ("retrieved", "cited", "cited_retrieved")],
+        rate("retrieved").alias("citation_rate"), rate("cited").alias("grounding_rate"),
+    )
 
 
 def both_kinds(s: DataFrame) -> DataFrame:
@@ -63,8 +74,9 @@ def both_kinds(s: DataFrame) -> DataFrame:
 
 
 def top_domains(s: DataFrame, k: int, by: str = "kind") -> DataFrame:
-    """The k most frequent domains of each kind."""
-    g = both_kinds(s).groupBy(by, "domain").agg(F.count("*").alias("n"))
+    """The k most frequent domains of each kind, folded; sources without one don't count."""
+    named = both_kinds(s).withColumn("domain", fold_domain(F.col("domain"))).filter("domain <> ''")
+    g = named.groupBy(by, "domain").agg(F.count("*").alias("n"))
     return g.withColumn("position", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "domain")).cast("long")).filter(F.col("position") <= k)
 
 
@@ -129,10 +141,13 @@ def with_rank(s: DataFrame, ranks: DataFrame) -> DataFrame:
     return s.join(best_ranks(ranks), "domain", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
-def mean_ranks(ranked: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: responses, mean over responses of the mean valid rank, their range, for external and internal citations."""
-    per = ranked.filter("rank > 0").groupBy(*by, "external", "conv_id", "turn_id").agg(F.avg("rank").alias("r"))
-    return per.groupBy(*by, "external").agg(F.count("*").alias("responses"), F.round(F.avg("r"), 6).alias("mean_rank"), F.round(F.min("r"), 6).alias("min_rank"), F.round(F.max("r"), 6).alias("max_rank"))
+def mean_ranks(s: DataFrame, ranks: DataFrame, by: list[str], level: str = "conversation") -> DataFrame:
+    """Per group and series (retrieved, external, internal): responses, mean over responses of their mean valid rank, and its range."""
+    keys = list(dict.fromkeys([*by, "conv_id", "turn_id"]))
+    cited = grounding(s, level).select(*keys, "domain", F.when(F.col("external"), "external").otherwise("internal").alias("series"))
+    all_ = s.filter("kind = 'retrieved'").select(*keys, "domain", F.lit("retrieved").alias("series")).unionByName(cited)
+    per = with_rank(all_, ranks).filter("rank > 0").groupBy(*keys, "series").agg(F.avg("rank").alias("r"))
+    return per.groupBy(*by, "series").agg(F.count("*").alias("responses"), F.round(F.avg("r"), 6).alias("mean_rank"), F.round(F.min("r"), 6).alias("min_rank"), F.round(F.max("r"), 6).alias("max_rank"))
 
 
 def exclusive_types(s: DataFrame, keys: list[str], order=("cited", "safe", "retrieved")) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnscope.functions import text
+from turnscope.functions.urls import match_key
 from turnscope.functions.values import outcome_key, relation
+from turnscope.operators.claims import BUCKETS, latest_of_runs
 
 
 def pii_safe(annotations: DataFrame, key: str, flags: list[str]) -> DataFrame:
@@ -87,6 +89,23 @@ def agreement(calls: DataFrame, base: str) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("model")))
 
 
+def matching_models(calls: DataFrame, base: str) -> DataFrame:
+    """Over common samples: how many of the other models decide as the base, for bases that called and that didn't; every number listed."""
+    kept = calls.join(common_samples(calls), "sample", "left_semi")
+    b = kept.filter(F.col("model") == base).select("sample", F.col("called").alias("base"))
+    per = kept.filter(F.col("model") != base).join(b, "sample").groupBy("sample", "base").agg(F.count_if(F.col("called") == F.col("base")).alias("matching"))
+    models = calls.agg(F.count_distinct("model").alias("_n"))  # one row
+    spine = models.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_n") - 1, F.lit(0)))).alias("matching"), F.array(F.lit(True), F.lit(False)).alias("_b")).select(F.explode("_b").alias("base"), "matching")
+    g = spine.join(per.groupBy("base", "matching").agg(F.count("*").alias("n")), ["base", "matching"], "left").na.fill({"n": 0})
+    return g.withColumn("share", F.coalesce(F.try_divide("n", F.sum("n").over(W.partitionBy("base"))), F.lit(0.0)))
+
+
+def topic_shares(t: DataFrame, topic: str, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and shares of topics but for those left out, whatever their case."""
+    g = t.filter(~F.lower(topic).isin(*left_out)).groupBy(topic).agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+
+
 def heatmap(calls: DataFrame, models: list[str], value: str) -> DataFrame:
     """Common samples by model, with how many models called."""
     kept = calls.join(common_samples(calls), "sample", "left_semi")
@@ -121,16 +140,115 @@ def best_block(chunks: DataFrame, blocks: DataFrame, key: list[str], least: floa
     return m.groupBy(*key, "chunk_idx").agg(F.max_by("block_idx", "_s").alias("block_idx"), F.max("_s.tier").alias("tier"))
 
 
-def link_claims(docs: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """Claims before each markdown link with its url; a link without a new claim adds its url to the claims before; the tail has none."""
-    link = r"\[[^\]]*\]\((https?://[^)\s]+)\)"
+#: Fixed value: a markdown link that cites a page.
+LINK = r"\[[^\n]{0,120}?\]\((https?://[^)\s]+)\)"
+
+
+def _placed(part: Column) -> Column:
+    """Claims of a text with their place in it: each is looked for behind the one before, else from the start; -1 where it isn't."""
+    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<claim:string,start:int>>").alias("out"))
+
+    def step(acc, c):
+        ahead = F.call_function("locate", c, part, acc["at"])
+        found = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", c, part, F.lit(1)))
+        one = F.struct(c.alias("claim"), (found - 1).alias("start"))
+        return F.struct(F.when(found > 0, found + F.length(c)).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(text.sentences(part), zero, step, lambda acc: acc["out"])
+
+
+def link_claims(docs: DataFrame, keys: list[str], text_col: str, mode: str = "all") -> DataFrame:
+    """keys, claim_idx, claim, urls, start, end: claims with the urls of the markdown link that follows them.
+
+    mode all: every claim between two links has the second one's url; latest: only the last claim before a link is kept. A link without a claim
+    before it adds its url to the row before. What follows the last link has no url. A text none of whose pieces holds a claim is taken whole.
+    Places count from 0, the end is exclusive; both are null where the claim isn't found as it is.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    parts, urls = F.split(t, link, -1), F.regexp_extract_all(t, F.lit(link), F.lit(1))
-    seq = docs.select(*keys, F.posexplode(F.transform(parts, lambda p, i: F.struct(text.sentences(p).alias("ss"), F.try_element_at(urls, i + 1).alias("url")))).alias("i", "p"))
+    pieces = F.arrays_zip(F.split(t, LINK, -1).alias("part"), F.regexp_extract_all(t, F.lit(f"({LINK})"), F.lit(1)).alias("marker"), F.regexp_extract_all(t, F.lit(LINK), F.lit(1)).alias("url"))
+    whole = F.array(F.struct(t.alias("part"), F.lit(None).cast("string").alias("marker"), F.lit(None).cast("string").alias("url")))
+    some = F.exists(pieces, lambda p: F.size(text.sentences(p["part"])) > 0)
+    seq = docs.select(*keys, F.posexplode(F.when(some, pieces).otherwise(whole)).alias("i", "p"))
     w = W.partitionBy(*keys).orderBy("i")
-    seq = seq.withColumn("own", F.when(F.size("p.ss") > 0, F.col("i"))).withColumn("home", F.last("own", ignorenulls=True).over(w))
-    linked = seq.filter("home is not null").groupBy(*keys, "home").agg(F.array_sort(F.collect_list(F.when(F.col("p.url").isNotNull(), F.struct("i", F.col("p.url").alias("url"))))).alias("u"), F.max_by("p.ss", F.when(F.col("own").isNotNull(), F.col("i"))).alias("ss"))
-    return linked.select(*keys, "home", F.transform("u", lambda x: x["url"]).alias("urls"), F.posexplode("ss").alias("j", "claim")).withColumn("claim_idx", F.row_number().over(W.partitionBy(*keys).orderBy("home", "j")) - 1).select(*keys, "claim_idx", "claim", "urls")
+    length = F.length("p.part") + F.coalesce(F.length("p.marker"), F.lit(0))
+    seq = seq.withColumn("offset", F.coalesce(F.sum(length).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("cs", _placed(F.col("p.part")))
+    url = F.when(match_key(F.col("p.url")) != "", match_key(F.col("p.url")))
+    seq = seq.withColumn("url", url).withColumn("home", F.last(F.when(F.size("cs") > 0, F.col("i")), ignorenulls=True).over(w)).filter("home is not null")
+    # one row per piece that holds claims, with the urls of those without that follow it
+    by_home = seq.groupBy(*keys, "home").agg(
+        F.max_by("cs", -F.col("i")).alias("cs"), F.min("offset").alias("offset"), F.max(F.when(F.col("i") == F.col("home"), F.col("url"))).alias("own"), F.max(F.when(F.col("i") == F.col("home"), F.col("p.marker"))).alias("marker"),
+        F.array_sort(F.collect_list(F.when(F.col("i") > F.col("home"), F.struct("i", "url")))).alias("more"),
+    )
+    if mode == "latest":
+        by_home = by_home.withColumn("cs", F.when(F.col("marker").isNull(), F.col("cs")).otherwise(F.slice("cs", -1, 1)))
+    rows = by_home.select(*keys, "home", "offset", "own", "more", F.size("cs").alias("n"), F.posexplode("cs").alias("j", "c"))
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("own").isNotNull(), F.array("own")).otherwise(none)
+    extra = F.when(F.col("j") == F.col("n") - 1, F.filter(F.transform("more", lambda m: m["url"]), lambda u: u.isNotNull())).otherwise(none)
+    at = F.when(F.col("c.start") >= 0, F.col("offset") + F.col("c.start")).cast("int")
+    return rows.select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy("home", "j")) - 1).alias("claim_idx"), F.col("c.claim").alias("claim"), F.array_distinct(F.concat(own, extra)).alias("urls"), at.alias("start"), (at + F.length("c.claim")).alias("end"))
+
+
+def linked_text(blocks: Column) -> Column:
+    """Blocks of an answer (text, citations with urls) as one text, each block followed by links to its pages."""
+    def one(b):
+        urls = F.array_distinct(F.filter(F.transform(F.coalesce(b["citations"], F.array().cast("array<struct<url:string>>")), lambda c: match_key(c["url"])), lambda u: u != ""))
+        return F.concat(b["text"], F.array_join(F.transform(urls, lambda u: F.concat(F.lit(" [Cited]("), u, F.lit(")"))), ""))
+
+    return F.array_join(F.transform(F.filter(blocks, lambda b: F.coalesce(b["text"], F.lit("")) != ""), one), "")
+
+
+def span_claims(claims: DataFrame, cites: DataFrame, keys: list[str], mode: str = "all") -> DataFrame:
+    """claims with urls from cited spans (keys, url, start, end): of every span that overlaps them, or, mode latest, each span's url at the claim that ends last of those it overlaps."""
+    a = claims.filter("start is not null").select(*keys, "claim_idx", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    b = cites.filter("url <> '' and end > start").select(*keys, "url", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    met = span_overlaps(a, b, keys)
+    if mode == "latest":
+        met = met.groupBy(*keys, "url", "b_start", "b_end").agg(F.max_by("claim_idx", F.struct("a_end", -F.col("claim_idx"))).alias("claim_idx"))
+    urls = met.groupBy(*keys, "claim_idx").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("b_start", "b_end", "url"))), lambda x: x["url"])).alias("urls"))
+    return claims.drop("urls").join(urls, [*keys, "claim_idx"], "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
+
+
+def url_candidates(claims: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidate sources of every claim: those its urls name (cited ones first), other cited ones, retrieved ones not cited; each url once.
+
+    claims: keys, claim_idx, urls. sources: keys, kind, pos, url.
+    """
+    at = lambda k: F.min(F.when(F.col("kind") == k, F.col("pos")))
+    s = sources.withColumn("url", match_key(F.col("url"))).filter("url <> ''").groupBy(*keys, "url").agg(at("cited").alias("_c"), at("retrieved").alias("_r"))
+    j = claims.select(*keys, "claim_idx", "urls").join(s, keys)
+    priority = F.when(F.array_contains("urls", F.col("url")), 1).when(F.col("_c").isNotNull(), 2).otherwise(3)
+    order = W.partitionBy(*keys, "claim_idx").orderBy("priority", F.col("_c").isNull(), F.coalesce("_c", "_r"), "url")
+    return j.withColumn("priority", priority).select(*keys, "claim_idx", "url", "priority", F.row_number().over(order).cast("long").alias("pos"))
+
+
+def latest_claims(rows: DataFrame, keys: list[str], order: str = "claim_idx") -> DataFrame:
+    """Of consecutive claims with the same urls, the last; claims without urls go."""
+    return latest_of_runs(rows.withColumn("_same", F.array_join("urls", "\n")), keys, order, "_same").filter("_same <> ''").drop("_same")
+
+
+#: Other names of buckets, as alignments read them.
+BUCKET_NAMES = {"": "Unexplained", "Unknown": "Unexplained", "unknown": "Unexplained", "Parametric Knowledge": "Unexplained", "Associated Citations": "Marker-cited", "Marked Citations": "Marker-cited", "Other Citations": "Other cited"}
+
+
+def alignment(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group, how the buckets found agree with the urls an answer marks itself.
+
+    rows: by, urls (what the answer marks), bucket (found), entailed_url. marked: claims with urls; associated: those found marker-cited;
+    same_url: those whose entailed url is among their own, and both; parametric: claims found unexplained, and those of them without urls.
+    """
+    bucket = F.coalesce(F.col("bucket"), F.lit(""))
+    for old, new in BUCKET_NAMES.items():
+        bucket = F.when(bucket == old, new).otherwise(bucket)
+    gold, found = F.size("urls") > 0, bucket == BUCKETS[0]
+    same = gold & F.coalesce(F.array_contains("urls", match_key(F.col("entailed_url"))), F.lit(False))
+    g = rows.groupBy(*by).agg(
+        F.count_if(gold).alias("marked"), F.count_if(gold & found).alias("associated"), F.count_if(same).alias("same_url"), F.count_if(same & found).alias("associated_same_url"),
+        F.count_if(bucket == BUCKETS[3]).alias("parametric"), F.count_if((bucket == BUCKETS[3]) & ~gold).alias("parametric_unmarked"),
+        *[F.count_if(gold & (bucket == b)).alias(f"marked_{i}") for i, b in enumerate(BUCKETS, 1)], *[F.count_if(~gold & (bucket == b)).alias(f"unmarked_{i}") for i, b in enumerate(BUCKETS, 1)],
+    )
+    share = lambda n, of: F.coalesce(F.try_divide(n, of), F.lit(0.0))
+    return g.select("*", *[share(n, "marked").alias(f"{n}_rate") for n in ("associated", "same_url", "associated_same_url")], share("parametric_unmarked", "parametric").alias("parametric_unmarked_rate"))
 
 
 def span_overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: int = 512) -> DataFrame:

@@ -107,10 +107,22 @@ def _attributed(spark, d):
 
 @query("attribution", f"WITH {CLAIMS} SELECT * FROM abk", ("line_sources",))
 def attribution(spark, d):
-    """Each cited line as a claim, all lines of its order as candidates."""
+    """Each cited line as a claim, all lines of its order as checked candidates."""
     return _attributed(spark, d).drop("platform")
 
 
+@query("claim_candidates", """WITH s AS (SELECT turn_id, kind, pos, url, CASE WHEN kind = 'cited' AND pos % 3 = 0 THEN NULL ELSE pos END AS ref FROM line_sources), k AS (SELECT turn_id, pos AS claim_idx, [pos, pos + 1] AS refs FROM line_sources WHERE kind = 'cited'),
+c AS (SELECT turn_id, url, min(pos) FILTER (WHERE kind = 'cited') AS cpos, min(pos) FILTER (WHERE kind = 'retrieved') AS rpos, list(ref) FILTER (WHERE kind = 'cited' AND ref IS NOT NULL) AS crefs, list(ref) FILTER (WHERE kind = 'retrieved' AND ref IS NOT NULL) AS rrefs FROM s GROUP BY ALL),
+j AS (SELECT turn_id, claim_idx, url, cpos, rpos, coalesce(list_has_any(crefs, refs), false) AS direct, coalesce(list_has_any(rrefs, refs), false) AS found FROM k JOIN c USING (turn_id)),
+p AS (SELECT *, CASE WHEN cpos IS NOT NULL AND (direct OR found) THEN 1 WHEN cpos IS NOT NULL THEN 2 ELSE 3 END AS priority FROM j)
+SELECT turn_id, claim_idx, url, priority, row_number() OVER (PARTITION BY turn_id, claim_idx ORDER BY priority, CASE WHEN priority = 1 AND NOT direct THEN 1 ELSE 0 END, coalesce(cpos, rpos), url) AS pos FROM p""", ("line_sources",))
+def claim_candidates(spark, d):
+    """The candidate sources of every claim, marker-cited, other cited, retrieved."""
+    s = line_sources(spark, d).select("turn_id", "kind", "pos", "url", F.when((F.col("kind") == "retrieved") | (F.col("pos") % 3 != 0), F.col("pos").cast("int")).alias("ref_index"))
+    k = s.filter("kind = 'cited'").select("turn_id", F.col("pos").alias("claim_idx"), F.array(F.col("pos").cast("int"), (F.col("pos") + 1).cast("int")).alias("refs"))
+    return C.candidates(k, s, ["turn_id"])
+
+
 @query("bucket_shares", f"""WITH {CLAIMS}, p AS (SELECT DISTINCT turn_id, platform FROM line_sources), g AS (SELECT platform, bucket, count(*) AS n FROM abk JOIN p USING (turn_id) GROUP BY ALL)
 SELECT x.platform, CASE b.bucket WHEN 'Retrieved Sources' THEN 'Search Results' ELSE b.bucket END AS bucket, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY x.platform) AS share
 FROM (SELECT DISTINCT platform FROM p) x CROSS JOIN (SELECT unnest(['Marker-cited', 'Other cited', 'Retrieved Sources', 'Unexplained']) AS bucket) b LEFT JOIN g ON g.platform = x.platform AND g.bucket = b.bucket""", ("line_sources",))
@@ -121,9 +133,16 @@ def bucket_shares(spark, d):
 
 @query("bucket_share_ci")
 def bucket_share_ci(spark, d):
-    """Bootstrap of the share of claims that no source explains, by response (seeded)."""
-    a = _attributed(spark, d).groupBy("platform", "turn_id").agg(F.count_if(F.col("bucket") == "Unexplained").alias("p"), F.count("*").alias("q"))
-    return stats.exact_ratio_ci(a, ["platform"], "turn_id", "p", "q", n_bootstrap=200, seed=42)
+    """Seeded bootstrap of the shares of all four buckets, by response (no SQL for the generator)."""
+    return stats.exact_group_ci(_attributed(spark, d), ["platform"], ["turn_id"], "bucket", list(C.BUCKETS))
+
+
+@query("bucket_share_estimates", f"""WITH {CLAIMS}, p AS (SELECT DISTINCT turn_id, platform FROM line_sources), j AS (SELECT * FROM abk JOIN p USING (turn_id)), t AS (SELECT platform, count(*) AS total, count(DISTINCT turn_id) AS n_responses FROM j GROUP BY platform), g AS (SELECT platform, bucket, count(*) AS n FROM j GROUP BY ALL)
+SELECT t.platform, b.bucket, coalesce(n, 0) AS n, n_responses, round(coalesce(n, 0) / total, 9) AS estimate, true AS inside FROM t CROSS JOIN (SELECT unnest(['Marker-cited', 'Other cited', 'Retrieved Sources', 'Unexplained']) AS bucket) b LEFT JOIN g ON g.platform = t.platform AND g.bucket = b.bucket""", ("line_sources",))
+def bucket_share_estimates(spark, d):
+    """The shares and counts beside the Poisson intervals, and that each interval holds its share."""
+    ci = stats.poisson_group_ci(_attributed(spark, d), ["platform"], ["turn_id"], "bucket", list(C.BUCKETS))
+    return ci.select("platform", "bucket", "n", "n_responses", F.round("estimate", 9).alias("estimate"), F.col("estimate").between(F.col("ci_low") - 1e-9, F.col("ci_high") + 1e-9).alias("inside"))
 
 
 @query("latest_of_runs", """WITH r AS (SELECT *, coalesce((event_type <> lag(event_type) OVER w)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r)
@@ -152,9 +171,10 @@ def factuality(spark, d):
 
 @query("factuality_ci")
 def factuality_ci(spark, d):
-    """Bootstrap of mean factuality by group, seeded."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality is not null"), "doc_id").select("lang", "doc_id", (1.0 + 4 * F.col("quality")).alias("score"))
-    return stats.exact_mean_ci(docs, ["lang"], "score", ["doc_id"], n_bootstrap=1000, seed=42)
+    """Seeded bootstrap of mean factuality by group; responses (here ten documents each) are drawn once for all groups."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality is not null"), "doc_id")
+    rows = docs.select("lang", (F.col("doc_id") % 10).alias("group"), F.floor(F.col("doc_id") / 10).alias("response"), (1.0 + 4 * F.col("quality")).alias("score")).withColumn("group", F.element_at(F.array(*[F.lit(b) for b in C.BUCKETS]), (F.col("group") % 4 + 1).cast("int")))
+    return stats.exact_group_ci(rows, ["lang"], ["response"], "group", list(C.BUCKETS), "score")
 
 
 @query("diagnosis", """SELECT count(*) AS total, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS both_bad,
@@ -269,7 +289,7 @@ def all_called(spark, d):
     return R.all_called(_calls(spark, d))
 
 
-@query("agreement", f"""WITH {CALLS}, j AS (SELECT o.model, CASE WHEN b.called AND o.called THEN 'both' WHEN b.called THEN 'base_only' WHEN o.called THEN 'other_only' ELSE 'neither' END AS outcome FROM c o JOIN c b ON o.sample = b.sample AND b.model = 'click' AND o.model <> 'click')
+@query("agreement", f"""WITH {CALLS}, j AS (SELECT o.model, CASE WHEN b.called AND o.called THEN 'base_called_and_model_called' WHEN b.called THEN 'base_called_and_model_not_called' WHEN o.called THEN 'base_not_called_and_model_called' ELSE 'base_not_called_and_model_not_called' END AS outcome FROM c o JOIN c b ON o.sample = b.sample AND b.model = 'click' AND o.model <> 'click')
 SELECT model, outcome, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY model) AS share FROM j GROUP BY model, outcome""")
 def agreement(spark, d):
     """A58, F25."""
@@ -285,8 +305,16 @@ def call_heatmap(spark, d):
 @query("replay_topic_shares", "SELECT c_mktsegment AS topic, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM customer WHERE lower(c_mktsegment) NOT IN ('building', 'misc') GROUP BY 1")
 def replay_topic_shares(spark, d):
     """A60."""
-    g = table(spark, d, "customer").filter(~F.lower("c_mktsegment").isin("building", "misc")).groupBy(F.col("c_mktsegment").alias("topic")).agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return R.topic_shares(table(spark, d, "customer").select(F.col("c_mktsegment").alias("topic")), "topic", ("building", "misc"))
+
+
+@query("matching_models", f"""WITH {CALLS}, n AS (SELECT sample FROM c GROUP BY sample HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM c)), b AS (SELECT sample, called AS base FROM c SEMI JOIN n USING (sample) WHERE model = 'click'),
+m AS (SELECT sample, base, count(*) FILTER (WHERE called = base) AS matching FROM c JOIN b USING (sample) WHERE model <> 'click' GROUP BY ALL), k AS (SELECT unnest(range(0, (SELECT count(DISTINCT model) FROM c))) AS matching),
+g AS (SELECT x.base, k.matching, count(m.sample) AS n FROM (SELECT unnest([true, false]) AS base) x CROSS JOIN k LEFT JOIN m ON m.base = x.base AND m.matching = k.matching GROUP BY ALL)
+SELECT base, matching::BIGINT AS matching, n, CASE WHEN sum(n) OVER (PARTITION BY base) > 0 THEN n / sum(n) OVER (PARTITION BY base) ELSE 0 END AS share FROM g""")
+def matching_models(spark, d):
+    """How many of the other models decide as the base does."""
+    return R.matching_models(_calls(spark, d), "click")
 
 
 @query("likert_means", """WITH s AS (SELECT CASE WHEN value > 50 THEN 'auto_web' ELSE 'auto_no_web' END AS bucket, event_type AS mode, 'm' || user_id % 3 AS metric, 1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS score FROM events)
@@ -332,3 +360,71 @@ def best_blocks(spark, d):
     chunks = C.sentence_chunks(b, ["item_id"], "text").select((F.col("item_id") / 4).cast("long").alias("g"), (F.col("item_id") * 100 + F.col("chunk_idx")).alias("chunk_idx"), "chunk", F.array().cast("array<string>").alias("urls"))
     blocks = b.select((F.col("item_id") / 4).cast("long").alias("g"), F.col("item_id").alias("block_idx"), F.col("text").alias("block"), F.array().cast("array<string>").alias("block_urls"))
     return R.best_block(chunks, blocks, ["g"])
+
+
+# --- claims of replays -----------------------------------------------------------------------
+
+MARKED = """mc AS (SELECT turn_id, min(platform) AS platform, pos AS claim_idx, CASE WHEN pos % 2 = 0 THEN [min(url)] ELSE []::VARCHAR[] END AS urls, min(l_partkey) AS p FROM line_sources GROUP BY turn_id, pos)"""
+
+
+def _marked_claims(spark, d):
+    """Each line of an order as a claim; those of even number mark their own source."""
+    s = line_sources(spark, d)
+    none = F.array().cast("array<string>")
+    g = s.groupBy("turn_id", F.col("pos").alias("claim_idx")).agg(F.min("platform").alias("platform"), F.min("url").alias("url"), F.min("l_partkey").alias("p"))
+    return g.select("turn_id", "platform", "claim_idx", F.when(F.col("claim_idx") % 2 == 0, F.array("url")).otherwise(none).alias("urls"), "p")
+
+
+CASCADE = f"""{MARKED}, u AS (SELECT turn_id, url, min(pos) FILTER (WHERE kind = 'cited') AS c, min(pos) FILTER (WHERE kind = 'retrieved') AS r FROM line_sources GROUP BY ALL),
+cd AS (SELECT turn_id, platform, claim_idx, urls, p, url, CASE WHEN list_contains(urls, url) THEN 1 WHEN c IS NOT NULL THEN 2 ELSE 3 END AS priority, c, r FROM mc JOIN u USING (turn_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY turn_id, claim_idx ORDER BY priority, c IS NULL, coalesce(c, r), url) AS pos FROM cd), en AS (SELECT *, (p + pos) % 3 = 0 AS entailed FROM rk),
+fr AS (SELECT *, min(CASE WHEN entailed THEN pos END) OVER (PARTITION BY turn_id, claim_idx) AS first FROM en),
+ab AS (SELECT platform, turn_id, claim_idx, any_value(urls) AS urls, CASE min(CASE WHEN pos = first THEN priority END) WHEN 1 THEN 'Marker-cited' WHEN 2 THEN 'Other cited' WHEN 3 THEN 'Retrieved Sources' ELSE 'Unexplained' END AS bucket, min(CASE WHEN pos = first THEN url END) AS entailed_url,
+  count(*) FILTER (WHERE priority = 1 OR first IS NULL OR pos <= first) AS checked FROM fr GROUP BY ALL)"""
+
+
+def _cascade(spark, d):
+    c = _marked_claims(spark, d)
+    cand = R.url_candidates(c, line_sources(spark, d), ["turn_id"])
+    checks = cand.join(c.select("turn_id", "claim_idx", "platform", "p"), ["turn_id", "claim_idx"]).withColumn("entailed", (F.col("p") + F.col("pos")) % 3 == 0)
+    return C.attribution(checks, ["platform", "turn_id", "claim_idx"]).join(c.select("turn_id", "claim_idx", "urls"), ["turn_id", "claim_idx"])
+
+
+@query("replay_attribution", f"WITH {CASCADE} SELECT turn_id, claim_idx, bucket, entailed_url, checked FROM ab", ("line_sources",))
+def replay_attribution(spark, d):
+    """Candidates by url and the attribution cascade of replayed answers."""
+    return _cascade(spark, d).select("turn_id", "claim_idx", "bucket", "entailed_url", "checked")
+
+
+@query("replay_alignment", f"""WITH {CASCADE}, z AS (SELECT *, len(urls) > 0 AS gold, len(urls) > 0 AND coalesce(list_contains(urls, entailed_url), false) AS same FROM ab)
+SELECT platform, count(*) FILTER (WHERE gold) AS marked, count(*) FILTER (WHERE gold AND bucket = 'Marker-cited') AS associated, count(*) FILTER (WHERE same) AS same_url, count(*) FILTER (WHERE same AND bucket = 'Marker-cited') AS associated_same_url,
+  count(*) FILTER (WHERE bucket = 'Unexplained') AS parametric, count(*) FILTER (WHERE bucket = 'Unexplained' AND NOT gold) AS parametric_unmarked,
+  """ + ", ".join(f"count(*) FILTER (WHERE {g} AND bucket = '{b}') AS {n}_{i}" for g, n in (("gold", "marked"), ("NOT gold", "unmarked")) for i, b in enumerate(C.BUCKETS, 1)) + """,
+  coalesce(associated / nullif(marked, 0), 0) AS associated_rate, coalesce(same_url / nullif(marked, 0), 0) AS same_url_rate, coalesce(associated_same_url / nullif(marked, 0), 0) AS associated_same_url_rate, coalesce(parametric_unmarked / nullif(parametric, 0), 0) AS parametric_unmarked_rate
+FROM z GROUP BY platform""", ("line_sources",))
+def replay_alignment(spark, d):
+    """How the buckets agree with the answers' own marks."""
+    return R.alignment(_cascade(spark, d), ["platform"])
+
+
+@query("latest_claims", f"""WITH {MARKED}, y AS (SELECT turn_id, claim_idx, (claim_idx // 2) % 3 AS k FROM mc), z AS (SELECT *, lead(k) OVER (PARTITION BY turn_id ORDER BY claim_idx) AS nxt FROM y)
+SELECT turn_id, claim_idx, 'u' || k AS url FROM z WHERE k > 0 AND k IS DISTINCT FROM nxt""", ("line_sources",))
+def latest_claims(spark, d):
+    """Of consecutive claims with the same urls the last."""
+    k = F.floor(F.col("claim_idx") / 2) % 3
+    c = _marked_claims(spark, d).select("turn_id", "claim_idx", F.when(k > 0, F.array(F.concat(F.lit("u"), k.cast("string")))).otherwise(F.array().cast("array<string>")).alias("urls"))
+    return R.latest_claims(c, ["turn_id"]).select("turn_id", "claim_idx", F.col("urls")[0].alias("url"))
+
+
+@query("span_claims", """WITH a AS (SELECT l_orderkey, l_linenumber AS claim_idx, min(l_partkey % 900) AS s, min(l_partkey % 900) + CAST(min(l_quantity) AS BIGINT) * 20 AS e FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_suppkey::VARCHAR AS url, l_partkey % 700 AS s, l_partkey % 700 + 40 AS e FROM lineitem),
+m AS (SELECT l_orderkey, claim_idx, b.url, a.e AS ae, b.s AS bs, b.e AS be FROM a JOIN b USING (l_orderkey) WHERE greatest(a.s, b.s) < least(a.e, b.e)), f AS (SELECT l_orderkey, arg_max(claim_idx, ae * 100 - claim_idx) AS claim_idx, url, bs, be FROM m GROUP BY l_orderkey, url, bs, be),
+x AS (SELECT l_orderkey, claim_idx, string_agg(DISTINCT url, '|' ORDER BY url) AS urls FROM m GROUP BY ALL), y AS (SELECT l_orderkey, claim_idx, string_agg(DISTINCT url, '|' ORDER BY url) AS urls FROM f GROUP BY ALL)
+SELECT a.l_orderkey, a.claim_idx, coalesce(x.urls, '') AS every, coalesce(y.urls, '') AS latest FROM a LEFT JOIN x USING (l_orderkey, claim_idx) LEFT JOIN y USING (l_orderkey, claim_idx)""")
+def span_claims(spark, d):
+    """Urls of cited spans at the claims they overlap, all of them or the one that ends last."""
+    li = table(spark, d, "lineitem")
+    start = F.min(F.col("l_partkey") % 900)
+    claims = li.groupBy("l_orderkey", F.col("l_linenumber").alias("claim_idx")).agg(start.alias("start"), (start + F.min("l_quantity").cast("long") * 20).alias("end"))
+    cites = li.select("l_orderkey", F.col("l_suppkey").cast("string").alias("url"), (F.col("l_partkey") % 700).alias("start"), (F.col("l_partkey") % 700 + 40).alias("end"))
+    listed = lambda mode, n: R.span_claims(claims, cites, ["l_orderkey"], mode).select("l_orderkey", "claim_idx", F.array_join(F.array_sort("urls"), "|").alias(n))
+    return listed("all", "every").join(listed("latest", "latest"), ["l_orderkey", "claim_idx"])

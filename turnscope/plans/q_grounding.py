@@ -28,10 +28,16 @@ PER_TURN = """p AS (SELECT turn_user, turn_day, month, round, count(*) AS n FROM
 t AS (SELECT turn_user, turn_day, month, count(*) AS n_hops, max(n) AS widest, CAST(sum(n) AS BIGINT) AS queries FROM p GROUP BY ALL)"""
 
 
-@query("query_counts", f"WITH {PER_TURN} SELECT * FROM t", ("rounds",))
+@query("query_counts", f"WITH {PER_TURN} SELECT turn_user, turn_day, month, n_hops, widest, queries, queries AS counted FROM t", ("rounds",))
 def query_counts(spark, d):
-    """Rounds, fan-out and queries of each turn (Q5, Q6)."""
-    return M.per_turn(rounds(spark, d), [*TURN, "month"])
+    """Rounds, fan-out and queries of each turn; counted again from the cleaned groups with blanks among them (Q5, Q6)."""
+    from turnscope.functions import values
+
+    r = rounds(spark, d)
+    groups = r.groupBy(*TURN, "round").agg(F.collect_list("query").alias("qs")).groupBy(*TURN).agg(F.collect_list(F.concat(F.array(F.lit(" ")), "qs")).alias("groups"))
+    clean = values.clean_groups(F.concat("groups", F.array(F.array(F.lit(""), F.lit("  ")))))
+    counts = groups.select(*TURN, F.size(clean).cast("long").alias("n_hops"), F.array_max(F.transform(clean, lambda g: F.size(g))).cast("long").alias("widest"), values.query_count(F.col("groups")).alias("counted"))
+    return M.per_turn(r, [*TURN, "month"]).select(*TURN, "month", "queries").join(counts, TURN).select(*TURN, "month", "n_hops", "widest", "queries", "counted")
 
 
 @query("hops_by_fanout", f"""WITH {PER_TURN}, b AS (SELECT CASE WHEN n_hops >= 3 THEN '3+' ELSE n_hops::VARCHAR END AS hops, CASE WHEN widest >= 3 THEN '3+' ELSE widest::VARCHAR END AS fanout FROM t),
@@ -128,7 +134,7 @@ def _provenance_tokens(spark, d):
 @query("provenance_rates", S["token_provenance"].replace("SELECT conv_id, turn_no, count(*) FILTER (WHERE origin = 'prompt')", "SELECT turn_no, count(*) AS turns, round(avg((prompt + history) / total), 9) AS context, round(avg(parametric / total), 9) AS own, round(avg(source / total), 9) AS source_share FROM (SELECT conv_id, turn_no, count(*) AS total, count(*) FILTER (WHERE origin = 'prompt')") + ") GROUP BY turn_no")
 def provenance_rates(spark, d):
     """A20."""
-    return M.provenance_rates(M.provenance_sets(_provenance_tokens(spark, d), ["conv_id", "turn_no"]), ["turn_no"])
+    return M.provenance_rates(_provenance_tokens(spark, d), ["conv_id"], ["turn_no"])
 
 
 @query("specificity_distribution", """
@@ -222,14 +228,26 @@ def grounding_rates_by_model(spark, d):
     return G.grounding_rates(line_sources(spark, d), ["platform", "model"], "conversation")
 
 
-@query("sources_over_time", f"WITH {COUNTS} SELECT month, count(*) AS turns, avg(retrieved) AS mean_retrieved, avg(cited) AS mean_cited, round(avg(coalesce(cited / nullif(retrieved, 0), 0)), 9) AS mean_ratio FROM c GROUP BY month", ("line_sources",))
+def _over_time(ext):
+    return f"""WITH {COUNTS}, {ext}, e AS (SELECT conv_id, turn_id, count(*) FILTER (WHERE external) AS cited_retrieved FROM x GROUP BY ALL), j AS (SELECT c.*, coalesce(e.cited_retrieved, 0) AS cited_retrieved FROM c LEFT JOIN e USING (conv_id, turn_id))
+SELECT month, count(*) AS turns, avg(retrieved) AS mean_retrieved, avg(cited) AS mean_cited, avg(cited_retrieved) AS mean_cited_retrieved, CAST(sum(retrieved) AS BIGINT) AS retrieved, CAST(sum(cited) AS BIGINT) AS cited, CAST(sum(cited_retrieved) AS BIGINT) AS cited_retrieved,
+  round(avg(CASE WHEN retrieved > 0 THEN cited_retrieved / retrieved ELSE 0 END), 9) AS citation_rate, round(avg(CASE WHEN cited > 0 THEN cited_retrieved / cited ELSE 0 END), 9) AS grounding_rate FROM j GROUP BY month"""
+
+
+@query("sources_over_time", _over_time(EXT_TURN), ("line_sources",))
 def sources_over_time(spark, d):
-    """Means of ratios."""
+    """Means of ratios, within the turn."""
     return G.mean_of_ratios(line_sources(spark, d), ["month"])
 
 
+@query("sources_over_time_conversation", _over_time(EXT_CONV), ("line_sources",))
+def sources_over_time_conversation(spark, d):
+    """Means of ratios, up to the turn in the conversation."""
+    return G.mean_of_ratios(line_sources(spark, d), ["month"], "conversation")
+
+
 @query("top_domains", """WITH b AS (SELECT conv_id, turn_id FROM line_sources GROUP BY ALL HAVING count(*) FILTER (WHERE kind = 'retrieved') > 0 AND count(*) FILTER (WHERE kind = 'cited') > 0),
-g AS (SELECT kind, domain, count(*) AS n FROM line_sources SEMI JOIN b USING (conv_id, turn_id) GROUP BY ALL)
+g AS (SELECT kind, lower(domain) AS domain, count(*) AS n FROM line_sources SEMI JOIN b USING (conv_id, turn_id) GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, domain) AS position FROM g QUALIFY position <= 10""", ("line_sources",))
 def top_domains(spark, d):
     """A top-k report."""
@@ -299,17 +317,23 @@ def popularity_ranks(spark, d):
     return G.with_rank(line_sources(spark, d), _ranks(spark, d)).groupBy("domain", "rank").agg(F.count("*").alias("n"))
 
 
-@query("mean_ranks", f"""WITH {EXT_CONV}, q AS (SELECT platform, external, conv_id, turn_id, avg(l_suppkey % 97 + 1) AS r FROM x GROUP BY ALL)
-SELECT platform, external, count(*) AS responses, round(avg(r), 6) AS mean_rank, round(min(r), 6) AS min_rank, round(max(r), 6) AS max_rank FROM q GROUP BY ALL""", ("line_sources",))
+@query("mean_ranks", f"""WITH {RANKS}, {EXT_CONV}, y AS (SELECT platform, conv_id, turn_id, domain, 'retrieved' AS series FROM line_sources WHERE kind = 'retrieved' UNION ALL SELECT platform, conv_id, turn_id, domain, CASE WHEN external THEN 'external' ELSE 'internal' END FROM x),
+q AS (SELECT platform, series, conv_id, turn_id, avg(rank) AS r FROM y JOIN k USING (domain) GROUP BY ALL)
+SELECT platform, series, count(*) AS responses, round(avg(r), 6) AS mean_rank, round(min(r), 6) AS min_rank, round(max(r), 6) AS max_rank FROM q GROUP BY ALL""", ("line_sources",))
 def mean_ranks(spark, d):
-    """A36."""
-    return G.mean_ranks(G.grounding(line_sources(spark, d), "conversation").withColumn("rank", F.col("l_suppkey") % 97 + 1), ["platform"])
+    """Popularity ranks of retrieved sources and of citations that were, and weren't, retrieved."""
+    return G.mean_ranks(line_sources(spark, d), _ranks(spark, d), ["platform"])
 
 
-@query("source_types_long", "SELECT turn_id, kind AS source_type, url, count(*) AS n FROM line_sources GROUP BY ALL", ("line_sources",))
+@query("source_types_long", "SELECT turn_id, kind AS source_type, url, (row_number() OVER (PARTITION BY turn_id, kind ORDER BY pos, url) - 1)::INT AS pos FROM line_sources", ("line_sources",))
 def source_types_long(spark, d):
-    """One row per turn, type and url."""
-    return line_sources(spark, d).groupBy("turn_id", F.col("kind").alias("source_type"), "url").agg(F.count("*").alias("n"))
+    """A turn's lists of sources as one row per source."""
+    from turnscope.operators import citations
+
+    s = line_sources(spark, d)
+    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "url")))), lambda e: F.struct(e["url"].alias("url")))
+    t = s.groupBy("turn_id").agg(listed("retrieved").alias("srcs_retrieved"), listed("safe").alias("srcs_safe_urls"), listed("cited").alias("srcs_cited"))
+    return citations.long_sources(t, ["turn_id"]).select("turn_id", F.col("kind").alias("source_type"), "url", "pos")
 
 
 @query("exclusive_source_types", "WITH s AS (SELECT conv_id, url, kind, CASE kind WHEN 'cited' THEN 1 ELSE 3 END AS p FROM line_sources), t AS (SELECT * FROM s QUALIFY p = min(p) OVER (PARTITION BY conv_id, url)) SELECT kind, count(*) AS n, count(DISTINCT url) AS urls FROM t GROUP BY kind", ("line_sources",))
@@ -340,10 +364,13 @@ def normalized_urls(spark, d):
     return table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"))
 
 
-@query("page_flags", r"SELECT page_id, regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.(jpg|jpeg|png|gif|webp|svg|bmp|ico|avif)$') AS image, false AS wikipedia FROM pages")
+@query("page_flags", r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://EN.wikipedia.org:443/wiki/P' || page_id || '?a=b#c' WHEN 1 THEN 'https://user@wikipedia.org/w/x.PNG?q' WHEN 2 THEN 'https://notwikipedia.org/wiki/P.jpeg' ELSE url END AS u, url, page_id % 4 AS k FROM pages)
+SELECT page_id, k IN (1, 2) OR (k = 3 AND regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.(jpg|jpeg|png|gif|webp|svg|bmp|ico|avif)$')) AS image, k < 2 AS wikipedia, CASE WHEN k = 0 THEN 'https://EN.wikipedia.org:443/w/index.php?title=P' || page_id || '&action=history' END AS history FROM p""")
 def page_flags(spark, d):
-    """R9, F27."""
-    return table(spark, d, "pages").select("page_id", urls.is_image(F.col("url")).alias("image"), urls.is_wikipedia(F.col("url")).alias("wikipedia"))
+    """Images, wikipedia and its revision lists, on urls made for three of four pages."""
+    k = F.col("page_id") % 4
+    u = F.when(k == 0, F.concat(F.lit("https://EN.wikipedia.org:443/wiki/P"), F.col("page_id").cast("string"), F.lit("?a=b#c"))).when(k == 1, "https://user@wikipedia.org/w/x.PNG?q").when(k == 2, "https://notwikipedia.org/wiki/P.jpeg").otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", urls.is_image(u).alias("image"), urls.is_wikipedia(u).alias("wikipedia"), urls.wikipedia_history(u).alias("history"))
 
 
 @query("page_text")
@@ -356,7 +383,7 @@ def page_text(spark, d):
 def grounding_ci(spark, d):
     """Cluster bootstrap of external per cited, seeded (no SQL for the generator)."""
     g = G.grounding(line_sources(spark, d), "conversation").groupBy("platform", "conv_id").agg(F.count_if("external").alias("p"), F.count("*").alias("q"))
-    return stats.exact_ratio_ci(g, ["platform"], "conv_id", "p", "q", n_bootstrap=1000)
+    return stats.exact_ratio_ci(g, ["platform"], "conv_id", "p", "q", n_bootstrap=10_000)
 
 
 @query("grounding_ci_poisson")

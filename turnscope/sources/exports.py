@@ -63,15 +63,22 @@ def _typed(ddl: str) -> str:
 def read_export(spark: SparkSession, base: str, platform: str) -> DataFrame:
     """Conversations below base: user_*/conversations.json, or a flat conversations.json; with user_id.
 
-    Users are numbered from 0 by directory name as a string.
+    Users are numbered from 0 by directory name as a string; the flat file counts only where there is no user directory.
+    Files are parsed as they are read, so none is held as one text; one that isn't JSON has no conversations.
     """
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "conversations.json").text(base)
-    texts = texts.select("value", F.col("_metadata.file_path").alias("_path"))
-    texts = texts.withColumn("_user", F.regexp_extract("_path", r"/(user_[^/]*)/conversations\.json$", 1))
-    # one row per user directory: a small frame of names
-    users = texts.select("_user").distinct()
+    if platform not in CONVERSATION:
+        raise ValueError(f"unknown platform {platform!r}; one of {', '.join(CONVERSATION)}")
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "conversations.json"}
+    user = lambda path: F.regexp_extract(path, r"/(user_[^/]*)/conversations\.json$", 1)
+    # one row per user directory: a small frame of names, from the listing alone
+    users = spark.read.format("binaryFile").options(**options).load(base).select(user("path").alias("_user")).distinct()
+    users = users.withColumn("_some", F.max(F.col("_user") != "").over(W.partitionBy())).filter((F.col("_user") != "") | ~F.col("_some"))
     users = users.select("_user", (F.row_number().over(W.orderBy("_user")) - 1).alias("user_id"))
-    return parse_conversations(texts.drop("_path").join(users, "_user").drop("_user"), platform)
+    key, shape = LIST_KEY[platform], CONVERSATION[platform]
+    files = spark.read.schema(shape if key is None else f"{key} ARRAY<STRUCT<{_typed(shape)}>>").options(multiLine=True, **options).json(base)
+    names = files.columns
+    rows = files.na.drop("all").select(*names, user(F.col("_metadata.file_path")).alias("_user")).join(users, "_user")
+    return rows.select("user_id", *names) if key is None else rows.select("user_id", F.inline(key))
 
 
 def element_type(platform: str) -> str:
