@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -42,10 +43,11 @@ def components(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_paths_stars_and_noise(spark):
+@pytest.mark.parametrize("chunk", [None, 20, 1])
+def test_components_of_paths_stars_and_noise(spark, chunk):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 7)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]
-    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long"), chunk=chunk).collect()}
     pairs = {(a, b) for a, b in edges if a is not None and a != b} | {(b, a) for a, b in edges if a is not None and a != b}
     nodes = {n for p in pairs for n in p}
     assert got == components(nodes, lambda a, b: (a, b) in pairs)
@@ -67,9 +69,8 @@ def test_fingerprints():
     assert [simhash.fingerprint(t) for t in texts] == [slow_print(t) for t in texts]
 
 
-@pytest.mark.parametrize("pairwise", [48, 1])
-def test_links_of_fingerprints(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+@pytest.mark.parametrize(("long", "sample"), [(simhash.LONG, simhash.SAMPLE), (2, 1), (16, 4)])
+def test_links_of_fingerprints(spark, long, sample):
     rnd = random.Random(3)
     fps = {rnd.getrandbits(64) for _ in range(60)}
     for f in list(fps)[:30]:
@@ -81,9 +82,47 @@ def test_links_of_fingerprints(spark, monkeypatch, pairwise):
     fps |= {i ^ 0x1234 << 40 for i in range(70)}  # a dense list
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     d = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r.node: r.root for r in common.connected_components(simhash.fingerprint_links(d)).collect()}
-    want = components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
-    assert {n: got.get(n, n) for n in signed} == want
+    links = simhash.fingerprint_links(d, long, sample)
+    got = {r.node: r.root for r in common.connected_components(links).collect()}
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
+    assert {n: got.get(n, n) for n in signed} == components(signed, near)
+
+
+def test_count_filter_drops_pairs_that_meet():
+    """Fingerprints that share the four bytes of a list: those with too few others in common are dropped by the tally, not by the check."""
+    head = [0x11, 0x22, 0x33, 0x44]
+    make = lambda *rest: int.from_bytes(bytes([*head, *rest]), "little")
+    fps = np.array([make(1, 2, 3, 4), make(1, 2, 3, 5), make(1, 2, 99, 88), make(50, 60, 70, 80), make(51, 60, 70, 82), make(51, 61, 70, 80)], np.uint64)
+    tally = [[int(simhash._tally(np.array([a ^ b]))[0]) for b in fps] for a in fps]
+    plain = [[sum(x == y for x, y in zip(int(a).to_bytes(8, "little"), int(b).to_bytes(8, "little"))) for b in fps] for a in fps]
+    assert tally == plain and sum(t < simhash.MIN_MATCHES for row in tally for t in row) >= 16
+    i, j = simhash.list_pairs(np.zeros(6, np.int64), np.full(6, 7), fps)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (3, 4), (3, 5), (4, 5)]
+    alone = simhash.list_pairs(np.arange(6), np.full(6, 7), fps)  # six lists of one
+    assert not len(alone[0])
+
+
+@pytest.mark.parametrize("long", [simhash.LONG, 2])
+def test_op1_query_against_brute_force(spark, tmp_path, monkeypatch, long):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(simhash, "LONG", long)
+    monkeypatch.setattr(simhash, "SAMPLE", 1 if long == 2 else simhash.SAMPLE)
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = ["w%d" % rnd.randrange(400) for _ in range(rnd.choice([1, 5, 60, 400]))]
+        for _ in range(rnd.randrange(1, 5)):
+            copy = list(base)
+            if len(copy) > 50:
+                copy[rnd.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    texts += [None, "", "   ", "One", "one"]
+    pq.write_table(documents(spark, [(i * 3 % 401, t, "s") for i, t in enumerate(texts)]).toArrow(), tmp_path / "documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op1_simhash_near_dedup"](spark, str(tmp_path)).collect()}
+    fps = {i * 3 % 401: slow_print(t) for i, t in enumerate(texts)}
+    want = components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps} and len(set(want.values())) < len(set(fps.values()))
 
 
 def test_op1_edges(spark):
@@ -179,7 +218,7 @@ def slow_repeats(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [suffix.HOT, 2])
 def test_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     rnd = random.Random(1)
@@ -246,6 +285,27 @@ def test_op3_edges(spark):
     assert decontaminate.search(docs, items.limit(0)).count() == 0 and decontaminate.search(docs.limit(0), items).count() == 0
 
 
+def test_op3_short_and_large_items(spark, monkeypatch):
+    """Items of one and two words among large ones, more of each than a shard holds; against plain search."""
+    monkeypatch.setattr(decontaminate.shards, "__defaults__", (20_000,))
+    rnd = random.Random(4)
+    word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    texts = [word(6) for _ in range(300)] + [f"{word(5)} {word(5)}" for _ in range(300)] + [" ".join(word(4) for _ in range(n)) for n in (30, 9_000, 400)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    body = []
+    for _ in range(40):
+        parts = [" ".join(word(7) for _ in range(rnd.randrange(40))) for _ in range(5)]
+        body.append(" . ".join(x for p in parts for x in (p, texts[rnd.randrange(603)] if rnd.random() < 0.7 else "")))
+    got = {(r.id, r.item) for r in decontaminate.search(documents(spark, [(i, t, "s") for i, t in enumerate(body)]), items).collect()}
+    whole = lambda t: f" {' '.join(t.lower().split())} "
+    want = {(i, k) for i, t in enumerate(body) for k, x in enumerate(texts) if whole(x) in whole(t)}
+    assert want <= got and len(want) > 50
+    grams = [set(decontaminate.grams(x.split(), 5)) for x in texts]
+    for i, k in got - want:
+        own = set(decontaminate.grams(body[i].split(), 5))
+        assert len(grams[k] & own) >= 0.8 * len(grams[k])
+
+
 def test_op3_whole_question_with_another_answer(spark):
     ask = " ".join(f"q{i}" for i in range(20)) + "?"
     short = "why is that so?"
@@ -262,24 +322,32 @@ def test_op3_whole_question_with_another_answer(spark):
 
 def test_maximal_segments_against_definition():
     rnd = random.Random(2)
-    for _ in range(300):
-        n = rnd.randrange(1, 25)
-        hits = sorted({rnd.randrange(n) for _ in range(rnd.randrange(0, 12))})
-        s = [(p, rnd.choice([0.5, 1.0, 2.0])) for p in hits]
+    for _ in range(400):
+        n = rnd.randrange(1, 30)
+        hits = sorted({rnd.randrange(n) for _ in range(rnd.randrange(0, 20))})
+        s = [(p, rnd.choice([-1, 1, 1]) * rnd.uniform(0.2, 2)) for p in hits]
         x = [-0.7] * n
         for p, v in s:
             x[p] = v
 
         def slow(lo, hi):
-            best = max(((sum(x[a:b]), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=None)
-            if best is None or best[0] <= 0:
-                return []
-            a, b = best[3], best[4]
-            return slow(lo, a) + [(a, b)] + slow(b, hi)
+            best = max(((sum(x[a:b]), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
+            return slow(lo, best[1]) + [best] + slow(best[2], hi) if best[0] > 0 else []
+
+        got, want = toxicity.maximal_segments(s, 0.7), slow(0, n)
+        assert [g[:2] for g in got] == [w[1:] for w in want] and [g[2] for g in got] == pytest.approx([w[0] for w in want])
+
 
-        got = toxicity.maximal_segments(s, 0.7)
-        assert sum(v for _, _, v in got) == pytest.approx(sum(sum(x[a:b]) for a, b in slow(0, n)))
-        assert all(v == pytest.approx(sum(x[a:b])) for a, b, v in got)
+def test_maximal_segments_in_linear_time():
+    """Scores that a scan without the places of smaller totals meets again and again."""
+    took = []
+    for n in (20_000, 200_000):
+        shapes = [[(4 * i, 1.0) for i in range(n)], [(2 * i, 0.5 + i / n) for i in range(n)], [(i, 1.0 if i % 2 else -1.1) for i in range(n)], [(2 * i, 2.0 - i / n) for i in range(n)]]
+        began = time.process_time()
+        for s in shapes:
+            toxicity.maximal_segments(s, 0.7)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 1
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity_segments", "toxic", 0.9), ("op5_quality_crf", "quality", 0.9)])
@@ -363,6 +431,13 @@ def test_mix_edges_and_emit(spark):
     assert mixing.plan_mix(docs.limit(0)).count() == 0 and mixing.emit(docs.limit(0)).count() == 0
 
 
+def test_mix_is_near_its_targets_without_ids(spark):
+    """Rows without an id, or of one id, draw each for themselves."""
+    rows = [(None, f"word {'x ' * (i % 7)}{i}", "a") for i in range(400)] + [(7, f"other {i}", "b") for i in range(400)] + [(None, f"w {i}", "c") for i in range(3000)]
+    got = mixing.plan_mix(documents(spark, rows)).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("n_copies")).alias("taken")).collect()
+    assert len(got) == 3 and all(abs(r.taken - r.target) <= 0.1 * r.target + 20 for r in got)
+
+
 def slow_spans(t):
     t = t or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 8]
@@ -469,6 +544,29 @@ def test_url_rules(spark):
     assert urlfilter.judge(d.limit(0)).count() == 0
 
 
+def slow_lexical(u, h, p):
+    from collections import Counter
+    from math import log2
+
+    u, n = u or "", len(u or "")
+    letters = [c for c in h if "a" <= c <= "z" or ord(c) > 127]
+    query = u.partition("?")[2].partition("#")[0]
+    entropy = -sum(v / n * log2(v / n) for v in Counter(u).values()) if n else 0.0
+    return (n, len(h), len(p), len([x for x in p.split("/") if x]), len(h.split(".")), sum(c in "0123456789" for c in u) / n if n else 0.0, u.count("-"), entropy,
+            len([x for x in re.split("[&;]", query) if x]), "#" in u, u[:6].lower() == "https:", sum(c in "aeiou" for c in letters) / len(letters) if letters else 0.0, max(map(len, h.split("."))))
+
+
+def test_lexical_features():
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("ab9é-.?#&;/:=") for _ in range(rnd.randrange(12)))
+    rows = [(None, "", ""), ("", "", ""), ("a" * 50_000 + "?x&y", "a" * 50_000, "/x" * 9_000)] + [(rnd.choice(["https://", "HTTPS:", ""]) + word() + word(), word().replace("/", ""), word()) for _ in range(400)]
+    u, h, p = zip(*rows)
+    got = urlfilter.lexical(u, h, p, [0.0] * len(rows), [0.0] * len(rows))
+    for r, x in zip(rows, got):
+        assert x[:-2].tolist() == pytest.approx([float(v) for v in slow_lexical(*r)]), r
+    assert urlfilter.lexical([], [], [], [], []).shape == (0, len(urlfilter.FEATURES))
+
+
 @pytest.mark.parametrize("most", [urlfilter.BROADCAST_BYTES, 0])
 def test_url_rates_cover_every_key(spark, monkeypatch, most):
     """Broadcast or joined by key, every page gets one row and the same score."""
@@ -532,7 +630,60 @@ def test_isolated_pairs_among_many_centroids(spark, monkeypatch):
 
 def test_audit(spark):
     e = common.table(spark, SMALL, "embeddings")
-    assert embeddings.audit(e, embeddings.near_duplicates(e)) == 1.0
+    assert embeddings.near_duplicates(e).first().recall == 1.0
+    # vectors of two lengths
+    x = isolated_pairs(40, 0.95, 0.97, 1, 8)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(200, [1.0, 0.0]), (201, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert embeddings.near_duplicates(d).first().recall == 1.0
+    rows, nodes, kind = embeddings._nodes(e, "vec_id", "embedding")
+    found, _ = embeddings.find_links(nodes, nodes.count(), kind, 0.2)
+    assert embeddings.audit(nodes, found, kind, 0.2) >= 0.9 and embeddings.audit(nodes, found.limit(0), kind, 0.2) == 0.0
+
+
+def test_vectors_of_any_scale(spark):
+    x = [[1e200, 0.0], [2e200, 0.0], [3.0, 0.0], [1e-200, 0.0], [1e-310, 0.0], [0.0, 5.0], [-0.0, 1e300]]
+    d = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(d).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (1, 5), 6: (1, 5)}
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.035])
+def test_a_large_group_of_near_copies(spark, monkeypatch, noise):
+    """One group around a centre far larger than a shard: core nodes are counted, the others compared in blocks."""
+    monkeypatch.setattr(embeddings, "SHARD", 60)
+    monkeypatch.setattr(embeddings, "PER_CENTROID", 20)
+    rnd = np.random.default_rng(2)
+    centre = rnd.normal(size=(1, 64))
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([centre + noise * rnd.normal(size=(500, 64)), rnd.normal(size=(200, 64))]).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.id: r.n_links for r in embeddings.near_duplicates(d).collect()}
+    u = embeddings.unit(x)
+    assert got == dict(enumerate(((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()))
+
+
+def test_cells_of_centroids(spark, monkeypatch):
+    """Beyond MAX_CENTROIDS cells have centroids of their own."""
+    monkeypatch.setattr(embeddings, "MAX_CENTROIDS", 6)
+    monkeypatch.setattr(embeddings, "PER_CENTROID", 40)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 150)
+    x = isolated_pairs(600, 0.9, 0.95, 4, 32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embeddings.near_duplicates(d)
+    assert found.filter("n_links > 0").count() >= 0.93 * len(x) and found.first().recall >= 0.9
+
+
+def test_graph_reaches_what_a_beam_from_medoids_finds():
+    for dim in (16, 768):
+        x = isolated_pairs(300, 0.9, 0.95, 3, dim).astype(np.float32)
+        g = embeddings.Graph(x, *embeddings.build_graph(x))
+        m = g.medoids()
+        near = np.argsort(-(x @ x[m].T), axis=1)[:, :2]
+        ids, _ = g.beam_search(np.arange(len(x)), m[near])
+        assert (ids == np.arange(len(x))[:, None]).any(axis=1).mean() > 0.9
+        found = {(a, b) for q, f in g.range_search(0.9) for a, b in zip(q.tolist(), f.tolist()) if a != b}
+        true = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9)) if a != b}
+        assert len(found & true) >= 0.99 * len(true) and found <= true | {(b, a) for a, b in true}
 
 
 # --- registration ------------------------------------------------------------------------------

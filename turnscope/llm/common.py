@@ -12,6 +12,8 @@ _FALLBACK: dict[str, str] = {}
 
 #: Labels may be learnt only from rows whose crc32(doc_id) leaves another remainder than this.
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
+#: Edges whose components a task finds by itself.
+CHUNK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local temporary one only where the session names none."""
+    """The folder all executors share, as the session names it; a temporary one only where all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="turnscope-")
     return _FALLBACK["dir"]
@@ -53,26 +57,74 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(rest == HELD_OUT_REST, F.lit(False))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b); root is the smallest node reachable.
+def roots(n: int, i, j):
+    """Smallest of n numbered nodes in the component of each, given links (i, j) as arrays: labels sink along links and are shortened."""
+    import numpy as np
+
+    low = np.arange(n)
+    while len(i):
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        open_ = low[i] != low[j]
+        if not open_.any():
+            break
+        # a link between labels is as good as the link itself
+        i, j = low[i[open_]], low[j[open_]]
+    while (low != low[low]).any():
+        low = low[low]
+    return low
+
+
+def _contract(edges: DataFrame, tasks: int) -> DataFrame:
+    """(u, v): the edges of each of some parts as links of its nodes to the smallest one reachable there."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(held):
+            u, v = (np.concatenate(c) for c in zip(*held))
+            ends, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            low = ends[roots(len(ends), at[: len(u)], at[len(u) :])]
+            far = low != ends
+            return pa.RecordBatch.from_arrays([pa.array(ends[far]), pa.array(low[far])], names=["u", "v"])
 
-    Alternating large-star and small-star rounds: each connects a node's neighbours to its
+        held, size = [], 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= 2 * CHUNK:
+                yield links(held)
+                held, size = [], 0
+        if size:
+            yield links(held)
+
+    return edges.select("u", "v").repartition(tasks).mapInArrow(run, "u long, v long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, chunk: int | None = None) -> DataFrame:
+    """(node, root) for every node of the undirected edges (a, b) of longs; root is the smallest node reachable.
+
+    Edges are contracted in parts of about CHUNK, a task each; a graph of one part is done then. Alternating large-star and
+    small-star rounds join what is left: each connects a node's neighbours to its
     smallest neighbour, so paths shorten geometrically and every step is an aggregate and an
     equi-join. The minima are stored apart, so that a hot hub's edges meet them in a plain join
     whose partitions adaptive execution can split. Self-links and null ends are ignored;
-    repeated and reversed edges count once.
+    repeated and reversed edges count once. The result reads a stored table: release() it when it has been read.
     """
-
-    def state(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
-
     e = materialize(
-        edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(),
         "cc-edges",
     )
-    seen = state(e)
+    tasks = -(-e.count() // (chunk or CHUNK))
+    if tasks:
+        joined = _contract(e, tasks)
+        new = materialize(joined.distinct() if tasks > 1 else joined, "cc-edges")
+        release(e)
+        e = new
     for _ in range(max_rounds):
-        if not seen[0]:
+        if tasks <= 1:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
@@ -81,14 +133,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = materialize(small.distinct(), "cc-edges")
+        # both hold no edge twice, so equal counts and no new edge mean the same edges
+        settled = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
         release(e, low, large, least)
-        e, before, seen = new, seen, state(new)
-        if before == seen:
+        e = new
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
+    out._stored_at = e._stored_at
+    return out
 
 
 def slices(batch, text_col: int, most: int = 4 << 20):

@@ -13,11 +13,12 @@ MIN_OVERLAP (0.8), or the question does that has QUESTION_WORDS (8) words or mor
 Such questions are entries of the index beside their items, so that WAND finds them whatever the
 answer's length; the score is the item's where that reaches MIN_SCORE, else the question's.
 
-The index goes to the executors by broadcast; its size is bounded, as items are dealt to shards of
-at most SHARD_BYTES of text and each shard is one pass. The corpus is never shuffled.
+The index goes to the executors by broadcast; its size is bounded, as items are dealt in order to shards of
+at most SHARD_BYTES of text (a larger item has one of its own) and each shard is one pass. The corpus is never shuffled.
 
-Defined cases: null and empty documents and items match nothing. Items shorter than three (five)
-words are one term (one gram) of all their words. Equal items are reported each; equal documents
+Defined cases: null and empty documents and items match nothing; texts of any length are searched whole, passage by
+passage. Items shorter than three (five)
+words are one term (one gram) of all their words, looked up like others in sorted tables. Equal items are reported each; equal documents
 each get their rows; ids may be null and stay so. Extra columns are ignored by search() and kept
 by drop_contaminated(). Without items, or without documents, the result is empty.
 """
@@ -27,13 +28,15 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, release, slices, table
 
 TERM, GRAM = 3, 5
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.8
@@ -41,7 +44,6 @@ MIN_SCORE, MIN_OVERLAP = 0.5, 0.8
 QUESTION_WORDS = 8
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: So small that a shard has less than 2^21 different words, whose numbers then fit an integer by threes.
 SHARD_BYTES = 8 << 20
 
 
@@ -77,7 +79,6 @@ class ItemIndex:
         self.longest = max((len(w) for _, w in self.items), default=1)
         #: word numbers; 0 is any other word
         self.word = {w: k for k, w in enumerate(sorted({x for _, ws in self.items for x in ws}), 1)}
-        self.short = {tuple(w): None for _, w in self.items if len(w) < TERM}
         #: entries of the index: whole items by their number, then long questions
         self.asks = [len(q) >= QUESTION_WORDS and len(q) < len(w) for (_, w), (q, _) in zip(self.items, self.parts)]
         self.entry = [*range(len(self.items)), *(d for d, ask in enumerate(self.asks) if ask)]
@@ -103,28 +104,47 @@ class ItemIndex:
         self._keys()
 
     def _keys(self):
-        """Three-grams of word numbers as sorted integers, for lookups of whole documents at once."""
-        base = len(self.word) + 1
-        full = [(((self.word[t[0]] * base) + self.word[t[1]]) * base + self.word[t[2]], k) for t, k in self.number.items() if len(t) == TERM]
-        full.sort()
-        self.base = base
-        self.keys = np.array([x for x, _ in full], dtype=np.int64)
-        self.key_term = np.array([k for _, k in full], dtype=np.int64)
+        """Terms as sorted integers by length: numbers of words, of (pair of words), of (pair, word), so that any number of words fits."""
+        self.base = len(self.word) + 1
+        numbered = [(tuple(self.word[w] for w in t), k) for t, k in self.number.items()]
+        self.pairs = np.unique(np.array([t[0] * self.base + t[1] for t, _ in numbered if len(t) > 1], dtype=np.int64))
+        self.tables = []
+        for size in (1, 2, 3):
+            own = [(t, k) for t, k in numbered if len(t) == size]
+            head = np.array([t[0] for t, _ in own], dtype=np.int64)
+            if size > 1:
+                head = np.searchsorted(self.pairs, head * self.base + np.array([t[1] for t, _ in own], dtype=np.int64))
+            key = head * self.base + np.array([t[2] for t, _ in own], dtype=np.int64) if size == 3 else head
+            order = np.argsort(key)
+            self.tables.append((key[order], np.array([k for _, k in own], dtype=np.int64)[order]))
+
+    @staticmethod
+    def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in wanted that keys hold, places in keys)."""
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        ok = np.nonzero(keys[k] == wanted)[0]
+        return ok, k[ok]
 
     def term_hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(positions, terms) of the index terms in a document."""
         get = self.word.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        at, terms = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(ids) >= TERM and len(self.keys):
-            known = np.nonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))[0]
-            key = (ids[known] * self.base + ids[known + 1]) * self.base + ids[known + 2]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[k] == key
-            at, terms = known[ok], self.key_term[k[ok]]
-        for t in self.short:  # items of one or two words
-            hit = [i for i in range(len(words) - len(t) + 1) if tuple(words[i : i + len(t)]) == t] if ids[ids > 0].size else []
-            at, terms = np.concatenate([at, np.array(hit, np.int64)]), np.concatenate([terms, np.full(len(hit), self.number[t], np.int64)])
+        one, two, three = self.tables
+        at, k = self._look_up(one[0], ids)
+        found = [(at, one[1][k])]
+        start = np.nonzero((ids[:-1] > 0) & (ids[1:] > 0))[0]
+        ok, pair = self._look_up(self.pairs, ids[start] * self.base + ids[start + 1])
+        start = start[ok]
+        ok, k = self._look_up(two[0], pair)
+        found.append((start[ok], two[1][k]))
+        ends = np.append(ids, 0)[start + 2]
+        known = ends > 0
+        start, pair = start[known], pair[known]
+        ok, k = self._look_up(three[0], pair * self.base + ends[known])
+        found.append((start[ok], three[1][k]))
+        at, terms = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(at, kind="stable")
         return at[order], terms[order]
 
@@ -213,25 +233,30 @@ class ItemIndex:
         return hit / len(wanted) if wanted else 0.0
 
 
-def shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> list[ItemIndex]:
-    """Indexes of bounded size over all items; idf and mean length come from all of them."""
+def shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> Iterator[ItemIndex]:
+    """Indexes of bounded size over all items, one at a time; idf and mean length come from all of them."""
     kept = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // shard_bytes))
-    if n == 1:
-        return [ItemIndex(sorted(((r["id"], r["text"]) for r in kept.collect()), key=lambda r: (r[0] is None, r[0], r[1])))]
+    in_order = lambda rows: sorted(((r["id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0], r[1]))
+    if size <= shard_bytes:
+        yield ItemIndex(in_order(kept.collect()))
+        return
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     ws = kept.select("id", "text", words.alias("w")).filter(F.size("w") > 0)
     three = ws.select("id", "text", F.when(F.size("w") < TERM, F.array(F.concat_ws(" ", "w"))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - TERM + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, TERM)))).alias("g"))
     whole = three.agg(F.count("*").alias("n"), F.avg(F.size("g")).alias("mean")).first()
-    df = three.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    out = []
-    for k in range(n):
-        own = three.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+    df = materialize(three.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count("*").alias("df")), "items-df")
+    # items are dealt to shards of half the bytes by hash; what a shard then holds too much is cut by its running sum
+    n = -(-2 * size // shard_bytes)
+    dealt = three.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+    before = W.partitionBy("shard").orderBy(F.xxhash64("text"), "id").rowsBetween(W.unboundedPreceding, -1)
+    dealt = dealt.withColumn("part", F.floor(F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)) / F.lit(shard_bytes)))
+    dealt = materialize(dealt, "items-dealt")
+    for r in dealt.select("shard", "part").distinct().orderBy("shard", "part").collect():
+        own = dealt.filter((F.col("shard") == r["shard"]) & (F.col("part") == r["part"]))
         dfs = own.select(F.explode("g").alias("g")).distinct().join(df, "g").collect()
-        rows = sorted(((r["id"], r["text"]) for r in own.select("id", "text").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        out.append(ItemIndex(rows, {tuple(r["g"].split(" ")): r["df"] for r in dfs}, whole["n"], whole["mean"]))
-    return out
+        yield ItemIndex(in_order(own.select("id", "text").collect()), {tuple(r["g"].split(" ")): r["df"] for r in dfs}, whole["n"], whole["mean"])
+    release(df, dealt)
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -258,11 +283,14 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; decided row by row, columns unchanged."""
+    """The rows of docs that hold no item; decided row by row, columns unchanged. Each shard of items after the first reads what the one before kept."""
     names = docs.columns
     at = names.index("text")
     out = docs
-    for index in shards(items, "item_id", "text"):
+    for k, index in enumerate(shards(items, "item_id", "text")):
+        if k:  # an executor holds one index at a time
+            before, out = out, materialize(out, "clean")
+            release(before)
         box = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, box=box):

@@ -6,12 +6,12 @@ reshared by weight among the others until none is above. That fixpoint is a wate
 target = min(cap, L x weight): with sources sorted by cap / weight, the first k that lie below
 the level are capped, and L = (total - caps of those k) / (weights of the rest).
 A document is then emitted floor(rate) times, rate = target / size of its source, and once more
-if a hash of its id, seeded, falls below the fraction of the rate. The hash depends on nothing
-but seed and id, so reruns, retries and other partitionings agree.
+if a hash of its id and text, seeded, falls below the fraction of the rate. The hash depends on nothing
+but these, so reruns, retries and other partitionings agree.
 
 Defined cases: null and empty texts have size 0 and are emitted like others of their source. A
-source whose texts are all empty has target and rate 0. Rows with equal doc_id share their draw;
-a null doc_id draws as the string 'null'. A null source is a source of its own. Extra columns
+source whose texts are all empty has target and rate 0. Rows with equal doc_id draw by their texts, as do
+those without one; only rows that repeat both share a draw. Texts of any length count whole. A null source is a source of its own. Extra columns
 ride along in emit() and are dropped by the rates; sizes are kept under names of their own.
 An empty table gives an empty result.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
 #: Fixed values of the mix.
 WEIGHTS = (5, 2, 1)
@@ -37,9 +37,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of the MD5 of seed and id."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) from 52 bits of the MD5 of seed, id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -76,27 +76,30 @@ def with_rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
 
 
-def copies(rate: Column, doc_id: Column, seed: int = SEED) -> Column:
+def copies(rate: Column, drawn: Column) -> Column:
+    """floor(rate), and one more if the number drawn is below the fraction."""
     whole = F.floor(rate)
-    return (whole + (draw(doc_id, seed) < rate - whole).cast("long")).cast("long")
+    return (whole + (drawn < rate - whole).cast("long")).cast("long")
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, n_copies), one row per row of docs."""
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw(F.col(id_col), F.col(text_col), seed).alias("drawn")), "mix-sizes")
     rated = with_rates(sized, materialize(source_targets(sized), "mix-targets"))
-    return rated.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"), seed))
+    return rated.withColumn("n_copies", copies(F.col("rate"), F.col("drawn"))).drop("drawn")
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """docs with every row as often as the mix takes it; columns unchanged."""
     names = docs.columns
     sized = materialize(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    targets = materialize(source_targets(sized), "mix-targets").select(F.col("source").alias("_mix_source"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("_mix_rate"))
+    stored = materialize(source_targets(sized), "mix-targets")
+    release(sized)
+    targets = stored.select(F.col("source").alias("_mix_source"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("_mix_rate"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     joined = docs.join(targets, docs[source_col].eqNullSafe(targets["_mix_source"]))
-    n = copies(F.col("_mix_rate"), F.col(id_col), seed)
+    n = copies(F.col("_mix_rate"), draw(docs[id_col], docs[text_col], seed))
     return joined.withColumn("_mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).select(*[F.col(f"`{c}`") for c in names])
 
 
@@ -108,7 +111,7 @@ def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size FROM documents),
 sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS cap,
     (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight
@@ -122,7 +125,7 @@ lev AS (SELECT CAST(total - caps_before AS DOUBLE) / weight_left AS level FROM s
 targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT level FROM lev) * weight, CAST(cap AS DOUBLE))) AS target FROM sums),
 rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
-    CAST(('0x' || substr(md5('42:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    CAST(('0x' || substr(md5('42:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':' || s.digest), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM rated
 """

@@ -7,14 +7,14 @@ document's label; forward-backward gives each line's probability of being good,
 which, weighted by line length, is the document's evidence. A logistic map learnt on the same
 documents turns it into a probability.
 
-Fitting reads at most FIT_ROWS labelled documents (whole texts), in hash order, never the held
-out ones. Scoring is one pass over all documents without a shuffle; texts go through in slices
+Fitting reads at most FIT_ROWS labelled documents (whole texts) and, of these, as many in hash order as
+FIT_LINES lines allow, so that what the driver holds is bounded; never the held out ones. Scoring is one pass over all documents without a shuffle; texts go through in slices
 of a few MB, so that memory is bounded by the longest text.
 
-Defined cases: null and empty texts are one empty line and get a score like any other. Repeated
+Defined cases: a long text is scored whole, in memory linear in it. Null and empty texts are one empty line and get a score like any other. Repeated
 rows each get a row. Labels without a document, null labels and null ids teach nothing; with no
-labels, or labels of one kind, every score is near that kind's rate. Extra columns are ignored
-by the score and kept by keep_good(). An empty table gives an empty result.
+labels, or labels of one kind, every score is near that kind's rate. Extra columns of any type and name are
+kept; where quality_score is taken, the score's name has underscores in front. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample, logistic_fit, slices, table
+from .common import held_out, labelled_sample, logistic_fit, materialize, release, slices, table
 
-FIT_ROWS = 4_000
+FIT_ROWS, FIT_LINES = 4_000, 400_000
 CUT = 0.7
 STEPS, STEP_SIZE, RIDGE = 120, 0.15, 1e-3
 #: Byte classes of the features, in order.
@@ -168,7 +170,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-(e * self.map[0] + self.map[1])))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, lines: int = FIT_LINES) -> QualityModel:
     def run(batches):
         for b in batches:
             for part in slices(b, 1):
@@ -178,8 +180,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([a.tobytes() for a in xs], pa.binary()), pa.array([a.tobytes() for a in ss], pa.binary())], names=["doc_id", "y", "x", "size"])
 
     sample = labelled_sample(docs, labels, label, rows)
+    sample = materialize(sample.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))), F.lit(0)) + 1), "quality-sample")
+    so_far = F.sum("n_lines").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    fits = sample.select("doc_id", so_far.alias("lines")).filter(F.col("lines") <= lines).select("doc_id")  # FIT_ROWS rows of numbers at most
+    picked = sample.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "y")
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sorted(sample.mapInArrow(run, f"doc_id {kind}, y double, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    got = sorted(picked.mapInArrow(run, f"doc_id {kind}, y double, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    release(sample)
     width = 3 * OWN + 2
     if not got:
         return QualityModel(Chain(width), np.array([0.0, 0.0]))
@@ -192,27 +199,48 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
     return model
 
 
+def score_name(names: list[str]) -> str:
+    """quality_score, with underscores in front as long as docs has such a column."""
+    name = "quality_score"
+    while name.lower() in {c.lower() for c in names}:
+        name = "_" + name
+    return name
+
+
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with a column quality_score (its name must be free); rows and other columns as they are."""
+    """docs with a last column quality_score (see score_name()); rows and other columns as they are."""
     names = docs.columns
-    at = names.index("text")
+    at, name = names.index("text"), score_name(names)
 
     def run(batches):
         for b in batches:
             for part in slices(b, at):
                 s = model.scores([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*names, "quality_score"])
-
-    schema = docs.schema
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs whose score reaches cut."""
-    scored = score_quality(docs, fit_quality(docs, labels))
-    return scored.filter(F.col("quality_score") >= cut).drop("quality_score")
+    scored, name = score_quality(docs, fit_quality(docs, labels)), score_name(docs.columns)
+    return scored.filter(F.col(f"`{name}`") >= cut).drop(name)
+
+
+def label_lines(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, line_no from 0, good, label): every line's probability of being good, and its label, good or bad."""
+    kept = docs.select("doc_id", "text")
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b, 1):
+                x, _, per_doc = line_features([t or "" for t in part.column(1).to_pylist()])
+                good = model.chain.marginals(x, per_doc)[0] if len(per_doc) else np.zeros(0)
+                first = np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(per_doc)), per_doc)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(x)) - first, pa.int64()), pa.array(good, pa.float64()), pa.array(np.where(good >= 0.5, "good", "bad"), pa.string())], names=["doc_id", "line_no", "good", "label"])
+
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, line_no long, good double, label string")
 
 
 def op5_quality_crf(spark, sf_dir: str) -> DataFrame:

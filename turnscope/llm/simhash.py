@@ -2,14 +2,18 @@
 
 A fingerprint is eight bytes. Two fingerprints that differ in at most two bits differ in at
 most two bytes, so they share at least six positional bytes: that is the guaranteed minimum of
-matches. The inverted index therefore posts every distinct fingerprint under each set of six
-byte positions with the bytes found there (28 sets); a pair meets in a posting list exactly
-when its tally of shared positional bytes reaches the minimum. A list fixes 48 of 64 bits and so
-holds 65,536 distinct fingerprints at most, whatever the corpus. Within a list the tally and the
-Hamming distance of pairs are verified; a long list is probed by flipping bits instead of by
-all pairs. Links between fingerprints are joined into components; documents with equal
-fingerprints (exact copies, empty texts) are one node from the start.
-
+matches. Of the first six positions such a pair shares at least four, so the inverted index posts every
+distinct fingerprint under each set of four of the first six byte positions with the bytes found there (15
+sets). Every pair that meets in a posting list is tallied over all eight positions; pairs below the minimum
+are dropped, the others are verified by Hamming distance, and a pair that meets in several lists counts in the first.
+
+A key of more than LONG fingerprints, as a sample tells, is posted longer: such a pair shares two more of the
+four positions left, so its fingerprints go under each two of these, too (6 sets). A list of six positions
+fixes 48 of 64 bits and holds 65,536 distinct fingerprints at most, whatever the corpus. Lists are compared in
+the same way at any length, in memory linear in the list. Links between fingerprints are joined into
+components; documents with equal fingerprints (exact copies, empty texts) are one node from the start.
+
+Long texts are hashed whole, in blocks of STEP shingles.
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and link
 with each other and with whatever lies within the distance. A null doc_id never names a
 component unless no other id is in it (then component_id is null). Repeated rows each get a row.
@@ -33,19 +37,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release
+from .common import connected_components, materialize, release, roots
 
 BYTES, MAX_BITS = 8, 2
 MIN_MATCHES = BYTES - MAX_BITS
-POSITION_SETS = list(combinations(range(BYTES), MIN_MATCHES))
-#: Posting lists up to this length are compared pair by pair, longer ones by flipping bits.
-PAIRWISE = 48
+#: Of so many positions a pair has at least HEAD - MAX_BITS in common.
+HEAD = 6
+MORE = MIN_MATCHES - (HEAD - MAX_BITS)
+#: A posting list expected to be longer than this is dealt by longer keys; one fingerprint in SAMPLE tells.
+LONG, SAMPLE = 4_096, 16
 STEP = 1 << 15
 #: Jaccard similarity: words to a shingle, the least similarity, keys of so many min-hashes each.
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Bytes of text verified at once; larger components are dealt as pairs of blocks of half of that.
 BLOCK_BYTES = 4 << 20
+#: Sets of four of the first six positions, then each of them with two of the positions left.
+SHORT_SETS = list(combinations(range(HEAD), HEAD - MAX_BITS))
+LONG_SETS = [(*short, *more) for short in SHORT_SETS for more in combinations([p for p in range(BYTES) if p not in short], MORE)]
+_FIXED = np.array([[p in s for p in range(BYTES)] for s in SHORT_SETS + LONG_SETS])
 _MIX = np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS, ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
@@ -86,88 +96,115 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _bucket_links(fps: np.ndarray, positions: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Spanning links of one posting list (distinct fingerprints that agree at positions)."""
-    m = len(fps)
-    if m <= PAIRWISE:
-        x = fps[:, None] ^ fps[None, :]
-        same = (x.view(np.uint8).reshape(m, m, BYTES) == 0).sum(axis=2)
-        i, j = np.nonzero(np.triu((same >= MIN_MATCHES) & (np.bitwise_count(x) <= MAX_BITS), 1))
-    else:
-        free = [8 * p + k for p in range(BYTES) if p not in positions for k in range(8)]
-        one = [np.uint64(1) << np.uint64(b) for b in free]
-        flips = one + [a | b for a, b in combinations(one, 2)]
-        fps = np.sort(fps)
-        left, right = [], []
-        for f in flips:
-            other = fps ^ f
-            at = np.minimum(np.searchsorted(fps, other), m - 1)
-            hit = np.nonzero((fps[at] == other) & (fps < other))[0]
-            left.append(hit)
-            right.append(at[hit])
-        i, j = np.concatenate(left), np.concatenate(right)
-    parent = list(range(m))
-
-    def root(k):
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    signed = fps.view(np.int64)
-    return [(int(signed[k]), int(signed[r])) for k in range(m) if (r := root(k)) != k]
-
-
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links that span every component within each posting list; distinct has column fp."""
-    masks = []
-    for s in POSITION_SETS:
-        mask = sum(0xFF << (8 * p) for p in s)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    posts = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("p"))
-    posts = posts.select("p.set", "p.key", "fp").repartition("set", "key").sortWithinPartitions("set", "key")
+def _tally(x: np.ndarray) -> np.ndarray:
+    """Positional bytes that two fingerprints share, given their exclusive or: the zero bytes."""
+    for shift in (4, 2, 1):
+        x = x | x >> np.uint64(shift)
+    return BYTES - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def list_pairs(sets: np.ndarray, keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of whole posting lists, given in order, that pass count filter and check, each in its first list only."""
+    edge = np.append(np.nonzero(np.append(True, (sets[1:] != sets[:-1]) | (keys[1:] != keys[:-1])))[0], len(fps))
+    end = np.repeat(edge[1:], np.diff(edge))
+    left, right = [], []
+    at, d = np.arange(len(fps)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < end[at]]
+        x = fps[at] ^ fps[at + d]
+        met = _tally(x) >= MIN_MATCHES
+        hit = met & (np.bitwise_count(x) <= MAX_BITS)
+        if hit.any():
+            left.append(at[hit])
+            right.append(left[-1] + d)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    shared = (fps[i] ^ fps[j]).view(np.uint8).reshape(-1, BYTES) == 0
+    # the first list of a pair fixes the first four positions of the head that it shares, and then, if longer, the first two of those left
+    own = np.zeros_like(shared)
+    head = shared[:, :HEAD]
+    own[:, :HEAD] = head & (np.cumsum(head, axis=1) <= HEAD - MAX_BITS)
+    rest = shared & ~own
+    more = rest & (np.cumsum(rest, axis=1) <= MORE) & (sets[i] >= len(SHORT_SETS))[:, None]
+    first = ((own | more) == _FIXED[sets[i]]).all(axis=1)
+    return i[first], j[first]
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node of its component) in place of the links (a, b)."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = ends[roots(len(ends), at[: len(a)], at[len(a) :])]
+    return ends[low != ends], low[low != ends]
+
+
+def _mask(positions: tuple[int, ...]):
+    mask = sum(0xFF << (8 * p) for p in positions)
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def _postings(distinct: DataFrame, long: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """((set, key, fp), stored table of the hot keys), with set numbering SHORT_SETS and LONG_SETS; keys that a sample shows to be long under their longer ones."""
+
+    def posts(df, first, sets):
+        return df.select("fp", F.explode(F.array(*[F.struct(F.lit(first + k).cast("short").alias("set"), F.col("fp").bitwiseAND(_mask(s)).alias("key")) for k, s in enumerate(sets)])).alias("p")).select("p.set", "p.key", "fp")
+
+    short = posts(distinct, 0, SHORT_SETS)
+    counted = posts(distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0), 0, SHORT_SETS).groupBy("set", "key").agg(F.count("*").alias("n"))
+    hot = materialize(counted.filter(F.col("n") > long // sample).select("set", "key"), "simhash-hot")
+    if hot.isEmpty():
+        return short, hot
+    per = len(LONG_SETS) // len(SHORT_SETS)
+    every = F.array(*[F.struct(F.lit(len(SHORT_SETS) + k).cast("short").alias("set"), F.col("fp").bitwiseAND(_mask(s)).alias("key")) for k, s in enumerate(LONG_SETS)])
+    longer = short.join(hot, ["set", "key"], "left_semi").select("fp", F.explode(F.slice(every, F.col("set") * per + 1, per)).alias("p")).select("p.set", "p.key", "fp")
+    return short.join(hot, ["set", "key"], "left_anti").unionByName(longer), hot
+
+
+def fingerprint_links(distinct: DataFrame, long: int | None = None, sample: int | None = None) -> DataFrame:
+    """(a, b), stored: links that span the components of all pairs within the distance; distinct has column fp, one row each."""
+    posts, hot = _postings(distinct, LONG if long is None else long, SAMPLE if sample is None else sample)
+    posts = posts.repartition("set", "key").sortWithinPartitions("set", "key")
 
     def run(batches):
         rest = None
         for b in batches:
-            got = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy(), b.column(2).to_numpy()])
-            if not got.shape[1]:
-                continue
-            got = got if rest is None else np.concatenate([rest, got], axis=1)
-            cut = np.nonzero((got[0, 1:] != got[0, :-1]) | (got[1, 1:] != got[1, :-1]))[0] + 1
-            if not len(cut):
-                rest = got
+            got = [b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
+            if not len(got[0]):
                 continue
-            rest = got[:, cut[-1] :]
-            yield links(got, np.concatenate([[0], cut]))
+            if rest is not None:
+                got = [np.concatenate(x) for x in zip(rest, got)]
+            last = np.nonzero((got[0] != got[0][-1]) | (got[1] != got[1][-1]))[0]
+            cut = last[-1] + 1 if len(last) else 0
+            rest = [x[cut:] for x in got]
+            if cut:
+                yield links(*(x[:cut] for x in got))
         if rest is not None:
-            yield links(rest, np.array([0, rest.shape[1]]))
+            yield links(*rest)
 
-    def links(got, edges):
-        out = []
-        sizes = np.diff(edges)
-        for k in np.nonzero(sizes > 1)[0]:
-            part = np.ascontiguousarray(got[2, edges[k] : edges[k + 1]]).view(np.uint64)
-            out += _bucket_links(part, POSITION_SETS[int(got[0, edges[k]])])
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+    def links(sets, keys, fps):
+        i, j = list_pairs(sets, keys, fps)
+        fps = fps.view(np.int64)
+        a, b = _spanning(fps[i], fps[j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return posts.mapInArrow(run, "a long, b long")
+    found = materialize(posts.mapInArrow(run, "a long, b long"), "simhash-links")
+    release(hot)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most two bits."""
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
-    comps = materialize(connected_components(fingerprint_links(nodes.select("fp"))), "simhash-roots")
+    links = fingerprint_links(nodes.select("fp"))
+    found = connected_components(links)
+    comps = materialize(found, "simhash-roots")
     members = nodes.join(comps.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     members = materialize(members, "simhash-members")
     lows = materialize(members.groupBy("root").agg(F.min("low").alias("component")), "simhash-lows")
     named = materialize(members.join(lows, "root").select("fp", "component"), "simhash-named")
-    release(nodes, comps, members, lows)
+    release(nodes, links, found, comps, members, lows)
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
@@ -257,14 +294,16 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     heads = materialize(nodes.filter(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
     equal = nodes.filter(F.size("keys") > 0).join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
-    close = fingerprint_links(heads.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    out = materialize(connected_components(banded.unionByName(equal).unionByName(close)), "similar-candidates")
-    release(lows, heads)
+    links = fingerprint_links(heads.select("fp"))
+    close = links.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    found = connected_components(banded.unionByName(equal).unionByName(close))
+    out = materialize(found, "similar-candidates")
+    release(lows, heads, links, found)
     return out
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """(id, component): component is the smallest id reachable over pairs of Jaccard similarity `least` or more.
+    """(id, component), stored: component is the smallest id reachable over pairs of Jaccard similarity `least` or more.
 
     The keys are laid out for a least similarity of about 0.8 and more.
     """
@@ -293,12 +332,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     links = dealt.groupBy("cut", "shard", "a", "b").applyInArrow(verify, "a long, b long")
-    roots = materialize(connected_components(links), "similar-roots")
+    found = connected_components(links)
+    roots = materialize(found, "similar-roots")
     members = materialize(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low"), "similar-members")
     least_ids = materialize(members.groupBy("root").agg(F.min("low").alias("component")), "similar-ids")
     named = materialize(members.join(least_ids, "root").select("node", "component"), "similar-named")
-    release(nodes, comps, cand, roots, members, least_ids)
-    return prints.join(named, "node").select("id", "component")
+    out = materialize(prints.join(named, "node").select("id", "component"), "similar-found")
+    release(prints, nodes, comps, cand, found, roots, members, least_ids, named)
+    return out
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

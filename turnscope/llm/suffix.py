@@ -18,11 +18,12 @@ option, so suffix arrays are built where repeats can be:
    no recursion. Adjacent suffixes that agree in WIDTH bytes are runs of equal windows, all but the
    first of which go.
 3. A key of more than HOT sides (a passage on a third of all pages with a different next word each
-   time) would make one block unbounded: its windows are dealt by their own 128-bit hash instead, those of one batch
-   once, and again all but the first go.
+   time) would make one block unbounded. Its windows hold further bytes before or after what the key has, half of
+   the rest at least on one side, so a side is cut in two again, keyed by that much more of its text; this is
+   repeated, halving the rest, until keys are no longer hot or are whole windows, of which equal ones fall together.
 
-Removed ranges meet their document in one last join. Equality of windows is by bytes in 2, by a
-128-bit hash in 3, of regions by two hashes of 64 bits.
+Removed ranges meet their document in one last join. Equality of windows is by bytes, of regions by two hashes of
+64 bits, of whole windows as keys by one of 64 bits and their bytes.
 
 Defined cases: null texts are empty; texts under WIDTH bytes lose nothing. A null doc_id comes
 after every other. Rows of equal id and text are one document and get the same answer; rows of
@@ -44,8 +45,11 @@ from .common import materialize, release, slices, table
 
 WIDTH, K = 100, 24
 SIDE = (WIDTH - K) // 2
-HOT = 1_000
+#: A key of more sides than a block holds is keyed by longer context.
+HOT = 256
 BLOCK_BYTES = 32_000
+#: Bytes of sides that a task sorts, and the most tasks.
+TASK_BYTES, MOST_TASKS = 4 << 20, 100_000
 #: Documents are anchored in pieces of so many windows; pieces overlap, so no window is lost.
 PIECE = 1 << 22
 LAST = (1 << 63) - 1
@@ -313,21 +317,52 @@ def _decide(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _CUT)
 
 
+_SIDE = "e long, doc long, tie long, lo long, hi long, c0 long, c1 long, region binary"
+_KINDS = (*(pa.int64(),) * 7, pa.binary())
+
+
+def _signed(e: int) -> int:
+    return e - (1 << 64) if e >> 63 else e
+
+
 def _sides(raw: bytes, lo: int, packed: int):
-    """(key, first window, last window, bytes) of the windows around an anchor that hold the bytes before it, and of the others."""
+    """(key, first window, last window, context, bytes) of the windows around an anchor that hold the bytes before it, and of the others; all windows hold the context."""
     hi = packed >> 7
     a = hi + (packed & 127)
     if lo <= a - SIDE:
         to = min(hi, a - SIDE)
-        yield xxhash.xxh64_intdigest(raw[a - SIDE : a + K], 1), lo, to, raw[lo : to + WIDTH]
+        yield xxhash.xxh64_intdigest(raw[a - SIDE : a + K], 1), lo, to, a - SIDE, a + K, raw[lo : to + WIDTH]
     start = max(lo, a - SIDE + 1)
     if start <= hi:
-        yield xxhash.xxh64_intdigest(raw[a : a + K + SIDE], 2), start, hi, raw[start : hi + WIDTH]
+        yield xxhash.xxh64_intdigest(raw[a : a + K + SIDE], 2), start, hi, a, a + K + SIDE, raw[start : hi + WIDTH]
+
+
+def _halves(e: int, lo: int, hi: int, c0: int, c1: int, region: bytes):
+    """A side cut in two by longer context: windows that hold half of what is left of them before it, and the others, which hold more behind it."""
+    left = WIDTH - (c1 - c0)
+    before = (left + 1) // 2
+    seed = e & ((1 << 64) - 1)
+    if lo <= c0 - before:
+        to = min(hi, c0 - before)
+        yield xxhash.xxh64_intdigest(region[c0 - before - lo : c1 - lo], seed), lo, to, c0 - before, c1, region[: to - lo + WIDTH]
+    start, end = max(lo, c0 - before + 1), c1 + left - before + 1
+    if start <= hi:
+        yield xxhash.xxh64_intdigest(region[c0 - lo : end - lo], seed ^ 1), start, hi, c0, end, region[start - lo :]
+
+
+def _collapsed(rows) -> pa.RecordBatch:
+    """Sides (key, doc, tie, first, last window, context, bytes) as a batch; of equal ones the first stands for all, the others are removed: c0 -1, no bytes."""
+    first: dict[tuple, tuple] = {}
+    for r in rows:
+        at = (r[0], r[7])
+        if at not in first or r[1:4] < first[at]:
+            first[at] = r[1:4]
+    c = list(zip(*(r if r[1:4] == first[r[0], r[7]] else (*r[:5], -1, -1, None) for r in rows))) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, _KINDS)], names=["e", "doc", "tie", "lo", "hi", "c0", "c1", "region"])
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(e, doc, tie, lo, hi, region): the sides of the regions that are to be compared."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """The sides of the regions that are to be compared, and what of them is removed already (c0 < 0)."""
 
     def run(batches):
         for b in batches:
@@ -335,17 +370,29 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows = []
                 for doc, tie, raw, ps in zip(*(part.column(k).to_pylist() for k in range(4))):
                     for q in ps:
-                        rows += [(e - (1 << 64) if e >> 63 else e, doc, tie, lo, hi, r) for e, lo, hi, r in _sides(raw, q["lo"], q["hi"])]
-                c = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds)], names=["e", "doc", "tie", "lo", "hi", "region"])
+                        rows += [(_signed(e), doc, tie, lo, hi, c0, c1, r) for e, lo, hi, c0, c1, r in _sides(raw, q["lo"], q["hi"])]
+                yield _collapsed(rows)
 
     lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("ps"))
     once = docs.select("doc", "tie", "raw").join(lists, ["doc", "tie"]).select("doc", "tie", "raw", "ps")
-    return once.mapInArrow(run, "e long, doc long, tie long, lo long, hi long, region binary")
+    return once.mapInArrow(run, _SIDE)
+
+
+def _longer(sides: DataFrame) -> DataFrame:
+    """Sides of hot keys by longer keys."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for e, doc, tie, lo, hi, c0, c1, region in zip(*(b.column(k).to_pylist() for k in range(8))):
+                rows += [(_signed(n), doc, tie, f, t, x, y, r) for n, f, t, x, y, r in _halves(e, lo, hi, c0, c1, region)]
+            yield _collapsed(rows)
+
+    return sides.mapInArrow(run, _SIDE)
 
 
 def _by_suffix_array(sides: DataFrame) -> DataFrame:
-    """Removed ranges (doc, tie, lo, hi) among the sides of keys that are not hot."""
+    """Removed ranges (doc, tie, lo, hi) among sides."""
 
     def run(batches):
         block: list[tuple] = []
@@ -363,7 +410,7 @@ def _by_suffix_array(sides: DataFrame) -> DataFrame:
             for e, doc, tie, lo, hi, raw in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if e != last:
                     first = {}
-                    if size > BLOCK_BYTES:
+                    if size > BLOCK_BYTES or len(done) > 1 << 16:
                         yield flush()
                         block, done, size = [], [], 0
                 last = e
@@ -376,27 +423,9 @@ def _by_suffix_array(sides: DataFrame) -> DataFrame:
         if block or done:
             yield flush()
 
-    cold = sides.filter("not hot").select("e", "doc", "tie", "lo", "hi", "region")
-    return cold.repartition("e").sortWithinPartitions("e", "doc", "tie", "lo").mapInArrow(run, "doc long, tie long, lo long, hi long")
-
-
-def _by_window(sides: DataFrame) -> DataFrame:
-    """Removed ranges among the sides of hot keys: every window by its own hash, as a region of one window."""
-
-    def run(batches):
-        for b in batches:
-            keys, at = [], []
-            for doc, tie, lo, hi, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
-                mem = memoryview(raw)
-                keys += [xxhash.xxh3_128_digest(mem[i : i + WIDTH]) for i in range(hi - lo + 1)]
-                at.append((doc, tie, lo, hi - lo + 1))
-            d = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            doc, tie, lo, n = (np.array(c, np.int64) for c in zip(*at)) if at else (np.zeros(0, np.int64),) * 4
-            pos = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            yield _first_of(np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.repeat(doc, n), np.repeat(tie, n), pos, pos * 128)
-
-    windows = sides.filter("hot").select("doc", "tie", "lo", "hi", "region").mapInArrow(run, _CUT)
-    return _decide(windows).filter("hi < 0").select("doc", "tie", "lo", (F.lit(-1).cast("long") - F.col("hi")).alias("hi"))
+    total = sides.agg(F.sum(F.octet_length("region"))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(sides.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    return sides.repartition(tasks, "e").sortWithinPartitions("e", "doc", "tie", "lo").mapInArrow(run, "doc long, tie long, lo long, hi long")
 
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
@@ -405,11 +434,29 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     gc.collect()
     docs.sparkSession._jvm.System.gc()  # shuffle files that nothing needs go when the driver's garbage does
     sides = materialize(_fetch(docs, decided.filter("hi >= 0").select("doc", "tie", "lo", "hi")), "suffix-sides")
-    several = materialize(sides.groupBy("e").agg(F.count("*").alias("n")).filter("n > 1").select("e", (F.col("n") > HOT).alias("hot")), "suffix-keys")
-    shared = materialize(sides.join(several, "e"), "suffix-shared")
-    out = decided.filter("hi < 0").select("doc", "tie", "lo", (F.lit(-1).cast("long") - F.col("hi")).alias("hi"))
-    got = materialize(out.unionByName(_by_suffix_array(shared)).unionByName(_by_window(shared)), "suffix-ranges")
-    release(decided, sides, several, shared)
+    out = [decided.filter("hi < 0").select("doc", "tie", "lo", (F.lit(-1).cast("long") - F.col("hi")).alias("hi"))]
+    stored, shared = [decided], None
+    while True:
+        out.append(sides.filter("c0 < 0").select("doc", "tie", "lo", "hi"))
+        stored.append(sides)
+        open_ = sides.filter("c0 >= 0")
+        # a key of whole windows has one text
+        counts = open_.groupBy("e").agg(F.count("*").alias("n"), F.min(F.col("c1") - F.col("c0")).alias("held")).filter("n > 1")
+        several = materialize(counts.select("e", ((F.col("n") > HOT) & (F.col("held") < WIDTH)).alias("hot")), "suffix-keys")
+        met = materialize(open_.join(several, "e"), "suffix-shared")
+        stored += [several, met]
+        cold = met.filter("not hot").select("e", "doc", "tie", "lo", "hi", "region")
+        shared = cold if shared is None else shared.unionByName(cold)
+        hot = met.filter("hot").drop("hot")
+        if hot.isEmpty():
+            break
+        sides = materialize(_longer(hot.select("e", "doc", "tie", "lo", "hi", "c0", "c1", "region")), "suffix-longer")
+    out.append(_by_suffix_array(shared))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    got = materialize(whole, "suffix-ranges")
+    release(*stored)
     gc.collect()
     docs.sparkSession._jvm.System.gc()
     return got

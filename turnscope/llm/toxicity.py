@@ -2,10 +2,10 @@
 
 Tokens score by their log-odds between toxic and other labelled documents (a text counts a token
 once, and equal texts once, so that repetition proves nothing), with an informative Dirichlet
-prior taken from both together; only tokens whose z-score passes MIN_Z carry one, and
-all others score a small negative constant. A word without a score of its own backs off to
+prior taken from both together; tokens whose z-score passes MIN_Z either way carry their own, positive or negative, and
+all others, of which nothing is known, score a small negative constant. A word without a score of its own backs off to
 that of its first letters (inflected words are rare one by one). The linear-time scan for all maximal scoring
-subsequences (each token is pushed and merged at most once) gives every passage of a document.
+subsequences (each candidate is passed over, merged or kept once) gives every passage of a document.
 Extreme-value statistics calibrate the segments: for the background distribution of scores,
 lambda solves sum p exp(lambda s) = 1, K is estimated from clean documents, and a segment of score
 S in n tokens is expected K n exp(-lambda S) times by chance; segments expected at most once in
@@ -16,7 +16,7 @@ Fitting reads at most FIT_ROWS labelled documents (whole texts), in hash order,
 out ones; tokens are counted on the executors. Scoring is one pass over all documents without a
 shuffle, in slices of a few MB.
 
-Defined cases: null and empty texts hold no token and get the score of a document without a
+Defined cases: a text of any length is scanned whole, in time linear in its tokens. Null and empty texts hold no token and get the score of a document without a
 segment. Repeated rows each get a row. Null labels and ids teach nothing; with no labels, or of one
 kind, no token carries a score. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -53,14 +53,14 @@ def stem(word: str) -> str:
 
 
 def log_odds(counts: list[tuple[str, float, float]], toxic_total: float, clean_total: float) -> dict[str, float]:
-    """Log-odds of tokens with a significant surplus in toxic texts; counts are (token, toxic, clean), in texts that hold it."""
+    """Log-odds of tokens with a significant surplus in toxic or in clean texts; counts are (token, toxic, clean), in texts that hold it."""
     out = {}
     strength = PRIOR * (toxic_total + clean_total)
     for w, a, b in counts:
         prior = PRIOR * (a + b)
         x = math.log((a + prior) / (toxic_total + strength - a - prior)) - math.log((b + prior) / (clean_total + strength - b - prior))
         z = x / math.sqrt(1 / (a + prior) + 1 / (b + prior))
-        if z >= MIN_Z:
+        if abs(z) >= MIN_Z:
             out[w] = x
     return out
 
@@ -68,29 +68,37 @@ def log_odds(counts: list[tuple[str, float, float]], toxic_total: float, clean_t
 def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring subsequences as (first, past the last, score).
 
-    scores: positions and values of the positive tokens, ascending; every other token scores
-    -gap. Runs of those between positive ones are taken at once, so time is linear in the
-    positive tokens.
+    scores: positions and values of the tokens that have one, ascending; every other token scores
+    -gap. Runs of those between scored ones are taken at once. Each candidate keeps the place of the
+    nearest one before it whose left total is smaller, so a search jumps along these places: a candidate that
+    was passed over is behind the new one's place from then on, or merged into it, and time is linear in the scored tokens.
     """
-    stack: list[tuple[float, float, int, int]] = []  # total left of the segment, total to its end, first, past last
+    lefts, rights, firsts, ends, nearest = [], [], [], [], []  # totals left of and to the end of each candidate, its positions, the place of a smaller left total
     total, at = 0.0, 0
     for p, v in scores:
         total -= gap * (p - at)
         at = p + 1
-        left, right, first, last = total, total + v, p, p + 1
-        total = right
+        left, first = total, p
+        total += v
+        if v <= 0:
+            continue
+        j = len(lefts) - 1
         while True:
-            j = len(stack) - 1
-            skipped = []
-            while j >= 0 and stack[j][0] >= left:
-                skipped.append(j)
-                j -= 1
-            if j < 0 or stack[j][1] >= right:
-                stack.append((left, right, first, last))
+            while j >= 0 and lefts[j] >= left:
+                j = nearest[j]
+            if j < 0 or rights[j] >= total:
                 break
-            left, first = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(f, e, r - s) for s, r, f, e in stack]
+            left, first = lefts[j], firsts[j]
+            for column in (lefts, rights, firsts, ends):
+                del column[j:]
+            j = nearest[j]
+            del nearest[len(lefts) :]
+        lefts.append(left)
+        rights.append(total)
+        firsts.append(first)
+        ends.append(at)
+        nearest.append(j)
+    return [(f, e, r - s) for f, e, r, s in zip(firsts, ends, rights, lefts)]
 
 
 class ToxicityModel:
@@ -167,12 +175,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     toxic, clean = total[0] or 0.0, total[1] or 0.0
     terms, share = {}, {}
     if toxic and clean:
-        # the same test as in log_odds(), so that only tokens that pass it leave the executors
+        # the same test as in log_odds(), so that only tokens that pass it leave the executors; the bounded fit sample bounds them
         strength = PRIOR * (toxic + clean)
         prior = PRIOR * (F.col("a") + F.col("b"))
         x = F.log((F.col("a") + prior) / (toxic + strength - F.col("a") - prior)) - F.log((F.col("b") + prior) / (clean + strength - F.col("b") - prior))
         z = x / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-        rows_ = counts.filter(z >= MIN_Z - 1e-6).orderBy("w").collect()
+        rows_ = counts.filter(F.abs(z) >= MIN_Z - 1e-6).orderBy("w").collect()
         terms = log_odds([(r["w"], r["a"], r["b"]) for r in rows_], toxic, clean)
         share = {r["w"]: (r["b"] + PRIOR * (r["a"] + r["b"])) / (clean + PRIOR * (toxic + clean)) for r in rows_ if r["w"] in terms}
     model = ToxicityModel(terms, share)

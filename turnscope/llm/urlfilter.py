@@ -9,7 +9,7 @@ that they say something about urls without a rule.
 
 The table of these rates is broadcast while its keys take at most BROADCAST_BYTES, and all else after
 fitting is one pass; beyond that the pages are joined to it by key, in a join whose hot partitions
-adaptive execution can split. Defined cases: a null url or one without '://' has empty host and path,
+adaptive execution can split. Features are taken from whole columns of urls at once, of any length. Defined cases: a null url or one without '://' has empty host and path,
 no rule, and the trees' verdict on an empty url. Hosts are lower-cased A-Z only and keep port
 and user. Repeated rows each get a row. Extra columns are ignored. Without any labelled url the
 trees say 'allow'. An empty table gives an empty result.
@@ -18,11 +18,8 @@ trees say 'allow'. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -70,18 +67,47 @@ def first_segment(path: Column) -> Column:
     return F.regexp_extract(path, r"^/([^/]*)", 1)
 
 
-def lexical(urls: pd.Series, hosts: pd.Series, paths: pd.Series, suffix_rates: pd.Series, segment_rates: pd.Series) -> np.ndarray:
-    rows = []
-    for u, h, p, s, g in zip(urls, hosts, paths, suffix_rates, segment_rates):
-        u = u or ""
-        n = len(u)
-        letters = [c for c in h if c.isalpha()]
-        query = u.partition("?")[2].partition("#")[0]
-        counts = Counter(u)
-        entropy = -sum(v / n * math.log2(v / n) for v in counts.values()) if n else 0.0
-        labels = h.split(".")
-        rows.append((n, len(h), len(p), len([x for x in p.split("/") if x]), len(labels), sum(c.isdigit() for c in u) / n if n else 0.0, u.count("-"), entropy, len([x for x in re.split("[&;]", query) if x]), "#" in u, u[:6].lower() == "https:", sum(c in "aeiou" for c in letters) / len(letters) if letters else 0.0, max(map(len, labels)), s, g))
-    return np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code point, row) of every character, and lengths by row."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.repeat(np.arange(len(texts)), sizes), sizes
+
+
+def lexical(urls, hosts, paths, suffix_rates, segment_rates) -> np.ndarray:
+    """FEATURES of every url, one row each, from whole columns at once. Letters are a-z and what isn't ASCII, digits 0-9."""
+    urls = ["" if u is None else u for u in urls]
+    n = len(urls)
+    if not n:
+        return np.zeros((0, len(FEATURES)))
+    u, row, size = _characters(urls)
+    h, hrow, hsize = _characters(list(hosts))
+    p, prow, psize = _characters(list(paths))
+    per = lambda mask, at: np.bincount(at[mask], minlength=n).astype(np.float64)
+    ratio = lambda x, y: np.divide(x, y, out=np.zeros(n), where=y > 0)
+    begins = lambda at: np.append(True, at[1:] != at[:-1])[: len(at)]
+    # segments of the path begin at a character other than a slash, after a slash or at the start
+    solid = p != ord("/")
+    depth = per(solid & (begins(prow) | np.append(True, ~solid[:-1])[: len(p)]), prow)
+    # the query runs from the first question mark to the next fragment
+    within = lambda mask: np.cumsum(mask) - np.append(0, np.cumsum(mask))[np.cumsum(size) - size][row]
+    marks = within(u == ord("?")) - (u == ord("?"))
+    query = (marks > 0) & (within((u == ord("#")) & (marks > 0)) == 0)
+    solid = query & (u != ord("&")) & (u != ord(";"))
+    params = per(solid & ~np.append(False, solid[:-1] & ~begins(row)[1:])[: len(u)], row)
+    kinds, counts = np.unique(row << 21 | u, return_counts=True)
+    share = counts / size[kinds >> 21]
+    entropy = -np.bincount(kinds >> 21, share * np.log2(share), minlength=n)
+    dots = h == ord(".")
+    label = np.cumsum(dots) + hrow
+    labels = per(dots, hrow) + 1
+    first = np.append(0, np.cumsum(labels)[:-1]).astype(np.int64)
+    longest = np.maximum.reduceat(np.bincount(label[~dots], minlength=int(labels.sum())), first)
+    letters = ((h >= ord("a")) & (h <= ord("z"))) | (h > 127)
+    vowels = np.isin(h, [ord(c) for c in "aeiou"])
+    return np.column_stack([
+        size, hsize, psize, depth, labels, ratio(per((u >= ord("0")) & (u <= ord("9")), row), size), per(u == ord("-"), row), np.abs(entropy), params, per(u == ord("#"), row) > 0,
+        [x[:6].lower() == "https:" for x in urls], ratio(per(vowels, hrow), per(letters, hrow)), longest, suffix_rates, segment_rates,
+    ]).astype(np.float64)
 
 
 class Boosted:
@@ -175,7 +201,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             rows = rows.join(F.broadcast(rates) if small else rates, key, "left").withColumn(name, F.coalesce(name, F.lit(mean)))
         return rows
 
-    def features(pdf: pd.DataFrame) -> np.ndarray:
+    def features(pdf) -> np.ndarray:
         return lexical(pdf["url"], pdf["host"], pdf["path"], pdf["suffix_rate"], pdf["segment_rate"])
 
     sample = labelled.select("url", "host", "path", "suffix", "segment", "y").distinct().orderBy(F.xxhash64("url"), "url").limit(fit_urls)

@@ -47,20 +47,21 @@ def canonical_url(url: Column) -> Column:
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, payload: str, tie: str, bucket: int = BUCKET) -> DataFrame:
     """left with payload of the latest right row of the same key and a strictly smaller ts (else null).
 
-    left must not have a column of payload's name, nor either side one named like _asof_*.
+    A column of left that has payload's name gives way to it; other names of either side don't matter.
     """
     at = F.floor(F.col(ts) / F.lit(bucket))
-    names = left.columns
-    one = right.groupBy(key, ts).agg(F.max_by(payload, tie).alias("_asof_payload")).withColumn("_asof_bucket", at)
+    names = [c for c in left.columns if c.lower() != payload.lower()]
+    one = right.groupBy(F.col(key).alias("_asof_key"), F.col(ts).alias("_asof_ts")).agg(F.max_by(payload, tie).alias("_asof_payload"))
+    one = one.withColumn("_asof_bucket", F.floor(F.col("_asof_ts") / F.lit(bucket)))
     lefts = left.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_asof_row"), F.col(key).alias("_asof_key"), F.col(ts).alias("_asof_ts"), at.alias("_asof_bucket"))
     kind = one.schema["_asof_payload"].dataType
     both = lefts.withColumn("_asof_payload", F.lit(None).cast(kind)).withColumn("_asof_side", F.lit(0)).unionByName(
-        one.select(F.lit(None).cast(lefts.schema["_asof_row"].dataType).alias("_asof_row"), F.col(key).alias("_asof_key"), F.col(ts).alias("_asof_ts"), "_asof_bucket", "_asof_payload", F.lit(1).alias("_asof_side"))
+        one.select(F.lit(None).cast(lefts.schema["_asof_row"].dataType).alias("_asof_row"), "_asof_key", "_asof_ts", "_asof_bucket", "_asof_payload", F.lit(1).alias("_asof_side"))
     )
     local = W.partitionBy("_asof_key", "_asof_bucket").orderBy("_asof_ts", "_asof_side").rowsBetween(W.unboundedPreceding, -1)
     found = both.withColumn("_asof_local", F.last("_asof_payload", ignorenulls=True).over(local)).filter("_asof_side = 0")
     # one row per bucket of the key: its last response, if any, to be carried into later buckets
-    ends = one.groupBy(F.col(key).alias("_asof_key"), "_asof_bucket").agg(F.max_by("_asof_payload", ts).alias("_asof_end"))
+    ends = one.groupBy("_asof_key", "_asof_bucket").agg(F.max_by("_asof_payload", "_asof_ts").alias("_asof_end"))
     asked = lefts.select("_asof_key", "_asof_bucket").distinct()
     spine = ends.join(asked, ["_asof_key", "_asof_bucket"], "full")
     before = W.partitionBy("_asof_key").orderBy("_asof_bucket").rowsBetween(W.unboundedPreceding, -1)
