@@ -22,17 +22,22 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest doc_id. Near duplicates
     share 0.8 of their five-word shingles, by exact Jaccard similarity.
 
-    Rows are told apart by doc_id and a hash of the row, so unlike texts that repeat an id are
+    Rows are told apart by doc_id and two hashes of the row, so unlike texts that repeat an id are
     documents of their own; equal rows are one. A document without an id takes a negative one for
-    this stage, from that hash.
+    this stage, from the hash. Columns of any type and name ride along.
     """
-    own = F.xxhash64(*docs.columns)
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    own, other = F.xxhash64(*plain), F.xxhash64(F.lit("again"), *plain)
     number = F.coalesce(F.col("doc_id"), F.lit(-1).cast("long") - F.pmod(own, F.lit(1 << 62)))
-    keyed = docs.withColumn("_pipe_id", F.struct(number.alias("number"), own.alias("row")))
-    found = simhash.similar_documents(keyed, "_pipe_id")
+    keyed = docs.select(F.struct(number.alias("number"), own.alias("row"), other.alias("again")).alias("_pipe_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_pipe_row"))
+    found = simhash.similar_documents(keyed.select("_pipe_id", F.col("_pipe_row.text").alias("text")), "_pipe_id")
     kept = common.materialize(found.filter("id = component").select(F.col("id").alias("_pipe_kept")).distinct(), "pipe-kept")
-    rows = keyed.join(kept, keyed["_pipe_id"] == kept["_pipe_kept"], "left_semi").groupBy("_pipe_id").agg(F.min(F.struct(*docs.columns)).alias("_pipe_row"))
-    return rows.select("_pipe_row.*")
+    # the join leaves equal ids together, so equal rows fall into one without another shuffle
+    rows = keyed.join(kept, keyed["_pipe_id"] == kept["_pipe_kept"], "left_semi").dropDuplicates(["_pipe_id"])
+    common.release(found)
+    out = rows.select("_pipe_row.*")
+    out._stored_at = kept._stored_at  # run() deletes it when out has been written
+    return out
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), "stage")
-        common.release(before)
+        before, out = docs, stage(spark, docs, sf_dir)
+        docs = common.materialize(out, "stage")
+        common.release(before, out)
     return docs
