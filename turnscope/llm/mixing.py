@@ -98,9 +98,11 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     targets = stored.select(F.col("source").alias("_mix_source"), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("_mix_rate"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = docs.join(targets, docs[source_col].eqNullSafe(targets["_mix_source"]))
-    n = copies(F.col("_mix_rate"), draw(docs[id_col], docs[text_col], seed))
-    return joined.withColumn("_mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).select(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_mix_row")
+    packed = docs.select(row, F.col(source_col).alias("_mix_of"), draw(F.col(id_col), F.col(text_col), seed).alias("_mix_drawn"))
+    joined = packed.join(targets, F.col("_mix_of").eqNullSafe(F.col("_mix_source")))
+    n = copies(F.col("_mix_rate"), F.col("_mix_drawn"))
+    return joined.withColumn("_mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)))).select("_mix_row.*")
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -172,6 +172,10 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+#: Pieces cut out of one stretch of a text.
+STRETCH = 256
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", reach: int | None = REACH) -> DataFrame:
     """docs with every span of the scan replaced by mark in the text, overlapping spans as one; other columns stay.
 
@@ -182,14 +186,20 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     s = scan(packed, key, "_scan_text", reach)
     text = F.coalesce(F.col("id")[text_col], F.lit(""))
 
-    def step(at, x):
-        piece = F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int"))
-        return F.greatest(at, x["end"]), F.when(x["start"] < at, F.array().cast("array<string>")).otherwise(F.array(piece, F.lit(mark)))
+    kind = "struct<from:bigint,to:bigint>"
+
+    def step(at, x):  # what stays between spans
+        return F.greatest(at, x["end"]), F.when(x["start"] < at, F.array().cast(f"array<{kind}>")).otherwise(F.array(F.struct(at.alias("from"), x["start"].alias("to"))))
+
+    def cut(part):  # a place is found by counting from the start, so pieces are cut out of a stretch of the text
+        low = part[0]["from"]
+        stretch = F.substring(text, (low + 1).cast("int"), (F.element_at(part, -1)["to"] - low).cast("int"))
+        return _let(stretch, lambda w: F.transform(part, lambda r: F.substring(w, (r["from"] - low + 1).cast("int"), (r["to"] - r["from"]).cast("int"))))
 
-    pieces = _pass(F.col("spans"), F.lit(0).cast("long"), "string", step)
-    last = F.array_max(F.transform("spans", lambda x: x["end"]))
-    done = F.concat(F.array_join(pieces, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
-    new = F.when(F.size("spans") > 0, done).otherwise(F.col("id")[text_col])
+    end = F.array_max(F.transform("spans", lambda x: x["end"]))
+    kept = F.concat(_pass(F.col("spans"), F.lit(0).cast("long"), kind, step), F.array(F.struct(end.alias("from"), F.length(text).cast("long").alias("to"))))
+    parts = _let(kept, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / F.lit(STRETCH)).cast("int")), lambda k: F.slice(r, k * STRETCH + 1, STRETCH)))
+    new = F.when(F.size("spans") > 0, F.array_join(F.flatten(F.transform(parts, cut)), mark)).otherwise(F.col("id")[text_col])
     return s.select(*[(new if c == text_col else F.col("id")[c]).alias(c) for c in docs.columns])
 
 
