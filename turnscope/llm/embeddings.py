@@ -367,7 +367,7 @@ def _assign(nodes: DataFrame, n: int, kind, min_cosine: float, more: int) -> tup
     salts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("salts"))
     # at most MAX_CENTROIDS rows of numbers
     left = dealt.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    right = salts.join(fitted, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cents")
+    right = salts.join(fitted, "cell").select(F.col("cell").alias("of"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"), "cents")
     dim = cents.shape[1]
 
     def inner(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
@@ -380,7 +380,7 @@ def _assign(nodes: DataFrame, n: int, kind, min_cosine: float, more: int) -> tup
         top, cos = _nearest(_vectors(l.column("packed"), kind), own, few)
         return pa.table({"node": np.repeat(l.column("node").to_numpy(), few), "shard": (cell << 32) + top.ravel(), "cos": cos.ravel()})
 
-    met = left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(inner, "node long, shard long, cos double")
+    met = left.groupBy("cell", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(inner, "node long, shard long, cos double")
     best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", "shard")), asc=False), 1, m).alias("best"))
     core = F.when(F.col("best")[0]["cos"] >= core_from, F.col("best")[0]["shard"]).otherwise(F.lit(-1).cast("long"))
     out = nodes.select("node", "packed", "mult").join(best, "node").select("node", "packed", "mult", F.array_sort(F.transform("best", lambda b: b["shard"])).alias("shards"), core.alias("core"))
