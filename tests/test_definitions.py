@@ -115,3 +115,31 @@ def test_hooks(spark):
     got = hooks.memoized(d.unionByName(d), cache, ["id"], fetch)
     assert sorted((r.id, r.answer) for r in got.collect()) == [(1, "cached"), (2, "fresh"), (3, "fresh")] and asked == [[2, 3]]
     assert hooks.memoized(d, None, ["id"], fetch).count() == 3
+
+
+def test_answers_of_judges(spark):
+    from turnscope.functions import text
+
+    said = ['{"a": 1}', "[1, 2]", 'Sure {as asked}: {"a": {"b": "c"}} and {"z": 1}', "```{'a': True, 'b': None}```", "no object", "", None, "{{} {", '{"open": "}"}x']
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").repartition(1).sortWithinPartitions("i")
+    assert [r[0] for r in d.select(text.first_json_object("t")).collect()] == ['{"a": 1}', "[1, 2]", '{"a": {"b": "c"}}', '{"a": true, "b": null}', None, None, None, "{}", None]
+
+
+def test_short_summaries_give_way_to_the_page(spark):
+    from turnscope.functions import text
+
+    page = "<html><script>x</script><p>" + "word " * 60 + "</p><p>more</p></html>"
+    d = spark.createDataFrame([(page, "<p>short</p>"), (page, "<p>" + "long " * 50 + "</p>"), (page, None)], "html string, summary string")
+    got = [r[0] for r in d.select(text.article_text(F.col("html"), F.col("summary"))).collect()]
+    assert got[0].endswith("more") and got[1].startswith("long") and "more" not in got[1] and got[2] == got[0]
+
+
+def test_replay_files_and_caches(spark, tmp_path):
+    from turnscope.sources import tables
+
+    (tmp_path / "a.json").write_text('{"k1": {"x": 1}, "k2": "text"}')
+    (tmp_path / "b.json").write_text("{'k3': {'y': True, 'z': None}}")
+    (tmp_path / "cache.json").write_text('{"https://a.com": "body", "https://b.com": 5, "https://c.com": null, "https://d.com": {"x": 1}}')
+    assert {r.result_key: r.payload for r in tables.read_replays(spark, str(tmp_path / "a.json")).collect()} == {"k1": '{"x":1}', "k2": "text"}
+    assert {r.result_key: r.payload for r in tables.read_replays(spark, str(tmp_path / "b.json")).collect()} == {"k3": '{"y":true,"z":null}'}
+    assert {r.url: r.text for r in tables.url_texts(spark, str(tmp_path / "cache.json")).collect()} == {"https://a.com": "body", "https://b.com": "", "https://c.com": "", "https://d.com": ""}

@@ -135,22 +135,64 @@ def rouge_l_precision(candidate: pd.Series, reference: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def first_json_object(text: pd.Series) -> pd.Series:
-    """The first balanced object in a model's answer that is valid JSON, else null."""
+    """A model's answer as JSON: the whole of it, else its first object of balanced braces that reads as JSON or as a Python literal; null if there is none."""
+    import ast
+
+    def read(t, *how):
+        for f in how:
+            try:
+                return json.dumps(f(t), ensure_ascii=False, default=list)
+            except (ValueError, SyntaxError, TypeError, RecursionError, MemoryError):
+                continue
+        return None
 
     def one(t):
-        decoder = json.JSONDecoder()
-        at = (t or "").find("{")
+        t = (t or "").strip()
+        if not t or (got := read(t, json.loads)) is not None:
+            return got if t else None
+        at = t.find("{")
         while at >= 0:
-            try:
-                value, _ = decoder.raw_decode(t, at)
-                return json.dumps(value, ensure_ascii=False)
-            except ValueError:
-                at = t.find("{", at + 1)
+            depth, end = 0, -1
+            for i in range(at, len(t)):
+                depth += (t[i] == "{") - (t[i] == "}")
+                if not depth:
+                    end = i + 1
+                    break
+            if end > 0 and (got := read(t[at:end], json.loads, ast.literal_eval)) is not None:
+                return got
+            at = t.find("{", at + 1)
         return None
 
     return pd.Series([one(t) for t in text], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def literal_json(text: pd.Series) -> pd.Series:
+    """A Python literal as JSON, null if it isn't one."""
+    import ast
+
+    def one(t):
+        try:
+            return json.dumps(ast.literal_eval(t), ensure_ascii=False, default=list)
+        except (ValueError, SyntaxError, TypeError, RecursionError, MemoryError):
+            return None
+
+    return pd.Series([None if t is None else one(t) for t in text], dtype=object)
+
+
+#: Fixed value: a summary of fewer characters gives way to all visible text.
+MIN_ARTICLE = 200
+
+
+def article_text(html: Column, summary: Column | None = None) -> Column:
+    """Text of a page's summary (markup, as a readability hook gives it), or, if that is short, all visible text of the page."""
+    whole = html_to_text(html)
+    if summary is None:
+        return whole
+    short = html_to_text(F.coalesce(summary, html))
+    return F.when(F.length(short) < MIN_ARTICLE, whole).otherwise(short)
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles, comments and tags go, common entities are resolved, blanks collapse."""
     t = F.coalesce(html, F.lit(""))
@@ -159,7 +201,7 @@ def html_to_text(html: Column) -> Column:
     for name, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(by))
     t = F.regexp_replace(t, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" *\n[ \n]*", "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -67,13 +67,21 @@ def popularity_ranks(spark: SparkSession, path: str) -> DataFrame:
 def url_texts(spark: SparkSession, path: str) -> DataFrame:
     """(url, text) from a JSON object of url to text; what isn't text is empty."""
     t = spark.read.option("wholetext", True).text(path)
-    return t.select(F.explode(F.from_json("value", "map<string,string>")).alias("url", "text")).select("url", F.coalesce("text", F.lit("")).alias("text"))
+    v = t.select(F.explode(F.from_json("value", "map<string,variant>")).alias("url", "v"))
+    return v.select("url", F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string")).otherwise("").alias("text"))
 
 
 def read_replays(spark: SparkSession, path: str) -> DataFrame:
-    """(result_key, payload): one row per result of a JSON object, payload as JSON text."""
+    """(result_key, payload): one row per result of an object in JSON, or else as a Python literal; payload as JSON text."""
+    from turnscope.functions.text import literal_json
+
     t = spark.read.option("wholetext", True).text(path)
-    return t.select(F.explode(F.from_json("value", "map<string,string>")).alias("result_key", "payload"))
+    read = lambda c: F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
+    is_json = F.try_parse_json("value").isNotNull()
+    both = t.select("value", is_json.alias("ok"))
+    plain = both.filter("ok").select(read(F.col("value")).alias("m"))
+    literal = both.filter("not ok").select(read(literal_json("value")).alias("m"))
+    return plain.unionByName(literal).select(F.explode("m").alias("result_key", "payload"))
 
 
 def write_replays(rows: DataFrame, path: str, fmt: str = "json") -> None:
