@@ -334,7 +334,7 @@ def test_maximal_segments_against_definition():
             best = max(((sum(x[a:b]), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
             return slow(lo, best[1]) + [best] + slow(best[2], hi) if best[0] > 0 else []
 
-        got, want = toxicity.maximal_segments(s, 0.7), slow(0, n)
+        got, want = toxicity.maximal_segments(np.array(x)), slow(0, n)
         assert [g[:2] for g in got] == [w[1:] for w in want] and [g[2] for g in got] == pytest.approx([w[0] for w in want])
 
 
@@ -342,10 +342,12 @@ def test_maximal_segments_in_linear_time():
     """Scores that a scan without the places of smaller totals meets again and again."""
     took = []
     for n in (20_000, 200_000):
-        shapes = [[(4 * i, 1.0) for i in range(n)], [(2 * i, 0.5 + i / n) for i in range(n)], [(i, 1.0 if i % 2 else -1.1) for i in range(n)], [(2 * i, 2.0 - i / n) for i in range(n)]]
+        i = np.arange(n) / n
+        mixed = lambda up, down: np.ravel(np.column_stack([np.broadcast_to(up, n), np.broadcast_to(down, n)]))
+        shapes = [mixed(1.0, -2.8), mixed(0.5 + i, -0.7), mixed(1.0, -1.1), mixed(2.0 - i, -0.7), mixed(1.0, -1.0), mixed(1.0 + i, -1.5)]
         began = time.process_time()
         for s in shapes:
-            toxicity.maximal_segments(s, 0.7)
+            toxicity.maximal_segments(s)
         took.append(time.process_time() - began)
     assert took[1] < 40 * took[0] + 1
 

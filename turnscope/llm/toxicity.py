@@ -40,6 +40,8 @@ MIN_Z = 3.5
 PRIOR = 0.1
 MAX_EXPECTED = 0.01
 STEM = 5
+#: Words whose scores a task remembers.
+MEMO = 500_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -65,23 +67,18 @@ def log_odds(counts: list[tuple[str, float, float]], toxic_total: float, clean_t
     return out
 
 
-def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring subsequences as (first, past the last, score).
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring subsequences of token scores as (first, past the last, score).
 
-    scores: positions and values of the tokens that have one, ascending; every other token scores
-    -gap. Runs of those between scored ones are taken at once. Each candidate keeps the place of the
+    Only positive tokens are looked at one by one; what lies between them is in the running totals. Each candidate keeps the place of the
     nearest one before it whose left total is smaller, so a search jumps along these places: a candidate that
-    was passed over is behind the new one's place from then on, or merged into it, and time is linear in the scored tokens.
+    was passed over is behind the new one's place from then on, or merged into it, and time is linear in the tokens.
     """
+    totals = np.concatenate([[0.0], np.cumsum(scores)])
+    places = np.nonzero(scores > 0)[0]
     lefts, rights, firsts, ends, nearest = [], [], [], [], []  # totals left of and to the end of each candidate, its positions, the place of a smaller left total
-    total, at = 0.0, 0
-    for p, v in scores:
-        total -= gap * (p - at)
-        at = p + 1
-        left, first = total, p
-        total += v
-        if v <= 0:
-            continue
+    for first, left, total in zip(places.tolist(), totals[places].tolist(), totals[places + 1].tolist()):
+        at = first + 1
         j = len(lefts) - 1
         while True:
             while j >= 0 and lefts[j] >= left:
@@ -101,6 +98,20 @@ def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[
     return [(f, e, r - s) for f, e, r, s in zip(firsts, ends, rights, lefts)]
 
 
+class _Scores(dict):
+    """Scores of words as they come up, the back-off included."""
+
+    def __init__(self, terms: dict[str, float], other: float):
+        super().__init__()
+        self.terms, self.other = terms, other
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = out = self.terms.get(word) or self.terms.get(word[:STEM] + "*") or self.other
+        return out
+
+
 class ToxicityModel:
     """Scores by token, the calibration of segments and the map from evidence to probability."""
 
@@ -112,6 +123,7 @@ class ToxicityModel:
         self.gap = max(0.05, 2 * mean)
         self.lam = self._lambda(share)
         self.k = 1.0
+        self.memo = None
         self.map = np.array([0.0, 0.0, 0.0])
 
     def _lambda(self, share: dict[str, float]) -> float:
@@ -133,9 +145,12 @@ class ToxicityModel:
     def segments(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """(maximal segments in tokens, number of tokens)."""
         words = tokens(text)
-        get = self.terms.get
-        hits = [(i, v) for i, w in enumerate(words) if (v := get(w) or get(w[:STEM] + "*")) is not None]
-        return (maximal_segments(hits, self.gap) if hits else []), len(words)
+        if self.memo is None:
+            self.memo = _Scores(self.terms, -self.gap)
+        return maximal_segments(np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))), len(words)
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": None}
 
     def significant(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """Segments with their -log E, of those expected at most MAX_EXPECTED times in such a text."""
