@@ -22,12 +22,13 @@ def sentence_chunks(docs: DataFrame, keys: list[str], text_col: str) -> DataFram
     return docs.select(*keys, F.posexplode(text.sentences(F.col(text_col))).alias("chunk_idx", "chunk"))
 
 
-def marker_chunks(docs: DataFrame, keys: list[str], text_col: str, mode: str = "all") -> DataFrame:
+def marker_chunks(docs: DataFrame, keys: list[str], text_col: str, mode: str = "all", joined: bool = False) -> DataFrame:
     """Sentences with the references of the marker that follows them: keys, chunk_idx, sentence, citation_refs.
 
     mode all: every sentence before a marker has its references, a marker without a new sentence adds its references to the row before,
     what follows the last marker has none. mode latest: the last sentence before each marker only; if the next
     marker has the same references, the later sentence takes the place of the earlier. A text without markers is its sentences.
+    joined (mode all): the sentences before a marker with references are one row.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     parts = F.split(t, text.MARKER, -1)
@@ -40,7 +41,8 @@ def marker_chunks(docs: DataFrame, keys: list[str], text_col: str, mode: str = "
 
         def step(rows, p):
             refs = F.coalesce(p["refs"], empty)
-            more = F.concat(rows, F.transform(p["ss"], lambda s: F.struct(s.alias("sentence"), refs.alias("refs"))))
+            ss = F.when((F.size(refs) > 0) & (F.size(p["ss"]) > 0), F.array(F.array_join(p["ss"], " "))).otherwise(p["ss"]) if joined else p["ss"]
+            more = F.concat(rows, F.transform(ss, lambda s: F.struct(s.alias("sentence"), refs.alias("refs"))))
             last = F.try_element_at(rows, F.lit(-1))
             merged = F.concat(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), F.array(F.struct(last["sentence"].alias("sentence"), F.array_union(last["refs"], refs).alias("refs"))))
             return F.when((F.size(p["ss"]) == 0) & (F.size(rows) > 0) & (F.size(refs) > 0), merged).otherwise(more)

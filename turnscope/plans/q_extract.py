@@ -357,3 +357,23 @@ def markdown_claims(spark, d):
     docs = table(spark, d, "events").select("event_id", said.alias("said"))
     got = replay.link_claims(docs, ["event_id"], "said")
     return got.select("event_id", F.col("claim_idx").cast("int").alias("claim_idx"), "claim", F.array_join("urls", "|").alias("urls"), "start", "end")
+
+
+@query("marker_chunks", """WITH s AS (SELECT event_id, event_type AS w, event_id % 5 AS k FROM events), r AS (SELECT *, 'First about ' || w || '.' AS a, 'Then more of ' || w || '.' AS b, '0:' || k AS one, CASE WHEN k = 1 THEN '|0:9' ELSE '' END AS two FROM s)
+SELECT event_id, 'all' AS mode, 0 AS chunk_idx, a AS sentence, one AS refs FROM r UNION ALL SELECT event_id, 'all', 1, b, one || two FROM r UNION ALL SELECT event_id, 'all', 2, 'Last words without any mark.', '' FROM r
+UNION ALL SELECT event_id, 'joined', 0, a || ' ' || b, one || two FROM r UNION ALL SELECT event_id, 'joined', 1, 'Last words without any mark.', '' FROM r
+UNION ALL SELECT event_id, 'latest', 0, b, one FROM r""")
+def marker_chunks(spark, d):
+    """Sentences by the markers behind them, one a row, joined, or the last one only."""
+    from turnscope.operators import claims
+
+    k = F.col("event_id") % 5
+    mark = lambda n: F.concat(F.lit(f"{T.OPEN}cite{T.SEP}turn0search"), n.cast("string"), F.lit(T.CLOSE))
+    said = F.concat(F.lit("First about "), "event_type", F.lit(". Then more of "), "event_type", F.lit(". "), mark(k), F.when(k == 1, mark(F.lit(9))).otherwise(""), F.lit(" Last words without any mark."))
+    docs = table(spark, d, "events").select("event_id", said.alias("said"))
+    out = None
+    for name, how in (("all", {}), ("joined", {"joined": True}), ("latest", {"mode": "latest"})):
+        one = claims.marker_chunks(docs, ["event_id"], "said", **how)
+        one = one.select("event_id", F.lit(name).alias("mode"), F.col("chunk_idx").cast("int").alias("chunk_idx"), "sentence", F.array_join(F.transform("citation_refs", lambda r: F.concat_ws(":", r["turn_index"], r["ref_index"])), "|").alias("refs"))
+        out = one if out is None else out.unionByName(one)
+    return out
