@@ -143,3 +143,29 @@ def test_replay_files_and_caches(spark, tmp_path):
     assert {r.result_key: r.payload for r in tables.read_replays(spark, str(tmp_path / "a.json")).collect()} == {"k1": '{"x":1}', "k2": "text"}
     assert {r.result_key: r.payload for r in tables.read_replays(spark, str(tmp_path / "b.json")).collect()} == {"k3": '{"y":true,"z":null}'}
     assert {r.url: r.text for r in tables.url_texts(spark, str(tmp_path / "cache.json")).collect()} == {"https://a.com": "body", "https://b.com": "", "https://c.com": "", "https://d.com": ""}
+
+
+def test_later_stages_from_the_command_line(spark, tmp_path):
+    import json
+
+    from turnscope.__main__ import main
+    from turnscope.functions.text import CLOSE, OPEN, SEP
+    from turnscope.operators.citations import SOURCE
+
+    out = str(tmp_path / "out")
+    mark = f"{OPEN}cite{SEP}turn0search1{CLOSE}"
+    src = lambda url, ref: (url, "d", None, None, ref, None, None, None, None, None, None)
+    shape = f"platform string, month string, user_id int, conv_id string, turn_id string, assistant_response string, srcs_retrieved array<{SOURCE}>, srcs_safe_urls array<{SOURCE}>, srcs_cited array<{SOURCE}>"
+    spark.createDataFrame([("p", "2024-01-01", 0, "c", "t", f"One claim is here. {mark} Another is there.", [src("https://a.com/1", 1)], [], [src("https://a.com/2", 2), src("https://x.org", 3)])], shape).write.parquet(str(tmp_path / "responses"))
+    main(["claims", "--input", str(tmp_path / "responses"), "--output", out])
+    got = spark.read.parquet(f"{out}/candidates").orderBy("claim_idx", "pos").collect()
+    assert [(r.claim_idx, r.url, r.priority) for r in got][:3] == [(0, "https://a.com/2", 2), (0, "https://x.org", 2), (0, "https://a.com/1", 3)] and len(got) == 6
+    long = [("p", "2024-01-01", "c", 1, "retrieved", "https://a.com/1", "a.com", 0), ("p", "2024-01-01", "c", 1, "cited", "https://a.com/2", "a.com", 0), ("p", "2024-01-01", "c", 1, "cited", "https://x.org", "x.org", 1)]
+    spark.createDataFrame(long, SOURCES).write.parquet(str(tmp_path / "sources"))
+    spark.createDataFrame([("https://x.org", "404"), ("https://a.com/2", "200")], "url string, status string").write.parquet(str(tmp_path / "status"))
+    spark.createDataFrame([("https://x.org", "hallucinated")], "url string, archive_class string").write.parquet(str(tmp_path / "archive"))
+    main(["links", "--input", str(tmp_path / "sources"), "--output", out, "--status", str(tmp_path / "status"), "--archive", str(tmp_path / "archive")])
+    assert {r.grp: (r.valid, r.hallucinated) for r in spark.read.parquet(f"{out}/link_rates").collect()} == {"cited_and_retrieved": (1, 0), "cited_not_retrieved": (0, 1)}
+    (tmp_path / "replays.json").write_text(json.dumps({"k": {"content": [{"type": "text", "text": "A claim that is linked. [a](https://a.com/)"}]}}))
+    main(["replays", "--input", str(tmp_path / "replays.json"), "--output", out])
+    assert [(r.claim, r.urls) for r in spark.read.parquet(f"{out}/replay_claims").collect()] == [("A claim that is linked.", ["https://a.com"])]

@@ -4,8 +4,12 @@ python -m turnscope extract --platform P --input EXPORT --output DIR [--labels F
 python -m turnscope rounds|sources --platform P --input TURNS --output DIR
 python -m turnscope decisions --input TURNS --output DIR [--since YYYY-MM-DD]
 python -m turnscope grounding --input SOURCES --output DIR [--level turn|conversation]
+python -m turnscope claims --input RESPONSES --output DIR
+python -m turnscope links --input SOURCES --output DIR [--level turn|conversation] [--status URL_STATUS --archive URL_CLASS]
+python -m turnscope replays --input RESULTS --output DIR
 
-Inputs and outputs are Parquet paths that Spark can reach; extract reads JSON exports.
+Inputs and outputs are Parquet paths that Spark can reach; extract reads JSON exports, replays files of results. links gives what is to be checked, and
+its rates once tables of status (url, status) and archive (url, archive_class) are there.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from turnscope.functions import text, topics
-from turnscope.operators import citations, decisions, extract, grounding, rounds
+from turnscope.operators import citations, claims, decisions, extract, grounding, replay, rounds, urlcheck
 from turnscope.sources import exports, tables
 
 
@@ -61,7 +65,34 @@ def run_grounding(spark, a) -> None:
         tables.write_summary(df, f"{a.output}/{name}", by=None)
 
 
-STAGES = {"extract": run_extract, "rounds": run_rounds, "sources": run_sources, "decisions": run_decisions, "grounding": run_grounding}
+def run_claims(spark, a) -> None:
+    """Responses to claims by citation marker, and the candidate sources of each."""
+    keys = ["platform", "user_id", "conv_id", "turn_id"]
+    t = spark.read.parquet(a.input)
+    tables.write_summary(claims.marker_chunks(t, keys, "assistant_response").withColumnRenamed("chunk_idx", "claim_idx"), f"{a.output}/claims", by=None)
+    refs = spark.read.parquet(f"{a.output}/claims").select(*keys, "claim_idx", F.transform("citation_refs", lambda r: r["ref_index"]).alias("refs"))
+    s = grounding.matchable(citations.long_sources(t, keys)).select(*keys, "kind", "pos", "url", "ref_index")
+    tables.write_summary(claims.candidates(refs, s, keys), f"{a.output}/candidates", by=None)
+
+
+def run_links(spark, a) -> None:
+    """Cited urls with how often, by whether they were retrieved; their states and rates, if known."""
+    s = grounding.matchable(spark.read.parquet(a.input))
+    tables.write_summary(urlcheck.occurrences(grounding.grounding(s, a.level)), f"{a.output}/links", by=None)
+    if a.status and a.archive:
+        b = urlcheck.bucketed(spark.read.parquet(f"{a.output}/links"), spark.read.parquet(a.status), spark.read.parquet(a.archive))
+        tables.write_summary(urlcheck.rates(b, ["grp"]), f"{a.output}/link_rates", by=None)
+
+
+def run_replays(spark, a) -> None:
+    """Results of replayed prompts as rows: queries, sources, cited urls, text, and the text's linked claims."""
+    rows = replay.normalized_rows(tables.read_replays(spark, a.input), "payload")
+    tables.write_summary(rows, f"{a.output}/replays", by=None)
+    done = spark.read.parquet(f"{a.output}/replays")
+    tables.write_summary(replay.link_claims(done, ["result_key"], "output_text"), f"{a.output}/replay_claims", by=None)
+
+
+STAGES = {"claims": run_claims, "links": run_links, "replays": run_replays, "extract": run_extract, "rounds": run_rounds, "sources": run_sources, "decisions": run_decisions, "grounding": run_grounding}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -72,6 +103,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--platform", choices=extract.PLATFORMS)
     p.add_argument("--labels")
     p.add_argument("--taxonomy")
+    p.add_argument("--status")
+    p.add_argument("--archive")
     p.add_argument("--since", default="2023-01-01")
     p.add_argument("--level", choices=("turn", "conversation"), default="turn")
     a = p.parse_args(argv)
