@@ -71,6 +71,18 @@ def token_sources(token: Column, prompt: Column, history: Column, memories: Colu
     return F.when(has(prompt), "prompt").when(has(history), "history").when(has(memories), "memory").when(has(sources), "source").otherwise("parametric")
 
 
+def token_origins(turns: DataFrame, keys: list[str], query: Column, prompt: Column, history: Column, memories: Column, sources: Column) -> DataFrame:
+    """(keys, token, origin): each different token of a turn's queries, by the first of prompt, history, memory and source that holds it, else parametric.
+
+    All are arrays of tokens. They are laid out as rows and met by one aggregate per turn and token, so a long turn costs no more than its tokens.
+    """
+    ranks = lambda c, k: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(k).alias("rank")))
+    ranked = [ranks(c, k) for k, c in enumerate((prompt, history, memories, sources, query), 1)]
+    rows = turns.select(*keys, F.explode(F.concat(*ranked)).alias("x")).select(*keys, "x.*")
+    g = rows.groupBy(*keys, "token").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("last = 5")
+    return g.select(*keys, "token", F.element_at(F.array(*[F.lit(n) for n in ("prompt", "history", "memory", "source", "parametric")]), F.col("first")).alias("origin"))
+
+
 def provenance_sets(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct tokens per turn and source, as counts; tokens has columns token and origin.
 

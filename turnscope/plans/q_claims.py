@@ -225,7 +225,8 @@ SELECT grp, CAST(coalesce(sum(n) FILTER (WHERE bucket = 'valid'), 0) AS BIGINT)
 def hallucinated_rates(spark, d):
     """A52."""
     o = U.occurrences(grounding(line_sources(spark, d), "conversation"))
-    u = o.select("url").distinct()
+    # the tables of statuses stand for a crawl's: one row per url that sources hold
+    u = line_sources(spark, d).filter("kind = 'cited'").select("url").distinct()
     s = F.split_part("url", F.lit("/"), F.lit(2)).cast("int") % 4
     status = u.select("url", F.when(s == 0, "404").when(s == 1, "200").when(s == 2, "timeout").otherwise("301").alias("status"))
     archive = u.select("url", F.when(F.length("url") % 3 == 0, "stale").when(F.length("url") % 3 == 1, "hallucinated").alias("archive_class"))

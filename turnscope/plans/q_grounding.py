@@ -111,14 +111,16 @@ def language_pairs(spark, d):
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
-@query("token_provenance", f"""
-WITH h AS (SELECT conv_id, turn_no, user_text, lag(user_text) OVER w AS prompt, coalesce(lag(assistant_text) OVER w, '') AS history, coalesce(assistant_text, '') AS sources FROM chat_turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no)),
-k AS (SELECT conv_id, turn_no, unnest(list_distinct({TOKENS.format('user_text')})) AS token, {TOKENS.format("coalesce(prompt, '')")} AS p, {TOKENS.format('history')} AS h, {TOKENS.format('sources')} AS s FROM h),
-o AS (SELECT conv_id, turn_no, CASE WHEN list_contains(p, token) THEN 'prompt' WHEN list_contains(h, token) THEN 'history' WHEN list_contains(s, token) THEN 'source' ELSE 'parametric' END AS origin FROM k)
-SELECT conv_id, turn_no, count(*) FILTER (WHERE origin = 'prompt') AS prompt, count(*) FILTER (WHERE origin = 'history') AS history, 0::BIGINT AS memory, count(*) FILTER (WHERE origin = 'source') AS source, count(*) FILTER (WHERE origin = 'parametric') AS parametric
-FROM o GROUP BY conv_id, turn_no""", ("chat_turns",))
+PROVENANCE = f"""y AS (SELECT conv_id, string_agg(text, ' ') AS memory FROM conversations WHERE role = 'system' GROUP BY conv_id),
+h AS (SELECT conv_id, turn_no, user_text, lag(user_text) OVER w AS prompt, coalesce(lag(assistant_text) OVER w, '') AS history, coalesce(assistant_text, '') AS sources, coalesce(memory, '') AS memory FROM chat_turns LEFT JOIN y USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no)),
+k AS (SELECT conv_id, turn_no, unnest(list_distinct({TOKENS.format('user_text')})) AS token, {TOKENS.format("coalesce(prompt, '')")} AS p, {TOKENS.format('history')} AS h, {TOKENS.format('memory')} AS y, {TOKENS.format('sources')} AS s FROM h),
+o AS (SELECT conv_id, turn_no, CASE WHEN list_contains(p, token) THEN 'prompt' WHEN list_contains(h, token) THEN 'history' WHEN list_contains(y, token) THEN 'memory' WHEN list_contains(s, token) THEN 'source' ELSE 'parametric' END AS origin FROM k),
+n AS (SELECT conv_id, turn_no, count(*) AS total, {', '.join(f"count(*) FILTER (WHERE origin = '{x}') AS {x}" for x in ("prompt", "history", "memory", "source", "parametric"))} FROM o GROUP BY conv_id, turn_no)"""
+
+
+@query("token_provenance", f"WITH {PROVENANCE} SELECT conv_id, turn_no, prompt, history, memory, source, parametric FROM n", ("chat_turns",))
 def token_provenance(spark, d):
-    """The user's next message stands for the query, the answer to it for its sources."""
+    """The user's next message stands for the query, the answer to it for its sources, system messages for memories."""
     return M.provenance_sets(_provenance_tokens(spark, d), ["conv_id", "turn_no"])
 
 
@@ -126,12 +128,13 @@ def _provenance_tokens(spark, d):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("conv_id").orderBy("turn_no")
-    t = chat_turns(spark, d).select("conv_id", "turn_no", "user_text", F.lag("user_text").over(w).alias("prompt"), F.lag("assistant_text").over(w).alias("history"), "assistant_text")
-    sets = t.select("conv_id", "turn_no", text.word_tokens(F.col("prompt")).alias("p"), text.word_tokens(F.col("history")).alias("h"), text.word_tokens(F.col("assistant_text")).alias("s"), F.explode(F.array_distinct(text.word_tokens(F.col("user_text")))).alias("token"))
-    return sets.select("conv_id", "turn_no", "token", M.token_sources(F.col("token"), F.col("p"), F.col("h"), F.array().cast("array<string>"), F.col("s")).alias("origin"))
+    said = table(spark, d, "conversations").filter("role = 'system'").groupBy("conv_id").agg(F.array_join(F.collect_list("text"), " ").alias("memory"))
+    t = chat_turns(spark, d).select("conv_id", "turn_no", "user_text", F.lag("user_text").over(w).alias("prompt"), F.lag("assistant_text").over(w).alias("history"), "assistant_text").join(said, "conv_id", "left")
+    words = lambda c: text.word_tokens(F.coalesce(F.col(c), F.lit("")))
+    return M.token_origins(t, ["conv_id", "turn_no"], words("user_text"), words("prompt"), words("history"), words("memory"), words("assistant_text"))
 
 
-@query("provenance_rates", S["token_provenance"].replace("SELECT conv_id, turn_no, count(*) FILTER (WHERE origin = 'prompt')", "SELECT turn_no, count(*) AS turns, round(avg((prompt + history) / total), 9) AS context, round(avg(parametric / total), 9) AS own, round(avg(source / total), 9) AS source_share FROM (SELECT conv_id, turn_no, count(*) AS total, count(*) FILTER (WHERE origin = 'prompt')") + ") GROUP BY turn_no")
+@query("provenance_rates", f"WITH {PROVENANCE} SELECT turn_no, count(*) AS turns, round(avg((prompt + history) / total), 9) AS context, round(avg((parametric + memory) / total), 9) AS own, round(avg(source / total), 9) AS source_share FROM n GROUP BY turn_no", ("chat_turns",))
 def provenance_rates(spark, d):
     """A20."""
     return M.provenance_rates(_provenance_tokens(spark, d), ["conv_id"], ["turn_no"])
