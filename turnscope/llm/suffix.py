@@ -354,10 +354,12 @@ def _collapsed(rows) -> pa.RecordBatch:
     """Sides (key, doc, tie, first, last window, context, bytes) as a batch; of equal ones the first stands for all, the others are removed: c0 -1, no bytes."""
     first: dict[tuple, tuple] = {}
     for r in rows:
-        at = (r[0], r[7])
-        if at not in first or r[1:4] < first[at]:
-            first[at] = r[1:4]
-    c = list(zip(*(r if r[1:4] == first[r[0], r[7]] else (*r[:5], -1, -1, None) for r in rows))) or [()] * 8
+        known = first.setdefault((r[0], r[7]), r)
+        if r[1:4] < known[1:4]:
+            first[r[0], r[7]] = r
+    if len(first) < len(rows):
+        rows = [r if r[1:4] == first[r[0], r[7]][1:4] else (*r[:5], -1, -1, None) for r in rows]
+    c = list(zip(*rows)) or [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, _KINDS)], names=["e", "doc", "tie", "lo", "hi", "c0", "c1", "region"])
 
 
