@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import OP13_SQL, op13_chat_format
+from .clusters import OP11_SQL, op11_centroid_clusters
+from .codes import OP12_SQL, op12_vector_codes
 from .decontaminate import op3_benchmark_decontamination
 from .embeddings import op9_embedding_near_dedup
 from .mixing import OP6_SQL, op6_mix_sources
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +39,7 @@ ORACLES: dict[str, str] = {
     "op7_warc_revisits": OP7_SQL,
     "op8_secret_scan": OP8_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op11_centroid_clusters": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_chat_format": OP13_SQL,
 }
