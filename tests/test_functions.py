@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnscope.functions import stats, text, topics, urls, values
-from turnscope.operators import claims, grounding, replay
+from turnscope.operators import claims, grounding, matching, replay
 from turnscope.sources import tables
 
 URLS = [
@@ -132,7 +132,7 @@ def test_links_blocks_and_spans(spark):
     assert [(r.claim, r.urls) for r in replay.link_claims(d, ["id"], "t").orderBy("claim_idx").collect()] == [("First claim here.", ["http://a.com", "http://b.com"]), ("Second claim here.", ["http://c.com"]), ("Tail claim here.", [])]
     ch = spark.createDataFrame([(1, 0, "the cat sat down", ["u"]), (1, 1, "nothing like it", ["u"])], "k int, chunk_idx int, chunk string, urls array<string>")
     bl = spark.createDataFrame([(1, 0, "a cat sat", []), (1, 1, "Then the  cat sat down here", []), (1, 2, "zzz", ["u"])], "k int, block_idx int, block string, block_urls array<string>")
-    assert {r.chunk_idx: (r.block_idx, r.tier) for r in replay.best_block(ch, bl, ["k"]).collect()} == {0: (1, 3), 1: (2, 1)}
+    assert {r.chunk_idx: (r.block_idx, r.tier) for r in matching.best_block(ch, bl, ["k"]).collect()} == {0: (1, 3), 1: (2, 1)}
     a = spark.createDataFrame([(1, 0, 2000), (1, 5, 5)], "k int, a_start long, a_end long")
     b = spark.createDataFrame([(1, 1999, 2100), (1, 2000, 2001), (1, 3, 7)], "k int, b_start long, b_end long")
     assert sorted((r.a_start, r.b_start) for r in replay.span_overlaps(a, b, ["k"], 64).collect()) == [(0, 3), (0, 1999)]

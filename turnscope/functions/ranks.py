@@ -30,3 +30,20 @@ def global_places(df: DataFrame, *order: str | Column, name: str = "place") -> D
     out = placed.drop("_seat", "_part", "_before")
     out._stored_at = seated._stored_at
     return out
+
+
+def running_totals(df: DataFrame, value: Column, *order: str | Column, name: str = "before") -> DataFrame:
+    """df with `name`, the sum of value over all rows before a row in the order of all rows. The result reads a stored table (discard() it when done).
+
+    Sums inside a range are windows over that range alone; what lies before a range is a prefix sum over one row per range.
+    """
+    seated = stored(df.withColumn("_value", value).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seat", F.monotonically_increasing_id()), "totals")
+    seated_part = seated.withColumn("_part", F.shiftright("_seat", _SEAT_BITS))
+    sums = seated_part.groupBy(F.col("_part").alias("_of")).agg(F.sum("_value").alias("_n"))
+    # a row a partition, as above
+    start = sums.select("_of", (F.sum("_n").over(W.orderBy("_of")) - F.col("_n")).alias("_start"))
+    inside = F.sum("_value").over(W.partitionBy("_part").orderBy("_seat").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_value")
+    out = seated_part.withColumn("_inside", inside).join(F.broadcast(start), F.col("_part") == F.col("_of")).withColumn(name, F.col("_start") + F.col("_inside"))
+    out = out.drop("_seat", "_part", "_of", "_start", "_inside", "_value")
+    out._stored_at = seated._stored_at
+    return out

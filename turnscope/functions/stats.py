@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnscope.functions.ranks import global_places
+
 
 def sem(x: Column | str) -> Column:
     """Standard error of the mean, null for a single value."""
@@ -24,18 +26,26 @@ def month_spine(spark, first: str, last: str, name: str = "month") -> DataFrame:
     return spark.range(1).select(F.explode(months).alias("m")).select(F.date_format("m", "yyyy-MM-dd").alias(name))
 
 
+#: A table of groups up to this many rows is broadcast.
+BROADCAST_GROUPS = 10_000
+
+
 def ecdf(df: DataFrame, value: str, by: list[str], tie: list[str]) -> DataFrame:
-    """df with column ecdf: rank of the row within its group over the size of the group.
+    """df with column ecdf: rank of the row within its group over the size of the group. Rows without a value have none and go.
 
-    Groups are numbered by value first, so a row's rank is the count of smaller values plus its
-    number among equals; only equals share a window.
+    Rows are placed in the order of group, value and tie by range partitions, so neither a group nor a value that fills the
+    table is one window; a group's first place makes ranks of places. The result reads a stored table.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = counts.select(*by, value, (F.sum("_n").over(w) - F.col("_n")).alias("_below"), F.sum("_n").over(W.partitionBy(*by)).alias("_all"))
-    keyed = df.join(steps, [*by, value])
-    among = F.row_number().over(W.partitionBy(*by, value).orderBy(*tie))
-    return keyed.withColumn("ecdf", (F.col("_below") + among) / F.col("_all")).drop("_below", "_all")
+    placed = global_places(df.filter(F.col(value).isNotNull()), *by, value, *tie, name="_place")
+    groups = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_place").alias("_first"), F.count("*").alias("_all"))
+    if not by:
+        joined = placed.crossJoin(groups)  # one row
+    else:
+        few = F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+        joined = placed.join(few, [placed[c].eqNullSafe(few[f"_{c}"]) for c in by])
+    out = joined.withColumn("ecdf", (F.col("_place") - F.col("_first") + 1) / F.col("_all")).select(*df.columns, "ecdf")
+    out._stored_at = placed._stored_at
+    return out
 
 
 def mean_ci(values: np.ndarray, confidence: float = 0.95, n_bootstrap: int = 10_000, seed: int = 0) -> tuple[int, float, float, float]:

@@ -7,11 +7,13 @@ one aggregate by turn.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from turnscope.sources.stored import discard, stored
+
+from . import trees
 
 #: What counts as a web search call on each platform.
 MARKER_TOOL = "web_search"
@@ -22,41 +24,6 @@ TEXT_FRAGMENTS = ("REQUEST", "RESPONSE", "THINK")
 PLATFORMS = ("chatgpt", "claude", "grok", "deepseek")
 
 
-# --- order of messages ---------------------------------------------------------------------
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _walk(keys: pd.Series, parents: pd.Series, children: pd.Series, last: pd.Series, by_parent: pd.Series) -> pd.Series:
-    """Places of the nodes of each walk, in time linear in the nodes."""
-
-    def one(keys, parents, children, last, by_parent):
-        place = {k: i for i, k in enumerate(keys)}
-        first: dict = {}
-        for i, p in enumerate(parents):
-            first.setdefault(p, i)
-        loose = [i for i, p in enumerate(parents) if p is None or p not in place or (not last and p == "root")]
-        at, out = (loose[-1 if last else 0] if loose else None), []
-        while at is not None and len(out) < len(keys):  # a cycle ends there
-            out.append(at)
-            after = children[at]
-            at = place.get(after) if after is not None else first.get(keys[at]) if by_parent else None
-        return out
-
-    return pd.Series([None if k is None else one(k, p, c, *how) for k, p, c, *how in zip(keys, parents, children, last, by_parent)], dtype=object)
-
-
-def walk_tree(mapping: Column, root: str, by_parent: bool) -> Column:
-    """Nodes of a message tree along first children, from the root on.
-
-    root: 'last' or 'first' among nodes without a known parent. by_parent: a node without children
-    is followed by the first node that names it as parent. The walk takes at most as many steps as there are nodes,
-    so a cycle ends it. Only keys and links go through Python, batch by batch; looking a key up in a map is linear, so walks in a column expression are quadratic.
-    """
-    values = F.map_values(mapping)
-    path = _walk(F.map_keys(mapping), F.transform(values, lambda v: v["parent"]), F.transform(values, lambda v: F.try_element_at(v["children"], F.lit(1))), F.lit(root == "last"), F.lit(by_parent))
-    return F.transform(path, lambda i: values[i])
-
-
 # --- time ----------------------------------------------------------------------------------
 
 
@@ -157,19 +124,31 @@ def _deepseek(node: Column) -> Column:
     )
 
 
+#: How the message tree of a platform is walked: which loose node is the root, whether children may be found by their parents, what a node becomes.
+_TREES = {"chatgpt": ("last", True, _gpt), "deepseek": ("first", False, _deepseek)}
+
+
+def tree_messages(convs: DataFrame, platform: str) -> DataFrame:
+    """(user_id, conv_id, pos, m): messages of trees, in the order of the walk from the root; nodes are rows, so a tree may have any size."""
+    root, by_parent, message = _TREES[platform]
+    nodes = trees.tree_nodes(convs, "user_id", F.col("id").alias("conv_id"))
+    order = trees.walk_order(nodes, root, by_parent)
+    out = stored(nodes.join(order, ["tree", "node"]).filter("value.message is not null").select("user_id", "conv_id", F.col("place").alias("pos"), message(F.col("value")).alias("m")), "tree-messages")
+    discard(nodes, order)
+    return out
+
+
 def messages(convs: DataFrame, platform: str) -> DataFrame:
     """(user_id, conv_id, pos, message fields): the messages of each conversation in order."""
-    if platform == "chatgpt":
-        key, items = F.col("id"), F.transform(F.filter(walk_tree(F.col("mapping"), "last", True), lambda n: n["message"].isNotNull()), _gpt)
-    elif platform == "claude":
+    if platform in _TREES:
+        return tree_messages(convs, platform).select("user_id", "conv_id", "pos", "m.*").filter("keep").drop("keep")
+    if platform == "claude":
         key, items = F.col("uuid"), F.transform("chat_messages", _claude)
     elif platform == "grok":
         key = F.col("conversation")["id"]
         # the position keeps the sort stable; messages without a time come first
         stamped = F.transform("responses", lambda r, i: F.struct(F.coalesce(r["response"]["create_time"]["$date"]["$numberLong"].try_cast("long"), F.lit(0).cast("long")).alias("ms"), i.alias("i"), F.lit(0).alias("x")))
         items = F.transform(F.array_sort(stamped), lambda s: _grok(F.col("responses")[s["i"]]["response"]))
-    elif platform == "deepseek":
-        key, items = F.col("id"), F.transform(F.filter(walk_tree(F.col("mapping"), "first", False), lambda n: n["message"].isNotNull()), _deepseek)
     else:
         raise ValueError(f"unknown platform {platform!r}; one of {', '.join(PLATFORMS)}")
     return convs.select("user_id", key.alias("conv_id"), F.posexplode(items).alias("pos", "m")).select("user_id", "conv_id", "pos", "m.*").filter("keep").drop("keep")

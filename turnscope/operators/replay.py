@@ -126,20 +126,6 @@ def relation_counts(alignments: DataFrame, by: list[str], raw: str) -> DataFrame
     return g.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy(*by)))
 
 
-def best_block(chunks: DataFrame, blocks: DataFrame, key: list[str], least: float = 0.45) -> DataFrame:
-    """The raw block that a chunk comes from: the first that holds it, else the best token F1 from `least` on, else most shared urls.
-
-    chunks: key, chunk_idx, chunk, urls. blocks: key, block_idx, block, block_urls. Joined by key only.
-    """
-    j = chunks.join(blocks, key)
-    inside = F.contains(text.match_text(F.col("block")), text.match_text(F.col("chunk")))
-    f1 = F.round(text.token_f1(F.col("chunk"), F.col("block")), 9)
-    shared = F.size(F.array_intersect("urls", "block_urls"))
-    score = F.when(inside, F.struct(F.lit(3).alias("tier"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), (-F.col("block_idx")).alias("c"))).when(f1 >= least, F.struct(F.lit(2).alias("tier"), f1.alias("a"), F.lit(0.0).alias("b"), (-F.col("block_idx")).alias("c"))).when(shared > 0, F.struct(F.lit(1).alias("tier"), shared.cast("double").alias("a"), f1.alias("b"), (-F.col("block_idx")).alias("c")))
-    m = j.withColumn("_s", score).filter("_s is not null")
-    return m.groupBy(*key, "chunk_idx").agg(F.max_by("block_idx", "_s").alias("block_idx"), F.max("_s.tier").alias("tier"))
-
-
 #: Fixed value: a markdown link that cites a page.
 LINK = r"\[[^\n]{0,120}?\]\((https?://[^)\s]+)\)"
 

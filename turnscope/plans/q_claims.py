@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import stats, text
 from turnscope.operators import claims as C
+from turnscope.operators import matching
 from turnscope.operators import replay as R
 from turnscope.operators import urlcheck as U
 from turnscope.operators.grounding import grounding
@@ -360,7 +361,7 @@ def best_blocks(spark, d):
     b = table(spark, d, "benchmark")
     chunks = C.sentence_chunks(b, ["item_id"], "text").select((F.col("item_id") / 4).cast("long").alias("g"), (F.col("item_id") * 100 + F.col("chunk_idx")).alias("chunk_idx"), "chunk", F.array().cast("array<string>").alias("urls"))
     blocks = b.select((F.col("item_id") / 4).cast("long").alias("g"), F.col("item_id").alias("block_idx"), F.col("text").alias("block"), F.array().cast("array<string>").alias("block_urls"))
-    return R.best_block(chunks, blocks, ["g"])
+    return matching.best_block(chunks, blocks, ["g"])
 
 
 # --- claims of replays -----------------------------------------------------------------------

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_claims, q_decisions, q_extra, q_extract, q_grounding
+from . import q_claims, q_decisions, q_extra, q_extract, q_grounding, q_scale
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (q_extract, q_decisions, q_grounding, q_claims, q_extra):
+for _m in (q_extract, q_decisions, q_grounding, q_claims, q_extra, q_scale):
     QUERIES |= _m.Q
     ORACLES |= _m.S
