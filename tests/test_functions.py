@@ -71,6 +71,11 @@ def test_values(spark):
     assert values_of(spark, [["b", "a", "a", "b"]], "array<string>", values.most_common) == ["b"]
     assert values_of(spark, [[[" q ", ""], [""], []]], "array<array<string>>", values.clean_groups) == [[["q"]]]
     assert values_of(spark, ["1", "nan", "inf", "x", None], "string", values.finite) == [1.0, None, None, None, None]
+    assert values_of(spark, [1.0, 2.0, 0.0, -0.5, float("nan"), None], "double", values.parse_bool) == [True, True, False, True, False, False]
+    assert values_of(spark, [2, 0, None], "int", values.parse_bool) == [True, False, False]
+    assert values_of(spark, [True, False, None], "boolean", values.parse_bool) == [True, False, False]
+    got = values_of(spark, ['{"category": "CORRECTED", "alignments": [{"no_web_claim": "a", "relation": "NEW_CLAIM"}, {"claim_a": " ", "relation": null}, {"claim_b": "b"}]}', '{"category": " "}', "x", None, '{"explanation": "e"}'], "string", values.judgment)
+    assert [g and (g.category, g.explanation, [tuple(a) for a in g.alignments]) for g in got] == [("CORRECTED", "", [("a", "UNMATCHED", ""), ("", "", "b")]), None, None, None, ("", "e", [])]
     assert values_of(spark, ["Yes", "0", None], "string", values.parse_bool) == [True, False, False]
 
 

@@ -86,7 +86,8 @@ def preference(metrics: list[str], none: str = "none_{}_score", required: str =
 
 
 def call_outcome(used_web: Column, prefer_none: Column, prefer_required: Column, n_metrics: int) -> Column:
-    """Right, Over or Under Call: a call is over if only its absence is preferred anywhere, an absence under if a call is preferred everywhere."""
+    """Right, Over or Under Call: a call is over if only its absence is preferred anywhere, an absence under if a call is preferred everywhere. An unknown decision is an absence."""
+    used_web = F.coalesce(used_web, F.lit(False))
     return (
         F.when(used_web & (prefer_required == 0) & (prefer_none >= 1), "Over Call")
         .when(~used_web & (prefer_none == 0) & (prefer_required == n_metrics) & F.lit(n_metrics > 0), "Under Call")

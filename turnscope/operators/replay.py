@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import text
 from turnscope.functions.urls import match_key
-from turnscope.functions.values import outcome_key, relation
+from turnscope.functions.values import CLAIM_RELATIONS, RESPONSE_CATEGORIES, among, finite, outcome_key, relation, strip
 from turnscope.operators.claims import BUCKETS, latest_of_runs
 
 
@@ -120,12 +120,48 @@ def likert_means(scores: DataFrame, bucket: str, mode: str, metric: str) -> Data
     return g.agg(F.count("score").alias("n"), F.round(F.avg("score"), 9).alias("mean"))
 
 
-def relation_counts(alignments: DataFrame, by: list[str], raw: str) -> DataFrame:
-    """Counts and percent of claim relations, unknown names as OTHER."""
-    g = alignments.groupBy(*by, relation(F.col(raw)).alias("relation")).agg(F.count("*").alias("n"))
+#: What replays are scored for, and the groups their means are taken over.
+LIKERT_METRICS = ("factuality", "completeness", "relevance")
+CALL_BUCKETS = ("overall", "auto_web_call", "auto_no_web_call")
+
+
+def likert_by_model(calls: DataFrame, scores: DataFrame) -> DataFrame:
+    """(model, bucket, mode, metric, n, n_scores, mean): mean scores of each model over the samples that all models have.
+
+    calls: model, result_key, called (whether the free run searched). scores: model, result_key, mode, metric, score. n counts the bucket's samples, scored or not;
+    a mode is listed for a model that has any score in it, on whatever sample. Buckets are overall, and samples with and without a search of that model.
+    """
+    one = calls.groupBy("model", "result_key").agg(F.coalesce(F.max("called"), F.lit(False)).alias("called"))
+    models = one.agg(F.count_distinct("model").alias("_models"))  # one row
+    common = one.groupBy("result_key").agg(F.count_distinct("model").alias("_has")).crossJoin(models).filter("_has = _models").select("result_key")
+    kept = one.join(common, "result_key").withColumn("bucket", F.explode(F.array(F.lit(CALL_BUCKETS[0]), F.when(F.col("called"), CALL_BUCKETS[1]).otherwise(CALL_BUCKETS[2]))))
+    marks = scores.select("model", "result_key", "mode", "metric", finite(F.col("score")).alias("score")).filter("score is not null")
+    means = kept.join(marks, ["model", "result_key"]).groupBy("model", "bucket", "mode", "metric").agg(F.count("*").alias("n_scores"), F.round(F.avg("score"), 9).alias("mean"))
+    sizes = kept.groupBy("model", "bucket").agg(F.count("*").alias("n"))
+    every = lambda names: F.explode(F.array(*[F.lit(x) for x in names]))
+    spine = marks.select("model", "mode").distinct().withColumn("metric", every(LIKERT_METRICS)).withColumn("bucket", every(CALL_BUCKETS))
+    return spine.join(sizes, ["model", "bucket"], "left").join(means, ["model", "bucket", "mode", "metric"], "left").na.fill({"n": 0, "n_scores": 0})
+
+
+def label_counts(rows: DataFrame, by: list[str], label: Column, allowed: tuple[str, ...] | None, name: str) -> DataFrame:
+    """(by, name, n, pct): counts and percent of labels within each group; rows without one don't count, and labels beyond the allowed ones are OTHER."""
+    named = rows.select(*by, (label if allowed is None else among(label, allowed)).alias(name)).filter(F.col(name).isNotNull())
+    g = named.groupBy(*by, name).agg(F.count("*").alias("n"))
     return g.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy(*by)))
 
 
+def relation_counts(judgments: DataFrame, by: list[str], column: str = "judgment", collapse: bool = True) -> DataFrame:
+    """Counts and percent of the relations of aligned claims; column holds judgments as values.judgment() reads them."""
+    rows = judgments.select(*by, F.explode(F.col(column)["alignments"]).alias("_a"))
+    return label_counts(rows, by, relation(F.col("_a.relation")), CLAIM_RELATIONS if collapse else None, "relation")
+
+
+def category_counts(judgments: DataFrame, by: list[str], column: str = "judgment", collapse: bool = True) -> DataFrame:
+    """Counts and percent of the categories of whole responses."""
+    category = strip(F.col(column)["category"])
+    return label_counts(judgments, by, F.when(category != "", category), RESPONSE_CATEGORIES if collapse else None, "category")
+
+
 #: Fixed value: a markdown link that cites a page.
 LINK = r"\[[^\n]{0,120}?\]\((https?://[^)\s]+)\)"
 

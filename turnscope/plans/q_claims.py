@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnscope.functions import stats, text
+from turnscope.functions import stats, text, values
 from turnscope.operators import claims as C
 from turnscope.operators import matching
 from turnscope.operators import replay as R
@@ -328,13 +328,69 @@ def likert_means(spark, d):
     return R.likert_means(s, "bucket", "mode", "metric")
 
 
-@query("claim_relations", """WITH s AS (SELECT o_orderstatus AS model, CASE o_orderpriority WHEN '1-URGENT' THEN 'ENTAILS' WHEN '2-HIGH' THEN 'CONTRADICTS' WHEN '3-MEDIUM' THEN 'PARTIAL' WHEN '5-LOW' THEN 'UNMATCHED' ELSE 'OTHER' END AS relation FROM orders)
+@query("likert_by_model", """
+WITH e AS (SELECT event_id // 9 AS key, event_type AS model, value, event_id FROM events),
+c AS (SELECT model, key, max(value) > 60 AS called FROM e GROUP BY ALL),
+common AS (SELECT key FROM c GROUP BY key HAVING count(*) = (SELECT count(DISTINCT model) FROM c)),
+k AS (SELECT model, key, unnest(['overall', CASE WHEN called THEN 'auto_web_call' ELSE 'auto_no_web_call' END]) AS bucket FROM c JOIN common USING (key)),
+s AS (SELECT model, key, ['auto', 'none', 'required'][event_id % 3 + 1] AS mode, ['factuality', 'completeness', 'relevance'][event_id // 3 % 3 + 1] AS metric, 1 + event_id % 5 AS score FROM e WHERE event_id % 7 > 0 AND NOT (model = 'click' AND event_id % 3 = 2)),
+m AS (SELECT model, bucket, mode, metric, count(*) AS n_scores, round(avg(score), 9) AS mean FROM k JOIN s USING (model, key) GROUP BY ALL),
+z AS (SELECT model, bucket, count(*) AS n FROM k GROUP BY ALL),
+p AS (SELECT * FROM (SELECT DISTINCT model, mode FROM s), (SELECT unnest(['factuality', 'completeness', 'relevance']) AS metric), (SELECT unnest(['overall', 'auto_web_call', 'auto_no_web_call']) AS bucket))
+SELECT model, bucket, mode, metric, coalesce(n, 0) AS n, coalesce(n_scores, 0) AS n_scores, mean FROM p LEFT JOIN z USING (model, bucket) LEFT JOIN m USING (model, bucket, mode, metric)""")
+def likert_by_model(spark, d):
+    """Mean scores by model over the samples all models have, in all and by whether the free run searched."""
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 9).alias("result_key"), F.col("event_type").alias("model"), "value", "event_id")
+    calls = e.groupBy("model", "result_key").agg((F.max("value") > 60).alias("called"))
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    mode, metric = pick(("auto", "none", "required"), F.col("event_id") % 3), pick(R.LIKERT_METRICS, F.floor(F.col("event_id") / 3) % 3)
+    score = F.when(F.col("event_id") % 7 > 0, (1 + F.col("event_id") % 5).cast("string")).otherwise("n/a")
+    scores = e.filter(~((F.col("model") == "click") & (F.col("event_id") % 3 == 2))).select("model", "result_key", mode.alias("mode"), metric.alias("metric"), score.alias("score"))
+    return R.likert_by_model(calls, scores)
+
+
+#: Judgments of orders: every kind of category and relation, the older names and keys, blanks, and answers that are no judgment.
+JUDGED = """j AS (SELECT o_orderkey AS k, o_orderstatus AS model, CASE o_orderkey % 7 WHEN 0 THEN 'SAME_CLAIMS' WHEN 1 THEN 'UPDATED_OR_SPECIFIED' WHEN 2 THEN 'CORRECTED' WHEN 3 THEN 'NEW_CLAIMS' WHEN 4 THEN 'same_claims' END AS category FROM orders WHERE o_orderkey % 11 > 0),
+a AS (SELECT model, CASE (k + i) % 8 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'REFINEMENT' WHEN 2 THEN 'CONTRADICTION' WHEN 3 THEN 'UNMATCHED' WHEN 4 THEN 'UNMATCHED' WHEN 5 THEN 'match' END AS relation FROM j CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) WHERE i <= k % 4)"""
+
+
+def _judged(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    category = pick(("SAME_CLAIMS", "UPDATED_OR_SPECIFIED", " CORRECTED\n", "NEW_CLAIMS", "same_claims", " ", None), k % 7)
+    old = lambda i: F.struct(F.concat(F.lit("a"), i.cast("string")).alias("no_web_claim"), pick(("MATCH", "REFINEMENT ", "CONTRADICTION", "UNMATCHED", "NEW_CLAIM", "match", "", None), (k + i) % 8).alias("relation"), F.lit("b").alias("web_claim"))
+    payload = F.to_json(F.struct(category.alias("category"), F.lit("why").alias("explanation"), F.transform(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: i <= k % 4), old).alias("alignments")))
+    raw = F.when(k % 11 == 0, "no judgment").when(k % 2 == 0, F.replace(F.replace(payload, F.lit("no_web_claim"), F.lit("claim_a")), F.lit("web_claim"), F.lit("claim_b"))).otherwise(payload)
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("model"), values.judgment(raw).alias("judgment"))
+
+
+@query("claim_relations", f"""WITH {JUDGED}, s AS (SELECT model, CASE WHEN relation = 'match' THEN 'OTHER' ELSE relation END AS relation FROM a WHERE relation IS NOT NULL)
 SELECT model, relation, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY model) AS pct FROM s GROUP BY model, relation""")
 def claim_relations(spark, d):
-    """A62, F26."""
-    names = F.create_map(*[F.lit(x) for x in ("1-URGENT", "entails", "2-HIGH", "Contradicts", "3-MEDIUM", "partial", "4-NOT SPECIFIED", "odd", "4-NOT SPECI", "odd", "5-LOW", "new_claim")])
-    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("model"), F.try_element_at(names, F.col("o_orderpriority")).alias("raw"))
-    return R.relation_counts(o, ["model"], "raw")
+    """Relations of aligned claims by model, from judges' answers with newer and older keys; blanks don't count, unknown names are OTHER."""
+    return R.relation_counts(_judged(spark, d), ["model"])
+
+
+@query("response_categories", f"""WITH {JUDGED}, s AS (SELECT model, CASE WHEN category = 'same_claims' THEN 'OTHER' ELSE category END AS category FROM j WHERE category IS NOT NULL),
+every AS (SELECT 'all' AS model, category FROM j WHERE category IS NOT NULL)
+SELECT model, category, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY model) AS pct FROM (SELECT * FROM s UNION ALL SELECT * FROM every) GROUP BY model, category""")
+def response_categories(spark, d):
+    """Categories of whole responses by model, unknown ones as OTHER, and over all models by the names given."""
+    j = _judged(spark, d)
+    named = R.category_counts(j.withColumn("model", F.lit("all")), ["model"], collapse=False)
+    return R.category_counts(j, ["model"]).unionByName(named)
+
+
+@query("factuality_scores", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN event_type ELSE '' END AS label, CASE event_id % 6 WHEN 0 THEN event_id % 5 WHEN 1 THEN event_id % 5 + 0.5 WHEN 2 THEN 3 ELSE 0 END::DOUBLE AS score, CASE event_id % 6 WHEN 0 THEN 'so' WHEN 1 THEN 'thus' ELSE '' END AS reasoning FROM events")
+def factuality_scores(spark, d):
+    """scores of claims from judges' answers: newer and older keys, numbers as text, none, null, and answers that are no object."""
+    k = F.col("event_id") % 6
+    n = (F.col("event_id") % 5).cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"score": '), n, F.lit(', "label": " '), "event_type", F.lit(' ", "reasoning": "so"}'))).when(k == 1, F.concat(F.lit('{"rating": "'), n, F.lit('.5", "verdict": "'), "event_type", F.lit('", "reason": "thus"}')))
+        .when(k == 2, '{"score": " 3 ", "label": null}').when(k == 3, '{"score": "high"}').when(k == 4, "[1, 2]")
+    )
+    return table(spark, d, "events").select("event_id", values.factuality(raw).alias("f")).select("event_id", "f.*")
 
 
 @query("span_overlaps", """WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey % 900 AS s, l_partkey % 900 + CAST(l_quantity AS BIGINT) * 20 AS e FROM lineitem)

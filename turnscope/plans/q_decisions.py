@@ -139,12 +139,12 @@ def model_mentions(spark, d):
 
 
 @query("call_outcomes", """
-WITH s AS (SELECT l_orderkey, l_linenumber % 2 = 0 AS used, (l_quantity % 5 > l_discount * 50)::INT + (l_linenumber > l_tax * 50)::INT AS pn, (l_quantity % 5 < l_discount * 50)::INT + (l_linenumber < l_tax * 50)::INT AS pr FROM lineitem)
-SELECT CASE WHEN used AND pr = 0 AND pn >= 1 THEN 'Over Call' WHEN NOT used AND pn = 0 AND pr = 2 THEN 'Under Call' ELSE 'Right Call' END AS outcome, pn AS prefer_none, pr AS prefer_required, count(*) AS n FROM s GROUP BY ALL""")
+WITH s AS (SELECT l_orderkey, CASE WHEN l_partkey % 5 > 0 THEN l_linenumber % 2 = 0 END AS used, (l_quantity % 5 > l_discount * 50)::INT + (l_linenumber > l_tax * 50)::INT AS pn, (l_quantity % 5 < l_discount * 50)::INT + (l_linenumber < l_tax * 50)::INT AS pr FROM lineitem)
+SELECT CASE WHEN used AND pr = 0 AND pn >= 1 THEN 'Over Call' WHEN NOT coalesce(used, false) AND pn = 0 AND pr = 2 THEN 'Under Call' ELSE 'Right Call' END AS outcome, pn AS prefer_none, pr AS prefer_required, count(*) AS n FROM s GROUP BY ALL""")
 def call_outcomes(spark, d):
     """Preference counts and outcome of the decision."""
     li = table(spark, d, "lineitem")
-    s = li.select((F.col("l_linenumber") % 2 == 0).alias("used"), (F.col("l_quantity") % 5).alias("none_a_score"), (F.col("l_discount") * 50).alias("required_a_score"), F.col("l_linenumber").cast("double").alias("none_b_score"), (F.col("l_tax") * 50).alias("required_b_score"))
+    s = li.select(F.when(F.col("l_partkey") % 5 > 0, F.col("l_linenumber") % 2 == 0).alias("used"), (F.col("l_quantity") % 5).alias("none_a_score"), (F.col("l_discount") * 50).alias("required_a_score"), F.col("l_linenumber").cast("double").alias("none_b_score"), (F.col("l_tax") * 50).alias("required_b_score"))
     pn, pr, _ = D.preference(["a", "b"])
     s = s.withColumn("prefer_none", pn).withColumn("prefer_required", pr)
     return s.groupBy(D.call_outcome(F.col("used"), F.col("prefer_none"), F.col("prefer_required"), 2).alias("outcome"), "prefer_none", "prefer_required").agg(F.count("*").alias("n"))

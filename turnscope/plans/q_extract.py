@@ -303,13 +303,14 @@ def coerced_lists(spark, d):
     return e.withColumn("got", got).select("event_id", F.array_join("got", "|").alias("items"), F.size("got").alias("n"))
 
 
-@query("coerced_scalars", "SELECT event_id, event_id % 4 < 2 AS flag, CASE WHEN event_id % 3 = 0 THEN value END AS number, strftime(ts, '%Y-%m-01') AS month FROM events")
+@query("coerced_scalars", "SELECT event_id, event_id % 4 < 2 AS flag, event_id % 3 > 0 AS whole, event_id % 5 > 1 AS part, CASE WHEN event_id % 3 = 0 THEN value END AS number, strftime(ts, '%Y-%m-01') AS month FROM events")
 def coerced_scalars(spark, d):
-    """truth words, finite numbers, months."""
+    """truth words, truth of whole numbers (0, 1, 2) and of others (0.0, null, 0.5, 1.0, -1.5), finite numbers, months."""
     e = table(spark, d, "events")
-    word = F.when(F.col("event_id") % 4 == 0, " YES ").when(F.col("event_id") % 4 == 1, "1").when(F.col("event_id") % 4 == 2, "off")
+    word = F.when(F.col("event_id") % 4 == 0, " YES\n").when(F.col("event_id") % 4 == 1, "1").when(F.col("event_id") % 4 == 2, "off")
+    part = F.when(F.col("event_id") % 5 == 0, 0.0).when(F.col("event_id") % 5 == 2, 0.5).when(F.col("event_id") % 5 == 3, 1.0).when(F.col("event_id") % 5 == 4, -1.5)
     number = F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, "inf").otherwise("n/a")
-    return e.select("event_id", values.parse_bool(word).alias("flag"), values.finite(number).alias("number"), values.month_start(F.col("ts")).alias("month"))
+    return e.select("event_id", values.parse_bool(word).alias("flag"), values.parse_bool(F.col("event_id") % 3).alias("whole"), values.parse_bool(part).alias("part"), values.finite(number).alias("number"), values.month_start(F.col("ts")).alias("month"))
 
 
 @query("judged_objects", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
