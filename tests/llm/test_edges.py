@@ -4,17 +4,18 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnscope.llm import common, decontaminate, embeddings, mixing, quality, queries, secrets, simhash, suffix, toxicity, urlfilter, warc
 
 SMALL = "/root/testdata/sf0.001"
 #: Columns under names that operators use themselves, one of them a map.
-EXTRA = "doc_id long, text string, lang string, source string, n_chars long, quality_score double, _quality_score string, id string, fp long, component string, key string, score map<string,int>, raw binary, size long, target int, rate int, drawn int, _mix_rate int, _pipe_id int, node int"
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, quality_score double, _quality_score string, id string, fp long, component string, key string, score map<string,int>, raw binary, size long, target int, rate int, drawn int, _mix_rate int, _pipe_id int, node int, `a.b` int, `text.x` string, signature string, row int"
 ROWS = [(1, None, "a"), (2, "", None), (None, "some words are here now", "a"), (3, "some words are here now", "b"), (3, "some words are here now", "b"), (4, " \t\n", "b"), (None, None, None)]
 
 
 def wide(spark, rows):
-    return spark.createDataFrame([(i, t, None, s, None, 0.5, "x", "y", 1, "z", "k", {"a": 1, "b": None}, b"r", 1, 2, 3, 4, 5, 6, 7) for i, t, s in rows], EXTRA)
+    return spark.createDataFrame([(i, t, None, s, None, 0.5, "x", "y", 1, "z", "k", {"a": 1, "b": None}, b"r", 1, 2, 3, 4, 5, 6, 7, 8, "d", "g", 9) for i, t, s in rows], EXTRA)
 
 
 def long_text(n=5 << 20):
@@ -228,3 +229,34 @@ def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="checkpoint"):
         common.shared_dir(Session())
 
+
+
+def test_an_oversize_text_does_not_empty_the_fit(spark, labels):
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    usable = labels.filter(~common.held_out(labels.doc_id)).select("doc_id").orderBy(F.xxhash64("doc_id")).first()[0]
+    text = "line\n" * 1_100  # over a hundredth of the bound, first in hash order
+    swapped = docs.withColumn("text", F.when(F.col("doc_id") == usable, text).otherwise(F.col("text")))
+    model = quality.fit_quality(swapped, labels, lines=100_000)
+    base = quality.fit_quality(docs, labels.filter(F.col("doc_id") != usable), lines=100_000)
+    want = {r.doc_id: r.quality_score for r in quality.score_quality(docs, base).collect()}
+    got = {r.doc_id: r.quality_score for r in quality.score_quality(docs, model).collect()}
+    assert got == pytest.approx(want) and sum(s >= quality.CUT for s in got.values()) > 100
+    with pytest.raises(ValueError, match="lines"):
+        quality.fit_quality(docs.withColumn("text", F.lit("a\nb\nc\n")), labels, lines=200)
+
+
+def test_pages_of_one_template_do_not_grow_together(spark):
+    """Pairs at a Jaccard similarity of about 0.4 share band keys by chance; compared where they meet, none is a candidate."""
+    rnd = random.Random(8)
+    frame = [f"f{i}" for i in range(120)]
+    rows = [(i, " ".join(frame + [f"w{rnd.getrandbits(40)}" for _ in range(80)])) for i in range(1_500)]
+    near = rows[7][1].split()
+    near[150] = "other"
+    rows.append((9_999, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash._sketches(docs, "doc_id", "text", simhash.WORDS)
+    shared = nodes.select(F.explode("keys").alias("k")).groupBy("k").count().filter("count > 1").count()
+    assert shared > 100
+    comps = simhash._candidates(nodes.select("node", F.col("id").alias("low"), "fp", "keys", "signature"))
+    assert comps.groupBy("root").count().agg(F.max("count")).first()[0] == 2
+    assert {r.id for r in simhash.similar_documents(docs).filter("component <> id").collect()} == {9_999}

@@ -42,6 +42,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that names of any kind pass through a task; select("name.*") gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def release(*frames: DataFrame | None) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     for df in frames:

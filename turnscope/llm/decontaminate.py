@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices, table
+from .common import materialize, packed, release, slices, table
 
 TERM, GRAM = 3, 5
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.8
@@ -64,6 +64,18 @@ def question_answer(text: str | None) -> tuple[list[str], list[str]]:
     return (words[: ends[-1] + 1], words[ends[-1] + 1 :]) if ends else (words, words)
 
 
+class Short(dict):
+    """The n-grams of a passage by n, made when first asked for."""
+
+    def __init__(self, words: list[str]):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, n: int) -> set[tuple[str, ...]]:
+        self[n] = {tuple(self.words[i : i + n]) for i in range(len(self.words) - n + 1)}
+        return self[n]
+
+
 class ItemIndex:
     """Inverted index of items: per term, postings by item with block maxima of normalised impacts."""
 
@@ -218,18 +230,15 @@ class ItemIndex:
                 d = self.entry[e]
                 if passage is None:
                     passage = set(grams(words[start:end], GRAM))
-                    short = words[start:end]
+                    short = Short(words[start:end])
                 over = tuple(self._share(g, passage, short) for g in self.gram_sets[d])
                 if (over[0] >= MIN_OVERLAP or self.asks[d] and over[1] >= MIN_OVERLAP) and (d not in best or (over[0], e == d, score) > rank[d]):
                     best[d], rank[d] = (score, *over), (over[0], e == d, score)
         return [(self.items[d][0], *v) for d, v in sorted(best.items())]
 
     @staticmethod
-    def _share(wanted: frozenset, passage: set, words: list[str]) -> float:
-        hit = 0
-        for g in wanted:
-            n = len(g)
-            hit += g in passage if n == GRAM else any(tuple(words[i : i + n]) == g for i in range(len(words) - n + 1))
+    def _share(wanted: frozenset, passage: set, short: Short) -> float:
+        hit = sum(g in (passage if len(g) == GRAM else short[len(g)]) for g in wanted)
         return hit / len(wanted) if wanted else 0.0
 
 
@@ -284,9 +293,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item; decided row by row, columns unchanged. Each shard of items after the first reads what the one before kept."""
-    names = docs.columns
-    at = names.index("text")
-    out = docs
+    out = docs.select(packed(docs).alias("row"), F.col("text"))
+    shape = out.schema
     for k, index in enumerate(shards(items, "item_id", "text")):
         if k:  # an executor holds one index at a time
             before, out = out, materialize(out, "clean")
@@ -295,12 +303,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, box=box):
             for b in batches:
-                for part in slices(b, at):
-                    clean = [not box.value.matches(t.as_py()) for t in part.column(at)]
+                for part in slices(b, 1):
+                    clean = [not box.value.matches(t.as_py()) for t in part.column(1)]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, shape)
+    return out.select("row.*")
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -26,9 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample, logistic_fit, materialize, release, slices, table
+from .common import held_out, labelled_sample, logistic_fit, materialize, packed, release, slices, table
 
 FIT_ROWS, FIT_LINES = 4_000, 400_000
+#: A text of more than this share of FIT_LINES isn't fitted on, so that none crowds out the others.
+MOST_OF_FIT = 0.01
 CUT = 0.7
 STEPS, STEP_SIZE, RIDGE = 120, 0.15, 1e-3
 #: Byte classes of the features, in order.
@@ -171,6 +173,11 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, lines: int = FIT_LINES) -> QualityModel:
+    """A model of at most `rows` labelled texts of at most `lines` lines together, in hash order.
+
+    Texts of more than MOST_OF_FIT of those lines are left out. Without labels every text scores 0.5; labels whose texts are all left out are an error.
+    """
+
     def run(batches):
         for b in batches:
             for part in slices(b, 1):
@@ -182,10 +189,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
     sample = labelled_sample(docs, labels, label, rows)
     sample = materialize(sample.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))), F.lit(0)) + 1), "quality-sample")
     so_far = F.sum("n_lines").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    fits = sample.select("doc_id", so_far.alias("lines")).filter(F.col("lines") <= lines).select("doc_id")  # FIT_ROWS rows of numbers at most
+    short = sample.filter(F.col("n_lines") <= max(1, int(MOST_OF_FIT * lines)))
+    fits = short.select("doc_id", so_far.alias("lines")).filter(F.col("lines") <= lines).select("doc_id")  # FIT_ROWS rows of numbers at most
     picked = sample.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "y")
     kind = sample.schema["doc_id"].dataType.simpleString()
     got = sorted(picked.mapInArrow(run, f"doc_id {kind}, y double, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    if not got and not sample.isEmpty():
+        raise ValueError(f"every labelled text has more than {max(1, int(MOST_OF_FIT * lines))} lines: raise the bound of lines to fit on")
     release(sample)
     width = 3 * OWN + 2
     if not got:
@@ -209,16 +219,16 @@ def score_name(names: list[str]) -> str:
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs with a last column quality_score (see score_name()); rows and other columns as they are."""
-    names = docs.columns
-    at, name = names.index("text"), score_name(names)
+    name, whole = score_name(docs.columns), docs.select(packed(docs).alias("row"), F.col("text"))
 
     def run(batches):
         for b in batches:
-            for part in slices(b, at):
-                s = model.scores([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*names, name])
+            for part in slices(b, 1):
+                s = model.scores([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    out = whole.mapInArrow(run, T.StructType([whole.schema["row"], T.StructField("score", T.DoubleType())]))
+    return out.select("row.*", F.col("score").alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

@@ -22,8 +22,10 @@ Columns besides id and text are ignored, so their names cannot clash. An empty t
 similar_documents() links by the Jaccard similarity of word shingle sets instead. At similarity 0.8
 fingerprints lie about 10 of 64 bits apart and up to 17 or so, where no count of shared bytes is
 guaranteed. Its candidates therefore also meet by BANDS keys of ROWS min-hashes each, which miss a pair
-at similarity 0.8 with probability (1 - 0.8^5)^28 = 1.5e-5 and closer ones less. Components of the
-candidates are verified exactly, all pairs that aren't yet connected. Documents of equal shingle sets
+at similarity 0.8 with probability (1 - 0.8^5)^28 = 1.5e-5 and closer ones less. What meets under a key is compared there, by
+a byte of each of its 140 min-hashes: pairs with less than SURE of them equal go (a pair at 0.8 has fewer with probability 1e-8), so
+pages of one template, which share keys by chance, don't grow together. A large key is dealt as pairs of blocks, and keys of the
+same documents are compared once. Components of what is left are verified exactly on the texts, all pairs that aren't yet connected. Documents of equal shingle sets
 are one node; texts without words have the empty set, which is similar to itself only.
 """
 
@@ -50,6 +52,8 @@ STEP = 1 << 15
 #: Jaccard similarity: words to a shingle, the least similarity, keys of so many min-hashes each.
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 28, 5
+#: Min-hashes of BANDS * ROWS that a candidate pair has in common at least; documents of a key compared at once, rows of small keys in a task.
+SURE, KEY_BLOCK, KEY_ROWS = 84, 4_096, 50_000
 #: Bytes of text verified at once; larger components are dealt as pairs of blocks of half of that.
 BLOCK_BYTES = 4 << 20
 #: Sets of four of the first six positions, then each of them with two of the positions left.
@@ -208,14 +212,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key per band for a set of shingle hashes, none for the empty set."""
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(one key per band, a byte of every min-hash) of a set of shingle hashes, none for the empty set."""
     if not len(hashes):
-        return np.zeros(0, np.uint64)
-    keys = np.empty(BANDS, np.uint64)
+        return np.zeros(0, np.uint64), b""
+    keys, lows = np.empty(BANDS, np.uint64), np.empty((BANDS, ROWS), np.uint64)
     for k in range(BANDS):
-        keys[k] = xxhash.xxh64_intdigest(((hashes ^ _MIX[0, k]) * _MIX[1, k]).min(axis=1).tobytes(), k)
-    return keys
+        lows[k] = ((hashes ^ _MIX[0, k]) * _MIX[1, k]).min(axis=1)
+        keys[k] = xxhash.xxh64_intdigest(lows[k].tobytes(), k)
+    return keys, (lows >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def signature_links(signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of all pairs of rows with SURE equal bytes or more: each row found is compared with all that aren't."""
+    free, out = np.arange(len(signatures)), []
+    while len(free) > 1:
+        queue, free = [free[0]], free[1:]
+        for at in queue:  # grows as rows are found
+            if not len(free):
+                break
+            near = (signatures[free] == signatures[at]).sum(axis=1) >= SURE
+            out += [(int(at), int(x)) for x in free[near]]
+            queue += free[near].tolist()
+            free = free[~near]
+    return out
 
 
 def similar_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -268,37 +288,69 @@ def similar_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[in
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, node, fp, keys): node is the digest of the shingle set."""
+    """(id, node, fp, keys, signature): node is the digest of the shingle set."""
 
     def run(batches):
         for b in batches:
-            node, fp, keys = [], [], []
+            node, fp, keys, signs = [], [], [], []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), words)
                 own = np.unique(h)
                 node.append(xxhash.xxh64_intdigest(own.tobytes()))
                 fp.append(_majority(h))
-                keys.append(band_keys(own).view(np.int64))
+                k, sign = band_keys(own)
+                keys.append(k.view(np.int64))
+                signs.append(sign)
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["id", "node", "fp", "keys", "signature"])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, node long, fp long, keys array<long>")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, node long, fp long, keys array<long>, signature binary")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(node, root): components of nodes that share a band key or whose fingerprints link."""
+def _key_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links between nodes that share a band key and SURE bytes of their signatures, enough to span their components."""
     posts = nodes.select("node", F.explode("keys").alias("key"))
-    lows = materialize(posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low"), "similar-lows")
-    banded = posts.join(lows, "key").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    # keys of the same nodes count once
+    keys = materialize(sizes.filter("n > 1").groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("parts")), "similar-keys")
+    rows = keys.count()
+    met = posts.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shard = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(1 + 4 * rows // KEY_ROWS)))
+    dealt = met.select((F.col("parts") > 1).alias("cut"), shard.alias("shard"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "node").join(nodes.select("node", "signature"), "node")
+
+    def compare(t: pa.Table) -> pa.Table:
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)[order]
+        edge = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+        sizes, first = np.diff(edge), edge[:-1]
+        two = first[sizes == 2]
+        two = two[(signs[two] == signs[two + 1]).sum(axis=1) >= SURE]
+        a, b = [node[two]], [node[two + 1]]
+        for lo, n in zip(first[sizes > 2], sizes[sizes > 2]):
+            links = np.array(signature_links(signs[lo : lo + n]), np.int64).reshape(-1, 2) + lo
+            a.append(node[links[:, 0]])
+            b.append(node[links[:, 1]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    out = materialize(dealt.groupBy("cut", "shard", "i", "j").applyInArrow(compare, "a long, b long"), "similar-met")
+    release(keys)
+    return out
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(node, root): components of nodes that share a band key and most of their signatures, or whose fingerprints link."""
+    met = _key_links(nodes)
     heads = materialize(nodes.filter(F.size("keys") > 0).groupBy("fp").agg(F.min("node").alias("head")), "similar-heads")
     equal = nodes.filter(F.size("keys") > 0).join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
     links = fingerprint_links(heads.select("fp"))
     close = links.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    found = connected_components(banded.unionByName(equal).unionByName(close))
+    found = connected_components(met.unionByName(equal).unionByName(close))
     out = materialize(found, "similar-candidates")
-    release(lows, heads, links, found)
+    release(met, heads, links, found)
     return out
 
 
@@ -308,15 +360,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The keys are laid out for a least similarity of about 0.8 and more.
     """
     prints = materialize(_sketches(docs, id_col, text_col, words), "similar-prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-nodes")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "similar-nodes")
     comps = _candidates(nodes)
     lows = comps.join(nodes.select("node", "low"), "node")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cand = materialize(lows.join(texts, lows["low"].eqNullSafe(texts["id"])).select("root", "node", "text", F.octet_length("text").cast("long").alias("bytes")), "similar-texts")
     total = cand.agg(F.sum("bytes")).first()[0] or 0
     large = cand.groupBy("root").agg(F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("parts")).filter("parts > 1")
-    # at most total / BLOCK_BYTES rows
-    dealt = cand.join(F.broadcast(large), "root", "left").withColumn("n", F.coalesce(2 * F.col("parts"), F.lit(1)))
+    dealt = cand.join(large, "root", "left").withColumn("n", F.coalesce(2 * F.col("parts"), F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     shard = F.when(F.col("n") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(1 + 2 * total // BLOCK_BYTES)))
     dealt = dealt.select((F.col("n") > 1).alias("cut"), shard.alias("shard"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "text")
