@@ -173,8 +173,8 @@ def test_best_blocks_equal_brute_force(spark, least):
 def test_few_pairs_meet(spark):
     rnd = random.Random(1)
     texts = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(15)) for _ in range(300)]
-    a = stored(matching.token_elements(spark.createDataFrame(list(enumerate(texts)), "a_id int, t string").withColumn("k", F.lit(1)), ["k", "a_id"], "t"), "test")
-    b = a.withColumnRenamed("a_id", "b_id")
+    e = matching.token_elements(spark.createDataFrame(list(enumerate(texts)), "a_id int, t string").withColumn("k", F.lit(1)), ["k", "a_id"], "t")
+    a, b = matching.rarest_first(e, e.withColumnRenamed("a_id", "b_id"), ["k"])
     pairs = matching.close_pairs(a, b, ["k"], 0.7)
     near = {(r.a_id, r.b_id) for r in matching.pair_f1(pairs, a, b, ["k"]).filter("f1 >= 0.7").collect()}
     assert near == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if plain_f1(x, y) >= 0.7}

@@ -8,7 +8,6 @@ any common order. Elements are ordered by how rare they are, and only those pref
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnscope.functions import text
@@ -25,26 +24,34 @@ def _tokens(column: str):
 
 
 def token_elements(texts: DataFrame, ids: list[str], column: str) -> DataFrame:
-    """(ids, elem, n): the numbered tokens of each text, n of them."""
-    toks = texts.select(*ids, _tokens(column).alias("_t")).select(*ids, F.size("_t").alias("n"), F.explode("_t").alias("tok"))
-    counted = toks.groupBy(*ids, "tok", "n").agg(F.count("*").alias("_c"))
-    return counted.select(*ids, "n", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_k"), "tok").select(*ids, F.concat_ws("#", "tok", "_k").alias("elem"), "n")
+    """(ids, elem): the numbered tokens of each text, by 64-bit hashes of token and number."""
+    toks = texts.select(*ids, F.explode(_tokens(column)).alias("tok")).groupBy(*ids, "tok").agg(F.count("*").cast("int").alias("_c"))
+    return toks.select(*ids, "tok", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select(*ids, _element(F.col("tok"), F.col("_k")).alias("elem"))
 
 
-def _prefixes(elements: DataFrame, ids: list[str], frequency: DataFrame, least: float) -> DataFrame:
-    need = F.ceil(F.lit(least / (2 - least)) * F.col("n") - 1e-9)
-    order = W.partitionBy(*ids).orderBy("freq", "elem")
-    return elements.join(frequency, "elem").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= F.col("n") - need + 1).select(*ids, "elem", "n", "_at")
+def _element(token, number):
+    return F.xxhash64(token, number)
 
 
-def _sets(elements: DataFrame, ids: list[str]) -> DataFrame:
-    return elements.groupBy(*ids).agg(F.collect_list("elem").alias("set"))
+def rarest_first(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((key, a_id, elems), (key, b_id, elems)): the elements of each text as one list, in an order common to all: by how many texts have them, then by hash. Stored."""
+    frequency = stored(a.select("elem").unionAll(b.select("elem")).groupBy("elem").agg(F.count("*").alias("freq")), "match-frequency")
+    order = lambda e, i: e.join(frequency, "elem").groupBy(*key, i).agg(F.array_sort(F.collect_list(F.struct("freq", "elem")))["elem"].alias("elems"))
+    out = stored(order(a, "a_id"), "match-a"), stored(order(b, "b_id"), "match-b")
+    discard(frequency)
+    return out
+
+
+def _prefixes(lists: DataFrame, ids: list[str], least: float) -> DataFrame:
+    n = F.size("elems")
+    need = F.ceil(F.lit(least / (2 - least)) * n - 1e-9).cast("int")
+    return lists.select(*ids, n.alias("n"), F.posexplode(F.slice("elems", F.lit(1), n - need + 1)).alias("_at", "elem")).withColumn("_at", F.col("_at") + 1)
 
 
 def pair_f1(pairs: DataFrame, a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    """pairs (key, a_id, b_id) with f1, exact; a and b are elements with ids key and a_id or b_id. A text without tokens has none with any."""
-    left = pairs.join(_sets(a, [*key, "a_id"]).withColumnRenamed("set", "_x"), [*key, "a_id"], "left")
-    both = left.join(_sets(b, [*key, "b_id"]).withColumnRenamed("set", "_y"), [*key, "b_id"], "left")
+    """pairs (key, a_id, b_id) with f1; a and b are lists of elements. A text without tokens has none with any."""
+    left = pairs.join(a.withColumnRenamed("elems", "_x"), [*key, "a_id"], "left")
+    both = left.join(b.withColumnRenamed("elems", "_y"), [*key, "b_id"], "left")
     shared = F.coalesce(F.size(F.array_intersect("_x", "_y")), F.lit(0))
     f1 = F.coalesce(F.round(F.try_divide(2.0 * shared, F.size("_x") + F.size("_y")), DIGITS), F.lit(0.0))
     return both.withColumn("f1", f1).drop("_x", "_y")
@@ -54,31 +61,27 @@ def close_pairs(a: DataFrame, b: DataFrame, key: list[str], least: float = LEAST
     """(key, a_id, b_id): pairs of a text of a and one of b that meet in their prefixes and may reach `least`; all that do are among them.
 
     What a pair shares beyond the last element shared in the prefixes comes after it in both texts, so the shared ones and the shorter rest bound the
-    overlap. a, b: elements with ids key and a_id or b_id, stored.
+    overlap. a, b: lists of elements as rarest_first() gives them.
     """
-    frequency = a.select("elem").unionAll(b.select("elem")).groupBy("elem").agg(F.count("*").alias("freq"))
-    x = _prefixes(a, [*key, "a_id"], frequency, least).withColumnsRenamed({"n": "_m", "_at": "_i"})
-    y = _prefixes(b, [*key, "b_id"], frequency, least)
+    x = _prefixes(a, [*key, "a_id"], least).withColumnsRenamed({"n": "_m", "_at": "_i"})
+    y = _prefixes(b, [*key, "b_id"], least)
     low = least / (2 - least)
     fits = (F.col("n") >= low * F.col("_m") - 1e-6) & (F.col("_m") >= low * F.col("n") - 1e-6)
     met = x.join(y, [*key, "elem"]).filter(fits).groupBy(*key, "a_id", "b_id").agg(F.count("*").alias("_same"), F.min(F.least(F.col("_m") - F.col("_i"), F.col("n") - F.col("_at"))).alias("_rest"), F.max("_m").alias("_m"), F.max("n").alias("n"))
     return met.filter(F.col("_same") + F.col("_rest") >= least / 2 * (F.col("_m") + F.col("n")) - 1e-6).select(*key, "a_id", "b_id")
 
 
-def holding_pairs(chunks: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
+def holding_pairs(chunks: DataFrame, blocks: DataFrame, a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """(key, a_id, b_id): chunks with the blocks that hold them, by text without case and runs of blanks.
 
-    chunks: key, a_id, chunk; blocks: key, b_id, block. The tokens inside a chunk, its first and last apart, are tokens of a block that holds it: the one that fewest of the
-    group's blocks have is looked up. A chunk of fewer than three tokens has none inside and is looked for in all blocks of its group.
+    chunks: key, a_id, chunk; blocks: key, b_id, block; a, b: their lists of elements. The tokens inside a chunk, its first and last apart, are tokens of a block that
+    holds it: the rarest is looked up. A chunk of fewer than three tokens has none inside and is looked for in all blocks of its group.
     """
-    words = blocks.select(*key, "b_id", F.explode(F.array_distinct(_tokens("block"))).alias("tok"))
-    spread = words.groupBy(*key, "tok").agg(F.count("*").alias("_of"))
-    t = chunks.select(*key, "a_id", "chunk", _tokens("chunk").alias("_t"))
-    inner = t.filter(F.size("_t") > 2).select(*key, "a_id", F.explode(F.array_distinct(F.slice("_t", 2, F.size("_t") - 2))).alias("tok"))
-    # a token that no block has rules the chunk out
-    rare = inner.join(spread, [*key, "tok"], "left").groupBy(*key, "a_id").agg(F.min(F.struct(F.coalesce("_of", F.lit(0)).alias("of"), "tok")).alias("_r"))
-    met = rare.filter("_r.of > 0").select(*key, "a_id", F.col("_r.tok").alias("tok")).join(words, [*key, "tok"]).select(*key, "a_id", "b_id")
-    short = t.filter(F.size("_t") <= 2).select(*key, "a_id").join(blocks.select(*key, "b_id"), key)
+    toks = chunks.select(*key, "a_id", _tokens("chunk").alias("_t"))
+    inside = F.transform(F.slice("_t", 2, F.size("_t") - 2), lambda t: _element(t, F.lit(1)))
+    inner = toks.filter(F.size("_t") > 2).join(a, [*key, "a_id"]).select(*key, "a_id", F.array_intersect("elems", inside)[0].alias("elem"))
+    met = inner.join(b.select(*key, "b_id", F.explode("elems").alias("elem")), [*key, "elem"]).select(*key, "a_id", "b_id")
+    short = toks.filter(F.size("_t") <= 2).select(*key, "a_id").join(blocks.select(*key, "b_id"), key)
     pairs = met.unionByName(short).join(chunks.select(*key, "a_id", "chunk"), [*key, "a_id"]).join(blocks.select(*key, "b_id", "block"), [*key, "b_id"])
     return pairs.filter(F.contains(text.match_text(F.col("block")), text.match_text(F.col("chunk")))).select(*key, "a_id", "b_id")
 
@@ -93,9 +96,11 @@ def best_block(chunks: DataFrame, blocks: DataFrame, key: list[str], least: floa
     full = chunks.filter(text.match_text(F.col("chunk")) != "")
     said = stored(full.groupBy(*key, "chunk").agg(F.min("chunk_idx").alias("a_id")), "match-chunks")
     raw = stored(blocks.withColumn("block", F.coalesce("block", F.lit(""))).groupBy(*key, "block").agg(F.min("block_idx").alias("b_id")), "match-blocks")
-    a, b = stored(token_elements(said, [*key, "a_id"], "chunk"), "match-a"), stored(token_elements(raw, [*key, "b_id"], "block"), "match-b")
-    held = holding_pairs(said, raw, key).groupBy(*key, "a_id").agg(F.min("b_id").alias("_held"))
-    near = pair_f1(close_pairs(a, b, key, least), a, b, key).filter(F.col("f1") >= least)
+    a, b = rarest_first(token_elements(said, [*key, "a_id"], "chunk"), token_elements(raw, [*key, "b_id"], "block"), key)
+    held = stored(holding_pairs(said, raw, a, b, key).groupBy(*key, "a_id").agg(F.min("b_id").alias("_held")), "match-held")
+    # a chunk that some block holds needs no other
+    rest = a.join(held.select(*key, "a_id"), [*key, "a_id"], "left_anti")
+    near = pair_f1(close_pairs(rest, b, key, least), a, b, key).filter(F.col("f1") >= least)
     near = near.groupBy(*key, "a_id").agg(F.max_by("b_id", F.struct("f1", -F.col("b_id"))).alias("_near"))
     texts = said.join(held, [*key, "a_id"], "left").join(near, [*key, "a_id"], "left").select(*key, F.col("chunk").alias("_chunk"), "a_id", "_held", "_near")
     same = [full[k] == texts[k] for k in key] + [full["chunk"] == texts["_chunk"]]
@@ -106,5 +111,5 @@ def best_block(chunks: DataFrame, blocks: DataFrame, key: list[str], least: floa
     linked = pair_f1(shared, a, b, key).groupBy(*key, "chunk_idx").agg(F.max_by("block_idx", F.struct("_shared", "f1", -F.col("block_idx"))).alias("block_idx"))
     out = rows.filter("tier is not null").select(*key, "chunk_idx", "block_idx", "tier").unionByName(linked.select(*key, "chunk_idx", "block_idx", F.lit(1).alias("tier")))
     out = stored(out, "match-out")
-    discard(said, raw, a, b, rows)
+    discard(said, raw, a, b, held, rows)
     return out
