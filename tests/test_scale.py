@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnscope.functions import bootstrap, ranks, stats
 from turnscope.operators import histories, matching, trees
+from turnscope.sources import tables
 from turnscope.sources.stored import stored
 
 # --- trees ---------------------------------------------------------------------------------
@@ -220,3 +222,51 @@ def test_intervals_cover(spark):
     rows = [(g, i, float(rnd.normal(2, 1)), 1.0) for g in range(300) for i in range(40)]
     got = bootstrap.split_ratio_ci(spark.createDataFrame(rows, "g int, c int, p double, q double"), ["g"], "c", "p", "q", n_bootstrap=400, seed=1).collect()
     assert 250 <= sum(r.ci_low <= 2 <= r.ci_high for r in got) <= 299
+
+
+# --- tables --------------------------------------------------------------------------------
+
+
+def test_an_append_is_whole_or_nothing(spark, tmp_path):
+    out = str(tmp_path / "t")
+    rows = spark.range(10).withColumn("x", F.col("id") * 2)
+    assert tables.append_new(spark, rows, out, ["id"]) == 10
+    broken = spark.range(5, 30, numPartitions=5).withColumn("x", F.when(F.col("id") == 28, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        tables.append_new(spark, broken, out, ["id"])
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.endswith(".crc")) == ["batch=000000001"]
+    assert tables.append_new(spark, spark.range(5, 30).withColumn("x", F.col("id")), out, ["id"]) == 20
+    assert tables.append_new(spark, spark.range(30).withColumn("x", F.col("id")), out, ["id"]) == 0
+    got = tables.read_batches(spark, out)
+    assert got.columns == ["id", "x"] and {r.id: r.x for r in got.collect()} == {i: 2 * i if i < 10 else i for i in range(30)}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["batch=000000001", "batch=000000002"]
+
+
+def test_an_append_reads_what_lies_there(spark, tmp_path):
+    out = str(tmp_path / "t")
+    spark.range(3).write.parquet(out)
+    assert tables.append_new(spark, spark.range(5), out, ["id"]) == 2
+    assert sorted(r.id for r in tables.read_batches(spark, out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_bucketed_stages_do_not_shuffle(spark, tmp_path):
+    turns = spark.range(500).select((F.col("id") % 40).alias("conv_id"), (F.col("id") / 40).cast("int").alias("turn_id"))
+    sources = spark.range(2_000).select((F.col("id") % 40).alias("conv_id"), (F.col("id") % 12).cast("int").alias("turn_id"), F.concat(F.lit("d"), F.col("id") % 7).alias("domain"))
+    claims = spark.range(900).select((F.col("id") % 40).alias("conv_id"), (F.col("id") % 12).cast("int").alias("turn_id"), F.col("id").alias("claim"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, df in (("b_turns", turns), ("b_sources", sources), ("b_claims", claims)):
+            tables.save_bucketed(df, name, ["conv_id"], 6, ["turn_id"], str(tmp_path / name))
+        t, s, c = (spark.table(n) for n in ("b_turns", "b_sources", "b_claims"))
+        first = F.min("turn_id").over(W.partitionBy("conv_id", "domain"))
+        per_turn = s.withColumn("first", first).groupBy("conv_id").agg(F.count_if(F.col("first") < F.col("turn_id")).alias("late"))
+        out = t.groupBy("conv_id").agg(F.count("*").alias("turns")).join(per_turn, "conv_id").join(c.groupBy("conv_id").agg(F.count("*").alias("claims")), "conv_id")
+        rows = {r.conv_id: (r.turns, r.claims) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("b_turns", "b_sources", "b_claims"):
+            spark.sql(f"drop table if exists {name}")
+    assert len(rows) == 40 and all(n in (12, 13) and k in (22, 23) for n, k in rows.values())
+    assert plan.count("SortMergeJoin") >= 2 and "Window" in plan and "Exchange" not in plan.replace("AQEShuffleRead", "")
