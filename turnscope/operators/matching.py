@@ -15,6 +15,8 @@ from turnscope.sources.stored import discard, stored
 
 TOKEN = "[a-z0-9]+"
 LEAST_F1 = 0.45
+#: F1 that the best block is looked for at first, each level among the texts that the one before has left.
+LEVELS = (1.0, 0.8)
 #: F1 is rounded to so many digits before it is compared.
 DIGITS = 9
 
@@ -98,10 +100,15 @@ def best_block(chunks: DataFrame, blocks: DataFrame, key: list[str], least: floa
     raw = stored(blocks.withColumn("block", F.coalesce("block", F.lit(""))).groupBy(*key, "block").agg(F.min("block_idx").alias("b_id")), "match-blocks")
     a, b = rarest_first(token_elements(said, [*key, "a_id"], "chunk"), token_elements(raw, [*key, "b_id"], "block"), key)
     held = stored(holding_pairs(said, raw, a, b, key).groupBy(*key, "a_id").agg(F.min("b_id").alias("_held")), "match-held")
-    # a chunk that some block holds needs no other
-    rest = a.join(held.select(*key, "a_id"), [*key, "a_id"], "left_anti")
-    near = pair_f1(close_pairs(rest, b, key, least), a, b, key).filter(F.col("f1") >= least)
-    near = near.groupBy(*key, "a_id").agg(F.max_by("b_id", F.struct("f1", -F.col("b_id"))).alias("_near"))
+    # a chunk that some block holds needs no other, nor does one whose best lies at a higher level, where prefixes are short
+    rest, levels = a.join(held.select(*key, "a_id"), [*key, "a_id"], "left_anti"), []
+    for level in (*(x for x in LEVELS if x > least), least):
+        found = pair_f1(close_pairs(rest, b, key, level), a, b, key).filter(F.col("f1") >= level)
+        levels.append(stored(found.groupBy(*key, "a_id").agg(F.max_by("b_id", F.struct("f1", -F.col("b_id"))).alias("_near")), "match-near"))
+        rest = rest.join(levels[-1].select(*key, "a_id"), [*key, "a_id"], "left_anti")
+    near = levels[0]
+    for more in levels[1:]:
+        near = near.unionByName(more)
     texts = said.join(held, [*key, "a_id"], "left").join(near, [*key, "a_id"], "left").select(*key, F.col("chunk").alias("_chunk"), "a_id", "_held", "_near")
     same = [full[k] == texts[k] for k in key] + [full["chunk"] == texts["_chunk"]]
     rows = stored(full.join(texts, same).select(*[full[k] for k in key], "chunk_idx", "urls", "a_id", F.coalesce("_held", "_near").alias("block_idx"), F.when(F.col("_held").isNotNull(), 3).when(F.col("_near").isNotNull(), 2).alias("tier")), "match-rows")
@@ -111,5 +118,5 @@ def best_block(chunks: DataFrame, blocks: DataFrame, key: list[str], least: floa
     linked = pair_f1(shared, a, b, key).groupBy(*key, "chunk_idx").agg(F.max_by("block_idx", F.struct("_shared", "f1", -F.col("block_idx"))).alias("block_idx"))
     out = rows.filter("tier is not null").select(*key, "chunk_idx", "block_idx", "tier").unionByName(linked.select(*key, "chunk_idx", "block_idx", F.lit(1).alias("tier")))
     out = stored(out, "match-out")
-    discard(said, raw, a, b, held, rows)
+    discard(said, raw, a, b, held, rows, *levels)
     return out
