@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ASSIGN, ENDPOINT, HEX, REACH, SCOPE
+from .secrets import ASSIGN, ENDPOINT, HEX, SCOPE
 
 _Q = "'"
 
@@ -34,10 +34,10 @@ weak AS (SELECT w0.* FROM w0 JOIN n USING (rid) WHERE length(m) = 40 AND substr(
 cand AS (SELECT rid, 3 AS k, 'secret' AS kind, s, e FROM weak UNION ALL SELECT rid, 4, 'endpoint', s, e FROM p0 UNION ALL SELECT rid, k, kind, s, e FROM base WHERE k < 2 AND rid IN (SELECT rid FROM n)),
 sc AS (SELECT *, (SELECT count(*) FROM b0 WHERE b0.rid = cand.rid AND b0.e <= cand.s) AS scope FROM cand),
 near AS (SELECT x.rid, x.k, x.kind, x.s, x.e, x.scope FROM sc x WHERE k >= 3
-  AND EXISTS (SELECT 1 FROM sc y WHERE y.k = 1 AND y.rid = x.rid AND y.scope = x.scope AND y.s <= x.e + {REACH} AND y.e >= x.s - {REACH})
+  AND EXISTS (SELECT 1 FROM sc y WHERE y.k = 1 AND y.rid = x.rid AND y.scope = x.scope)
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s < x.e AND b.e > x.s)),
 parts AS (SELECT rid, scope, s, e FROM near WHERE k = 3 UNION ALL SELECT rid, scope, s, e FROM sc WHERE k = 0),
-added AS (SELECT rid, k, kind, s, e FROM near x WHERE k = 3 OR EXISTS (SELECT 1 FROM parts y WHERE y.rid = x.rid AND y.scope = x.scope AND y.s <= x.e + {REACH} AND y.e >= x.s - {REACH})),
+added AS (SELECT rid, k, kind, s, e FROM near x WHERE k = 3 OR EXISTS (SELECT 1 FROM parts y WHERE y.rid = x.rid AND y.scope = x.scope)),
 bs AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM base GROUP BY rid),
 al AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs.spans, '')) AS base_sha256, coalesce(al.spans, '') AS spans

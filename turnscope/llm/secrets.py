@@ -5,8 +5,9 @@ identifiers and long hexadecimal strings. Spans come from cutting a text at the
 pattern: pieces and matches alternate, so running sums of their lengths are the positions, in
 code points. Weak candidates (bare 40-character secrets and service endpoints) say little
 alone. They are linked by an interval join within a scope, the paragraph: a secret-shaped string
-is reported only if an access identifier lies within REACH code points of it in the same scope;
-an endpoint only if an access identifier and a secret (base assignment or linked string) do. The
+is reported only if an access identifier is in the same scope; an endpoint only if an access
+identifier and a secret (base assignment or linked string) are. A reach, in code points, may narrow
+the links further; there is none unless the caller gives one. The
 join runs inside each document's row over its own spans, as sweeps forward and backward that carry
 the nearest part, so no document's spans meet another's, no two spans of a document are paired, and
 nothing is shuffled.
@@ -14,7 +15,7 @@ nothing is shuffled.
 Defined cases: a null text is scanned as empty; empty texts have no spans and the digest of the
 empty string. Repeated rows each get a row. Columns besides id and text are ignored by scan()
 and kept by redact(). An empty table gives an empty result. Ties at one start go by kind, in the
-order listed in KINDS.
+order listed in KINDS. Very long texts are scanned whole, near linearly in their spans.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?"
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 BASE_KINDS = KINDS[:3]
 SCOPE = r"\n[\x20\t\r]*\n"
-REACH = 400
 #: Items to a chunk of a pass over spans.
 CHUNK = 256
 _FAR = 1 << 40
@@ -117,7 +117,7 @@ def _flag(items: Column, part, base, reach: int) -> Column:
     return F.reverse(sweep(F.reverse(ahead), _FAR, lambda at, x: at <= x["end"] + reach, lambda b, x: b < x["end"], lambda x: x["start"]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """One row per row of docs: id, the base spans by kind, the linked weak spans and all spans in order.
 
     A span is (kind, start, end), code points, end exclusive. Without reach the scope alone bounds the links.
@@ -176,7 +176,7 @@ def spans_text(spans: Column) -> Column:
 STRETCH = 256
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", reach: int | None = REACH) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]", reach: int | None = None) -> DataFrame:
     """docs with every span of the scan replaced by mark in the text, overlapping spans as one; other columns stay.
 
     The scan is evaluated on the row itself, so nothing is joined back and repeated ids do no harm.
