@@ -643,6 +643,46 @@ def test_audit(spark):
     assert embeddings.audit(nodes, found, kind, 0.2) >= 0.9 and embeddings.audit(nodes, found.limit(0), kind, 0.2) == 0.0
 
 
+def test_audit_sees_lost_pairs_beside_a_group(spark):
+    """A group all found must not hide pairs all lost; a few links among many nodes are unmeasured, not perfect."""
+    rnd = np.random.default_rng(9)
+    pairs, centre = isolated_pairs(60, 0.93, 0.97, 5), np.eye(64)[0]
+    x = np.concatenate([pairs, rnd.normal(size=(1_500, 64)), centre + 0.01 * rnd.normal(size=(300, 64))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, nodes, kind = embeddings._nodes(d, "vec_id", "embedding")
+    group = nodes.filter("low >= 1620").select("node", F.lit(299).cast("long").alias("n"))
+    assert embeddings.audit(nodes, group, kind) < 0.1
+    whole = group.unionByName(nodes.filter("low < 120").select("node", F.lit(1).cast("long").alias("n")))
+    assert embeddings.audit(nodes, whole, kind) == 1.0
+    many = group.unionByName(nodes.filter("low < 1620").select("node", F.lit(3).cast("long").alias("n")))  # links that aren't there
+    assert embeddings.audit(nodes, many, kind) < 0.1
+    counts, links = embeddings.exact_links(nodes, 0.9, kind)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_audit_of_too_few_links_is_unmeasured(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "AUDIT", 50)
+    monkeypatch.setattr(embeddings, "AUDIT_MOST", 200)
+    x = np.concatenate([isolated_pairs(2, 0.95, 0.97, 5), np.random.default_rng(1).normal(size=(800, 64))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, nodes, kind = embeddings._nodes(d, "vec_id", "embedding")
+    assert embeddings.audit(nodes, spark.createDataFrame([], "node long, n long"), kind) is None
+    got = embeddings.near_duplicates(d)
+    assert got.filter("recall is null").count() == 804 and got.filter("n_links = 1").count() == 4
+
+
+def test_exact_way_where_the_graph_loses_links(spark, monkeypatch):
+    lost = lambda nodes, *_: (nodes.limit(0).select("node", F.lit(1).cast("long").alias("n")), nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
+    monkeypatch.setattr(embeddings, "find_links", lost)
+    monkeypatch.setattr(embeddings, "SHARD", 50)
+    x = isolated_pairs(100, 0.93, 0.97, 5)
+    x = np.concatenate([x, x[:3]])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.warns(UserWarning, match="all blocks"):
+        got = {r.id: (r.n_links, r.component, r.recall) for r in embeddings.near_duplicates(d).collect()}
+    assert got == {i: (2 if i % 100 < 3 else 1, i % 100 if i < 200 else i - 200, 1.0) for i in range(203)}
+
+
 def test_vectors_of_any_scale(spark):
     x = [[1e200, 0.0], [2e200, 0.0], [3.0, 0.0], [1e-200, 0.0], [1e-310, 0.0], [0.0, 5.0], [-0.0, 1e300]]
     d = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
