@@ -29,8 +29,8 @@ def test_profiles_and_scores_against_plain_loops(spark):
     want = {}
     for lang in sorted(words):
         n = {}
-        for own, t in rows:
-            if own == lang:
+        for own, t in set(rows):
+            if own == lang and t is not None:
                 for k in slow_trigrams(t):
                     n[k] = n.get(k, 0) + 1
         total = sum(n.values())
@@ -43,6 +43,19 @@ def test_profiles_and_scores_against_plain_loops(spark):
         assert got[t] == (max(sorted(want), key=lambda x: sum(want[x][k] for k in ks)) if ks else ""), t
 
 
+def test_sample_of_a_fit(spark, monkeypatch):
+    """The same rows whether or not only small digests are ordered; copies count once and can't fill the sample."""
+    rows = [("en", f"text number {i} " + "abcdefghij"[i % 10]) for i in range(400)] + [("de", "immer gleich")] * 300
+    d = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(language, "SPARE", 1 << 20)
+    want = language.fit_profiles(d, rows=40)
+    monkeypatch.setattr(language, "SPARE", 4)
+    assert language.fit_profiles(d, rows=40) == want
+    monkeypatch.setattr(language, "SPARE", 0.5)  # too few: all are ordered
+    assert language.fit_profiles(d, rows=40) == want
+    assert set(language.fit_profiles(d)) == {"de", "en"}
+
+
 def test_no_labels_and_ties(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert language.fit_profiles(none) == {}

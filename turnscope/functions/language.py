@@ -2,7 +2,8 @@
 
 A text's words, padded with blanks, are cut into trigrams; a trigram is a number below BUCKETS, from its code
 points. A profile holds a smoothed log-probability for each number, in whole thousandths, so scores are exact
-sums and ties are ties. Scoring is one expression on the row, a sum of looked-up weights: no join, no shuffle, no Python.
+sums and ties are ties. Scoring is a sum of looked-up weights on the row, without a join or shuffle: words are
+found by an expression, their weights are summed over Arrow batches, a text at a time.
 
 Defined cases: null texts and texts without letters have no language (empty); ties go to the language first
 in code order; of a word of more than WORD letters each stretch of WORD counts as a word, so time is linear in any text.
@@ -10,18 +11,26 @@ in code order; of a word of more than WORD letters each stretch of WORD counts a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS, WORD = 8_192, 32
 #: Labelled rows a fit reads at most, in the order of their texts' digests.
 FIT_ROWS = 4_000
+#: Rows of small digests that a fit looks through, as a multiple of those it wants.
+SPARE = 8
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\p{{L}}{{1,{WORD}}}"), F.lit(0))
 
 
 def trigrams(text: Column) -> Column:
     """Numbers of all letter trigrams of text, repeats included, word by word."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\p{{L}}{{1,{WORD}}}"), F.lit(0))
-    points = F.transform(words, lambda w: F.transform(F.split(F.concat(F.lit(" "), w, F.lit(" ")), ""), lambda c: F.ascii(c).cast("long")))
+    points = F.transform(_words(text), lambda w: F.transform(F.split(F.concat(F.lit(" "), w, F.lit(" ")), ""), lambda c: F.ascii(c).cast("long")))
     number = lambda p, i: (F.get(p, i) * 10_007 + F.get(p, i + 1) * 101 + F.get(p, i + 2)) % BUCKETS
     return F.flatten(F.transform(points, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: number(p, i).cast("int"))))
 
@@ -29,10 +38,22 @@ def trigrams(text: Column) -> Column:
 def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> dict[str, list[int]]:
     """Weights by language, from at most `rows` labelled rows; what reaches the driver is BUCKETS numbers a language.
 
-    Trigrams never seen in a language count as half a time. Rows without text or language are passed over.
+    Trigrams never seen in a language count as half a time. Rows without text or language are passed over, repeated ones count once.
+    Only rows of small digests are ordered; where these are too few, as among copies, all are.
     """
-    known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
-    sample = known.orderBy(F.md5(F.col("text").cast("binary")), "lang").limit(rows)
+    known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
+    share = SPARE * rows / max(1, known.count())
+    known = known.filter("text is not null").withColumn("digest", F.md5(F.col("text").cast("binary")))
+
+    def first(some: DataFrame) -> DataFrame:
+        return some.distinct().orderBy("digest", "lang").limit(rows)
+
+    sample = first(known)
+    if share < 1:
+        few = known.filter(F.col("digest") < F.lit(f"{int(share * 2**32):08x}"))
+        if first(few.select("digest", "lang")).count() == rows:
+            sample = first(few)
+    sample = sample.repartition("digest")
     counts = sample.select("lang", F.explode(trigrams(F.col("text"))).alias("k")).groupBy("lang", "k").agg(F.count("*").alias("n"))
     log = lambda n, total: F.round(F.log((n + 0.5) / (total + 0.5 * BUCKETS)) * 1000).cast("int")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("k", "n")).alias("seen"))
@@ -49,11 +70,18 @@ def language_of(text: Column, profiles: dict[str, list[int]]) -> Column:
     """The language whose profile gives text's trigrams the greatest sum."""
     if not profiles:
         return F.lit("")
-    table = lambda w: F.split(F.lit(",".join(map(str, w))), ",").cast("array<int>")
-    score = lambda ks, w: F.aggregate(ks, F.lit(0).cast("long"), lambda acc, k: acc + F.get(table(w), k))
+    names = np.array(["", *sorted(profiles)], dtype=object)
+    weights = np.array([profiles[n] for n in names[1:]], np.int64)
 
-    def best(ks):
-        scored = F.array(*[F.struct(score(ks, w).alias("score"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang")) for i, (lang, w) in enumerate(sorted(profiles.items()))])
-        return F.when(F.size(ks) > 0, F.array_max(scored)["lang"]).otherwise("")
+    @F.pandas_udf(T.StringType())
+    def best(joined: pd.Series) -> pd.Series:
+        out = np.zeros(len(joined), np.int64)
+        for i, t in enumerate(joined):
+            if t:
+                p = np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+                k = (p[:-2] * 10_007 + p[1:-1] * 101 + p[2:]) % BUCKETS
+                times = np.bincount(k[p[1:-1] != 32], minlength=BUCKETS)  # a blank in the middle lies between words
+                out[i] = 1 + (weights @ times).argmax()
+        return pd.Series(names[out], dtype=object)
 
-    return F.transform(F.array(trigrams(text)), best)[0]
+    return best(F.array_join(_words(text), " "))

@@ -17,7 +17,7 @@ _APART = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3')"
 def _sql(texts: str, keys: str) -> str:
     grams = lambda source, keep: f"SELECT {keep}, unnest(flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}{{1,{WORD}}}'), lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 1), lambda i: (unicode(substr(' ' || w || ' ', CAST(i AS INTEGER), 1)) * 10007 + unicode(substr(' ' || w || ' ', CAST(i AS INTEGER) + 1, 1)) * 101 + unicode(substr(' ' || w || ' ', CAST(i AS INTEGER) + 2, 1))) % {BUCKETS})))) AS k FROM {source}"
     return f"""
-WITH d AS ({texts}), fitted AS (SELECT lang, text FROM documents WHERE NOT {_APART} AND text IS NOT NULL AND lang IS NOT NULL ORDER BY md5(text), lang LIMIT {FIT_ROWS}),
+WITH d AS ({texts}), fitted AS (SELECT DISTINCT lang, text FROM documents WHERE NOT {_APART} AND text IS NOT NULL AND lang IS NOT NULL ORDER BY md5(text), lang LIMIT {FIT_ROWS}),
 n AS (SELECT lang, k, count(*) AS n FROM ({grams("fitted", "lang")}) GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
 g AS (SELECT rid, k, count(*) AS times FROM ({grams("d", "rid")}) GROUP BY ALL),
 s AS (SELECT rid, t.lang AS guess, sum(times * CAST(round(ln((coalesce(n.n, 0) + 0.5) / (total + 0.5 * {BUCKETS})) * 1000) AS BIGINT)) AS score FROM g CROSS JOIN t LEFT JOIN n ON n.lang = t.lang AND n.k = g.k GROUP BY ALL),
