@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -588,6 +589,92 @@ def test_boosted_trees_learn():
     assert urlfilter.Boosted.fit(x[:0], y[:0]).score(x[:2]).shape == (2,)
 
 
+def slow_trees(x, y, rounds):
+    """Scores of the fitted rows by boosting in plain loops: every split of every node tried row by row."""
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, urlfilter.BINS + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    f = [math.log(y.mean() / (1 - y.mean()))] * len(y)
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-v)) for v in f]
+        g, h = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+        part = lambda rows: math.fsum(g[i] for i in rows) ** 2 / (math.fsum(h[i] for i in rows) + urlfilter.SHRINK)  # noqa: E731, B023
+
+        def grow(rows, depth):
+            best, halves = 1e-9, None
+            if depth < urlfilter.DEPTH and len(rows) >= 2 * urlfilter.LEAST:
+                for j, at in enumerate(cuts):  # noqa: B023
+                    for c in at:
+                        low, high = [i for i in rows if x[i, j] <= c], [i for i in rows if x[i, j] > c]
+                        if min(len(low), len(high)) >= urlfilter.LEAST:
+                            gain = part(low) + part(high) - part(rows)  # noqa: B023
+                            if gain > best + 1e-12:
+                                best, halves = gain, (low, high)
+            if halves is None:
+                step = -urlfilter.RATE * math.fsum(g[i] for i in rows) / (math.fsum(h[i] for i in rows) + urlfilter.SHRINK)  # noqa: B023
+                for i in rows:
+                    f[i] += step
+            else:
+                for half in halves:
+                    grow(half, depth + 1)
+
+        grow(list(range(len(y))), 0)
+    return [1 / (1 + math.exp(-v)) for v in f]
+
+
+def slow_walk(model, row):
+    total = model.base
+    for nodes in model.trees:
+        feature, cut, left, right, value = nodes[0]
+        while feature >= 0:
+            feature, cut, left, right, value = nodes[left if row[feature] <= cut else right]
+        total += value
+    return 1 / (1 + math.exp(-total))
+
+
+def test_trees_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(urlfilter, "ROUNDS", 4)
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.normal(size=(160, 3)), rng.integers(0, 3, 160)])
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (x[:, 3] == 2) ^ (rng.random(160) < 0.1)).astype(float)
+    model = urlfilter.Boosted.fit(x, y)
+    assert np.allclose(model.score(x), slow_trees(x, y, 4), atol=1e-9)
+    other = rng.normal(size=(50, 4))
+    assert np.allclose(model.score(other), [slow_walk(model, r) for r in other], atol=1e-12)
+
+
+def test_op10_against_plain_loops(spark, monkeypatch):
+    """The query's every column recomputed: rules, rates, trees and verdicts."""
+    monkeypatch.setattr(urlfilter, "ROUNDS", 6)
+    rows = []
+    for r in common.table(spark, SMALL, "pages").select("page_id", "url").collect():
+        rest = (r.url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parts = host.split(".")
+        rows.append((r.page_id, r.url, host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None)), ".".join(parts[-3:-1]) if len(parts) > 2 else host, (re.match(r"/([^/]*)", path) or ["", ""])[1]))
+    known = [r for r in rows if r[5]]
+    mean = sum(r[5] == "block" for r in known) / len(known)
+
+    def rate(r, at):
+        same = [x[5] == "block" for x in known if x[at] == r[at]]
+        return (sum(same) + urlfilter.SMOOTH * mean) / (len(same) + urlfilter.SMOOTH) if same else mean
+
+    features = lambda some: urlfilter.lexical([r[1] for r in some], [r[2] for r in some], [r[3] for r in some], [rate(r, 6) for r in some], [rate(r, 7) for r in some])
+    sample = sorted({r[1:] for r in known})
+    sample = [(None, *r) for r in sample]
+    assert len(sample) <= urlfilter.FIT_URLS
+    y = np.array([float(r[5] == "block") for r in sample])
+    model = urlfilter.Boosted.fit(features(sample), y)
+    assert np.allclose(model.score(features(sample)), slow_trees(features(sample), y, 6), atol=1e-9)
+    want = {r[0]: slow_walk(model, f) for r, f in zip(rows, features(rows))}
+    got = {r.page_id: r for r in queries.QUERIES["op10_url_filter"](spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for i, _, host, path, rule, verdict, *_ in rows:
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and abs(got[i].score - want[i]) < 1e-9
+        assert got[i].verdict == (verdict or ("block" if want[i] >= urlfilter.CUT else "allow"))
+
+
 # --- embeddings --------------------------------------------------------------------------------
 
 
