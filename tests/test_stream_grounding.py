@@ -62,3 +62,26 @@ def test_what_is_kept_is_bounded(spark, tmp_path):
     batches = [[("a", "x", "1", 0, 0, "retrieved"), ("b", "x", "2", 0, 0, "retrieved")], [("b", "x", "3", 0, 3_000, "cited")], [("c", "x", "4", 0, 5_000, "retrieved")], [("a", "x", "5", 0, 5_100, "cited"), ("b", "x", "6", 0, 5_100, "cited")], [END]]
     got = run(spark, tmp_path, batches, "1 second", "1 hour")
     assert got == [("a", "x", "5", 0, False), ("b", "x", "3", 0, True), ("b", "x", "6", 0, True)]
+
+
+@pytest.mark.parametrize("keep", [None, "10 minutes"])
+def test_many_pairs_share_few_groups(spark, tmp_path, keep):
+    """Groups of the stream, and so calls of Python, don't grow with conversations and domains; pairs of one bucket stay apart."""
+    rnd = random.Random(3)
+    rows = sorted(((str(rnd.randrange(60)), rnd.choice("uvwxyz"), str(i), i % 3, rnd.randrange(4_000), rnd.choice(["retrieved", "cited"])) for i in range(900)), key=lambda r: r[4])
+    for i in range(3):
+        part = spark.createDataFrame([(c, d, t, p, at(x), k) for c, d, t, p, x, k in rows[i * 300 : i * 300 + 300] + ([END] if i == 2 else [])], SCHEMA)
+        part.coalesce(1).write.parquet(f"{tmp_path}/b{i}")
+    got = []
+    for buckets in (3, 500):
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/b*")
+        where = f"{tmp_path}/out{buckets}"
+        run = stream_grounding(source, "1 minute", keep, buckets=buckets).writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+        assert 0 < max(held) <= buckets
+        got.append(sorted((r.conv_id, r.domain, r.turn_id, r.pos, r.external) for r in spark.read.parquet(f"{where}/rows").collect()))
+    assert got[0] == got[1] and {r[4] for r in got[0]} == {True, False}
+    s = spark.createDataFrame([(c, d, t, p, at(x), k) for c, d, t, p, x, k in rows], SCHEMA)
+    want = sorted((r.conv_id, r.domain, r.turn_id, r.pos, r.external) for r in grounding(s, "conversation", "time").collect())
+    assert got[0] == want if keep is None else len(got[0]) == len(want) and got[0] != want
