@@ -92,6 +92,39 @@ def test_group_intervals_draw_responses_once(spark):
             assert abs(wide[g].ci_low - got[g].ci_low) < 0.5 and wide[g].ci_low <= wide[g].estimate <= wide[g].ci_high
 
 
+@pytest.mark.parametrize("dealt", [{}, {"chunk": 7, "stretch": 1, "ranges": 3}, {"chunk": 5, "stretch": 700, "ranges": 500}])
+def test_group_intervals_however_dealt(spark, dealt):
+    """Draws are numpy's to the last bit when no task holds a group's responses whole; keys of two columns, nulls last, a group without claims."""
+    rnd = np.random.default_rng(2)
+    rows = [("pq"[int(x > 1)], None if r == 3 else int(r), int(t), "ab"[int(g)]) for x, r, t, g in zip(rnd.integers(0, 6, 400), rnd.integers(0, 9, 400), rnd.integers(0, 11, 400), rnd.integers(0, 2, 400))]
+    d = spark.createDataFrame(rows, "platform string, conv int, turn int, grp string").repartition(5)
+    got = {(r.platform, r.grp): r for r in stats.exact_group_ci(d, ["platform"], ["conv", "turn"], "grp", ["a", "b", "c"], n_bootstrap=40, **dealt).collect()}
+    assert len(got) == 6
+    for p in "pq":
+        counts = {}
+        for x, r, t, g in rows:
+            if x == p:
+                counts.setdefault((99 if r is None else r, t), np.zeros(3))["abc".index(g)] += 1
+        v, rng = np.array([counts[k] for k in sorted(counts)]), np.random.default_rng(42)
+        shares = np.array([v[i].sum(axis=0) / v[i].sum() for i in (rng.integers(0, len(v), size=len(v)) for _ in range(40))])
+        for k, g in enumerate("abc"):
+            r = got[p, g]
+            assert (r.n, r.n_responses, r.estimate) == (v[:, k].sum(), len(v), v[:, k].sum() / v.sum())
+            assert (r.ci_low, r.ci_high) == tuple(np.quantile(shares[:, k], [0.025, 0.975]))
+
+
+def test_ranges_of_replicates_continue_the_generator():
+    from turnscope.functions import seeded
+
+    n, rng = 2 * seeded.DRAWS + 12_345, np.random.default_rng(7)
+    numbers, vectors = (np.arange(n) % 5).astype(np.uint8), np.arange(10.0).reshape(5, 2)
+    want = [(np.bincount(numbers[i], minlength=5) @ vectors, np.bincount(numbers[i[i >= n - 900]], minlength=5) @ vectors) for i in (rng.integers(0, n, size=n) for _ in range(4))]
+    for low, high, state in seeded._starts(n, 4, 3, 7):
+        whole, tail = seeded._drawn(state, high - low, n, 0, numbers, vectors), seeded._drawn(state, high - low, n, n - 900, numbers[n - 900 :], vectors)
+        for k in range(low, high):
+            assert (whole[k - low] == want[k][0]).all() and (tail[k - low] == want[k][1]).all()
+
+
 def test_wikipedia_history(spark):
     d = spark.createDataFrame([("https://de.wikipedia.org/wiki/X_(y)?a#b",), ("https://de.wikipedia.org/",), ("https://example.org/wiki/X",), (None,)], "u string")
     got = [r[0] for r in d.select(urls.wikipedia_history(F.col("u"))).collect()]

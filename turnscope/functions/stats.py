@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnscope.functions.ranks import global_places
+from turnscope.functions.seeded import seeded_sums
+from turnscope.sources.stored import stored
 
 
 def sem(x: Column | str) -> Column:
@@ -106,23 +108,6 @@ def exact_ratio_ci(df: DataFrame, by: list[str], cluster: str, numerator: str, d
     return sums.groupBy(*by).applyInPandas(run, f"{kinds}, n_clusters long, ratio double, ci_low double, ci_high double")
 
 
-def group_ci(numerators: np.ndarray, denominators: np.ndarray, confidence: float = 0.95, n_bootstrap: int = 1_000, seed: int = 42) -> np.ndarray:
-    """(estimate, low, high) by group, over responses drawn once for all groups; the arrays have a row per response and a column per group."""
-    p, q = np.asarray(numerators, float), np.asarray(denominators, float)
-    rng, n = np.random.default_rng(seed), len(p)
-    out = np.full((n_bootstrap, p.shape[1]), np.nan)
-    for k in range(n_bootstrap if n else 0):
-        w = np.bincount(rng.integers(0, n, size=n), minlength=n)
-        a, b = w @ p, w @ q
-        np.divide(a, b, out=out[k], where=b > 0)
-    rows = []
-    for g in range(p.shape[1]):
-        drawn = out[np.isfinite(out[:, g]), g]
-        ends = np.quantile(drawn, [(1 - confidence) / 2, (1 + confidence) / 2]) if len(drawn) else (np.nan, np.nan)
-        rows.append((p[:, g].sum() / q[:, g].sum() if q[:, g].sum() > 0 else np.nan, *ends))
-    return np.array(rows)
-
-
 def _by_response(df: DataFrame, response: list[str], group: str, groups: list[str], by: list[str], value: str | None) -> DataFrame:
     """Per response an array of numerators and one of denominators by group: sums and counts of value, or claims of the group and all claims."""
     cell = lambda x: F.array(*[F.coalesce(F.sum(F.when(F.col(group) == g, x)), F.lit(0)).cast("double") for g in groups])
@@ -131,23 +116,34 @@ def _by_response(df: DataFrame, response: list[str], group: str, groups: list[st
     return df.groupBy(*by, *response).agg(p.alias("_p"), q.alias("_q"))
 
 
-def exact_group_ci(df: DataFrame, by: list[str], response: list[str], group: str, groups: list[str], value: str | None = None, n_bootstrap: int = 1_000, seed: int = 42) -> DataFrame:
+def exact_group_ci(df: DataFrame, by: list[str], response: list[str], group: str, groups: list[str], value: str | None = None, n_bootstrap: int = 1_000, seed: int = 42, confidence: float = 0.95, **dealt) -> DataFrame:
     """Seeded bootstrap by response, the same draws for all groups: means of value, or shares of claims where value is None.
 
-    Responses are summed by Spark first and taken in the order of their keys; those of one `by` must fit a task (a few numbers each).
-    poisson_group_ci() is for any size.
+    Responses are summed by Spark first and drawn in the order of their keys, replicates and responses dealt to tasks by seeded_sums(), which takes `dealt`.
+    The draws are numpy's and as many as responses times n_bootstrap; poisson_group_ci() draws fewer.
     """
-    sums = _by_response(df, response, group, groups, by, value)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(response)
-        p, q = (np.stack(pdf[c].to_list()) for c in ("_p", "_q"))
-        ci = group_ci(p, q, n_bootstrap=n_bootstrap, seed=seed)
-        head = [[*(pdf[c].iloc[0] for c in by), g, int(p[:, k].sum() if value is None else q[:, k].sum()), len(pdf), *ci[k]] for k, g in enumerate(groups)]
-        return pd.DataFrame(head, columns=[*by, group, "n", "n_responses", "estimate", "ci_low", "ci_high"])
-
-    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
-    return sums.groupBy(*by).applyInPandas(run, f"{kinds}{group} string, n long, n_responses long, estimate double, ci_low double, ci_high double")
+    if not by:
+        whole = exact_group_ci(df.withColumn("_one", F.lit(1)), ["_one"], response, group, groups, value, n_bootstrap, seed, confidence, **dealt)
+        return whole.drop("_one")
+    k = len(groups)
+    sums = stored(_by_response(df, response, group, groups, by, value).select(*by, *response, F.concat("_p", "_q").alias("_v")), "responses")
+    reps = seeded_sums(sums, by, response, "_v", 2 * k, n_bootstrap, seed, **dealt)
+    total = sums.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.array(*[F.sum(F.col("_v")[i]) for i in range(2 * k)]).alias("_total"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # a row per replicate
+        head, drawn, rows = pdf.iloc[0], np.stack(pdf["sums"].to_list()), []
+        for i, g in enumerate(groups):
+            q = drawn[:, k + i]
+            ratios = np.divide(drawn[:, i], q, out=np.full(len(q), np.nan), where=q > 0)
+            ratios = ratios[np.isfinite(ratios)]
+            ends = np.quantile(ratios, [(1 - confidence) / 2, (1 + confidence) / 2]) if len(ratios) else (np.nan, np.nan)
+            p_all, q_all = head["_total"][i], head["_total"][k + i]
+            rows.append([*(head[c] for c in by), g, int(p_all if value is None else q_all), int(head["n"]), p_all / q_all if q_all > 0 else np.nan, *ends])
+        return pd.DataFrame(rows, columns=[*by, group, "n", "n_responses", "estimate", "ci_low", "ci_high"])
+
+    kinds = "".join(f"{c} {sums.schema[c].dataType.simpleString()}, " for c in by)
+    full = reps.join(total, [reps[c].eqNullSafe(total[f"_{c}"]) for c in by]).select(*by, "n", "sums", "_total")
+    return full.groupBy(*by).applyInPandas(run, f"{kinds}{group} string, n long, n_responses long, estimate double, ci_low double, ci_high double")
 
 
 def poisson_group_ci(df: DataFrame, by: list[str], response: list[str], group: str, groups: list[str], value: str | None = None, replicates: int = 200, seed: int = 42, confidence: float = 0.95) -> DataFrame:
