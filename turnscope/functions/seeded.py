@@ -2,7 +2,7 @@
 
 Replicate after replicate, default_rng(seed) draws n places of n. Where a range of replicates begins in that stream is found by
 drawing alone, which needs n and no rows; a task then draws its own replicates from there. Rows are kept as numbers into their
-distinct vectors, packed in chunks of places, so counts of a few groups take two bytes a row. Chunks of a group of rows over STRETCH
+distinct vectors, packed in chunks of places, so counts of a few groups take four bytes a row on the way and one or two in the task. Chunks of a group of rows over STRETCH
 bytes are dealt to more tasks, each of which repeats the draws and counts those that fall to its places: memory stays bounded, and time
 grows with the square of what lies beyond one stretch.
 """
@@ -38,7 +38,7 @@ def _unpack(numbers: list[bytes], vectors: list[bytes], width: int) -> tuple[np.
     """One array of numbers for chunks in a row, in the smallest type that holds them, and the distinct vectors."""
     each = [np.frombuffer(v).reshape(-1, width) for v in vectors]
     distinct, to = np.unique(np.concatenate(each), axis=0, return_inverse=True)
-    to, kind = to.reshape(-1), np.min_scalar_type(len(distinct))
+    to, kind = to.reshape(-1), np.min_scalar_type(len(distinct) - 1)
     out, at, start = np.empty(sum(len(x) for x in numbers) // 4, kind), 0, 0
     for x, v in zip(numbers, each):
         own = np.frombuffer(x, np.uint32)
